@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe_tree, fmindex, pieces, quantiles, swap_sample
+from colloquy.llm import bpe_tree, fmindex, pieces, quantiles, swap_sample, vptree
 from colloquy.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.link_dialogues(table(spark, folder, "dialogues")).pairs()
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.link_dialogues(table(spark, folder, "dialogues")).groups().withColumnRenamed("key", "rec_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return swap_sample.unmet_targets(table(spark, folder, "dialogues"), table(spark, folder, "sample_targets"))
 
