@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe_tree, fmindex, pieces, quantiles, swap_sample, vptree
+from colloquy.llm import bpe_tree, fmindex, pieces, quantiles, swap_sample, vptree, winnow
 from colloquy.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,14 @@ def p5_days_combined(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.request_percentiles(days).drop("grouping", "run_day", "client_key")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.overlap_pairs(table(spark, folder, "dialogues"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.overlap_report(table(spark, folder, "dialogues"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_tree.encode_documents(table(spark, folder, "documents"))
 

@@ -30,6 +30,14 @@ class Batch:
         self.flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
         self.text_of = np.repeat(np.arange(len(arrays)), np.diff(self.start))
 
+    @classmethod
+    def of_hashes(cls, hashed: np.ndarray) -> Batch:
+        """A batch of one text that is hashed already."""
+        own = cls([], lambda tokens: tokens)
+        own.arrays, own.start, own.flat = [hashed], np.array([0, len(hashed)]), hashed
+        own.text_of = np.zeros(len(hashed), np.int64)
+        return own
+
     def runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of words within a text, and the first word of each."""
         count = len(self.flat) - length + 1
