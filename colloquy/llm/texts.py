@@ -50,6 +50,12 @@ class Batch:
                 total = total * np.uint64(0x100000001B3) + self.flat[k : k + count]
         return mix(total[inside]), inside
 
+    def distinct_runs(self, length: int) -> np.ndarray:
+        """Number of distinct runs of words of each text."""
+        runs, first = self.runs(length)
+        marked = (self.text_of[first].astype(np.uint64) << np.uint64(54)) | (runs >> np.uint64(10))
+        return np.bincount((np.unique(marked) >> np.uint64(54)).astype(np.int64), minlength=len(self.arrays))
+
 
 def batches_of(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[pa.RecordBatch]:
     for batch in batches:

@@ -3,10 +3,12 @@
 A text becomes the set of its runs of three words. ``BANDS * ROWS`` minimum
 hashes of the set give
 
-* the id of the text: 96 bits, one of each of as many minimum hashes, and 32 bits of a
-  hash of its words. The 96 bits are a fingerprint: two sets of similarity J
-  differ in (1 - J) / 2 of them, so similarity J or more means a Hamming distance
-  within ``RADIUS`` of the fingerprints (at J = 0.6 4 standard deviations above the mean);
+* the id of the text: 96 bits, one of each of as many minimum hashes, 8 bits of the
+  logarithm of the number of runs and 24 bits of a hash of its words. The 96 bits are a
+  fingerprint: two sets of similarity J differ in (1 - J) / 2 of them, so similarity J
+  or more means a Hamming distance within ``RADIUS`` of the fingerprints (at J = 0.6
+  4 standard deviations above the mean). Similarity J also means that the smaller set
+  has at least J times the runs of the larger one, which the 8 bits check;
 * its shards: a fingerprint lies in one shard per band, and texts of similarity J
   miss each other in all shards with probability (1 - J**ROWS)**BANDS.
 
@@ -41,10 +43,12 @@ from colloquy.session import durable, spread
 
 RUN, SIMILARITY = 3, 0.6
 BANDS, ROWS, RADIUS = 36, 4, 35
+#: Sizes of sets are told apart in steps of a twentieth; two steps allow for rounding.
+SIZE_STEP = 1.05
+SIZE_GAP = int(np.ceil(np.log(1 / SIMILARITY) / np.log(SIZE_STEP))) + 2
 HOT, LEAF, POINTS, KEY_BLOCK = 4096, 32, 64, 4096
 
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-_LOW32 = np.uint64(0xFFFFFFFF)
 
 
 def minimum_hashes(batch: Batch, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +66,14 @@ def minimum_hashes(batch: Batch, run: int = RUN) -> tuple[np.ndarray, np.ndarray
     return out, owner[edges]
 
 
-def fingerprints(minima: np.ndarray, text_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of the ids: 64 bits of the fingerprint; its other 32 bits above 32 bits of the text's hash."""
+def fingerprints(minima: np.ndarray, sizes: np.ndarray, text_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the ids: 64 bits of the fingerprint; its other 32 bits, 8 bits of size and 24 bits of the text's hash."""
     bits = (mix(minima[:96]) >> np.uint64(17)) & np.uint64(1)
     place = np.arange(64, dtype=np.uint64)[:, None]
     high = np.bitwise_or.reduce(bits[:64] << place, axis=0)
-    low = np.bitwise_or.reduce(bits[64:] << (place[:32] + np.uint64(32)), axis=0) | (text_hashes & _LOW32)
-    return high, low
+    low = np.bitwise_or.reduce(bits[64:] << (place[:32] + np.uint64(32)), axis=0)
+    size = np.minimum(np.log(sizes) / np.log(SIZE_STEP), 255).astype(np.uint64)
+    return high, low | (size << np.uint64(24)) | (text_hashes >> np.uint64(40))
 
 
 def band_keys(minima: np.ndarray) -> np.ndarray:
@@ -85,6 +90,13 @@ def distance(high: np.ndarray, low: np.ndarray, to_high: np.ndarray, to_low: np.
     return np.bitwise_count(high ^ to_high).astype(np.int16) + np.bitwise_count((low ^ to_low) >> np.uint64(32))
 
 
+def alike(high: np.ndarray, low: np.ndarray, to_high: np.ndarray, to_low: np.ndarray, radius: int) -> np.ndarray:
+    """Whether fingerprints are within the radius and sizes allow the similarity."""
+    size, to_size = (low >> np.uint64(24)).astype(np.uint8).astype(np.int16), (to_low >> np.uint64(24)).astype(np.uint8).astype(np.int16)
+    # The largest size class is open above.
+    return (distance(high, low, to_high, to_low) <= radius) & ((np.abs(size - to_size) <= SIZE_GAP) | (np.maximum(size, to_size) == 255))
+
+
 class VantageTree:
     """A vantage-point tree over fingerprints; questions run down the tree together, as arrays."""
 
@@ -114,7 +126,7 @@ class VantageTree:
             step = max(1, (1 << 20) // max(1, len(members)))
             for at in range(0, len(questions), step):
                 q = questions[at : at + step]
-                hit = distance(high[q, None], low[q, None], self.high[None, members], self.low[None, members]) <= radius
+                hit = alike(high[q, None], low[q, None], self.high[None, members], self.low[None, members], radius)
                 i, j = np.nonzero(hit)
                 asked.append(q[i])
                 found.append(members[j])
@@ -129,7 +141,7 @@ class VantageTree:
                 continue
             point, reach, start, near, far = node
             apart = distance(high[questions], low[questions], self.high[point], self.low[point])
-            hit = questions[apart <= radius]
+            hit = questions[alike(high[questions], low[questions], self.high[point], self.low[point], radius)]
             asked.append(hit)
             found.append(np.full(len(hit), point))
             stack.append((near, questions[apart <= reach + radius]))
@@ -162,7 +174,7 @@ def shard_pairs(key: np.ndarray, high: np.ndarray, low: np.ndarray, radius: int
         i = np.flatnonzero(k[:-lag] == k[lag:])
         if not len(i):
             break
-        i = i[distance(h[i], l[i], h[i + lag], l[i + lag]) <= radius]
+        i = i[alike(h[i], l[i], h[i + lag], l[i + lag], radius)]
         parts.append((h[i], l[i], h[i + lag], l[i + lag]))
     for g in np.flatnonzero(sizes > LEAF):
         at = slice(edges[g], edges[g + 1])
@@ -184,7 +196,7 @@ def features(rows: DataFrame, key: str, text: str) -> DataFrame:
             own = Batch(batch.column(1).to_pylist(), hashes)
             minima, which = minimum_hashes(own)
             text_hash = np.array([xxhash.xxh3_64_intdigest(own.arrays[i].tobytes()) for i in which], np.uint64)
-            high, low = fingerprints(minima, text_hash)
+            high, low = fingerprints(minima, own.distinct_runs(RUN)[which], text_hash)
             keys = signed(np.ascontiguousarray(band_keys(minima).T))
             fresh = np.zeros(len(which), bool)
             for i, one in enumerate(zip(high.tolist(), low.tolist())):
