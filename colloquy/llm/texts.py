@@ -31,11 +31,12 @@ class Batch:
         self.text_of = np.repeat(np.arange(len(arrays)), np.diff(self.start))
 
     @classmethod
-    def of_hashes(cls, hashed: np.ndarray) -> Batch:
-        """A batch of one text that is hashed already."""
-        own = cls([], lambda tokens: tokens)
-        own.arrays, own.start, own.flat = [hashed], np.array([0, len(hashed)]), hashed
-        own.text_of = np.zeros(len(hashed), np.int64)
+    def of_hashes(cls, flat: np.ndarray, sizes: np.ndarray) -> Batch:
+        """A batch of texts that are hashed already."""
+        own = cls.__new__(cls)
+        own.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        own.arrays, own.flat = np.split(flat, own.start[1:-1]), flat
+        own.text_of = np.repeat(np.arange(len(sizes)), sizes)
         return own
 
     def runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
