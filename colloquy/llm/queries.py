@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe_tree, fmindex, pieces, quantiles, swap_sample, vptree, winnow
+from colloquy.llm import bpe_tree, cuts, fmindex, pairs, pieces, quantiles, swap_sample, vptree, winnow
 from colloquy.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return swap_sample.draw_samples(table(spark, folder, "dialogues"), table(spark, folder, "sample_targets"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defective_sides(table(spark, folder, "preference_pairs"))
+
+
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.request_percentiles(quantiles.request_sketches(table(spark, folder, "raw_1")))
 
@@ -49,6 +53,14 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.overlap_report(table(spark, folder, "dialogues"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cuts.cut_results(table(spark, folder, "results")).where("cut").select("result_id")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return cuts.cut_report(table(spark, folder, "results"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_tree.encode_documents(table(spark, folder, "documents"))
 
