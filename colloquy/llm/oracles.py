@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+SPOKEN = WORDS.format("list_aggregate(list_transform(list_filter(messages, lambda m: coalesce(m.role, '') <> 'system'), lambda m: coalesce(m.content, '')), 'string_agg', chr(10))")
+
+PAIRS = f"""w AS (SELECT rec_id, split, {SPOKEN} AS w FROM dialogues),
+    runs AS (SELECT DISTINCT rec_id, split, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w),
+    sizes AS (SELECT rec_id, count(*) AS n FROM runs GROUP BY rec_id),
+    common AS (SELECT x.rec_id AS a, y.rec_id AS b, count(*) AS c, any_value(x.split) AS split_a, any_value(y.split) AS split_b FROM runs x JOIN runs y ON x.s = y.s AND x.rec_id < y.rec_id GROUP BY x.rec_id, y.rec_id),
+    near AS (SELECT a AS rec_a, b AS rec_b, split_a, split_b FROM common JOIN sizes p ON p.rec_id = a JOIN sizes q ON q.rec_id = b WHERE c / (p.n + q.n - c) >= 0.6)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"WITH {PAIRS} SELECT rec_a, rec_b FROM near",
+        "p3_found": """WITH d AS (SELECT replace(replace(lower(trim(scenario)), '-', '_'), ' ', '_') AS scenario, n_turns FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rec_id) AS rn FROM dialogues) WHERE rn = 1),
+            c AS (SELECT scenario, n_turns, count(*) AS n FROM d GROUP BY ALL),
+            t AS (SELECT plan_id, target_id, greatest(floor(sample_size * target_share + 0.5), min_rows) AS needed, coalesce(sum(n), 0) AS available FROM sample_targets t
+                LEFT JOIN c ON (t.scenario IS NULL OR c.scenario = t.scenario) AND c.n_turns >= t.turns_min AND (t.turns_max IS NULL OR c.n_turns <= t.turns_max) GROUP BY ALL)
+            SELECT plan_id, target_id FROM t WHERE available < needed""",
+        "p6_found": f"WITH {PAIRS} SELECT rec_a, rec_b FROM near WHERE (split_a = 'train' AND split_b IN ('val', 'test')) OR (split_b = 'train' AND split_a IN ('val', 'test'))",
+        "p9_found": f"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id, {WORDS.format('text')} AS w FROM eval_items),
+            g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 14), lambda k: array_to_string(w[k:k + 15], ' '))) AS s FROM i),
+            h AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 14), lambda k: array_to_string(w[k:k + 15], ' '))) AS s FROM d)
+            SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (s)""",
+    }

@@ -21,7 +21,7 @@ import numpy as np
 
 from colloquy.llm.pii_model import BARRED, KINDS, OTHER, TAGS, Weights, symbols
 
-BACKGROUND, WINDOW, BATCH, HIDDEN = 16_000, 200, 160, 24
+BACKGROUND, WINDOW, BATCH, HIDDEN = 16_000, 176, 128, 24
 
 #: Signs of personal items; messages with one are not used as background, nor counted as without items.
 SIGNS = re.compile(
@@ -32,6 +32,8 @@ SIGNS = re.compile(
 )
 INTRODUCED = re.compile(r"(?:ask for|spoke with|[Mm]y name is|Thanks,|Put|This is|held by|It is under) ([A-Z][^\W\d_]+) (?:[A-Z]\. )?((?:(?:van der|de la|von|di) )?[A-Z][\w'-]+)")
 
+FOREIGN = re.compile(r"\b(?:und|nicht|Sie|vous|nous|est|que|usted|con|luego|avec)\b")
+
 #: Sentences with slots. Invented wording beside that of the domain.
 FRAMES = {
     "en": [
@@ -83,6 +85,7 @@ class Maker:
         clean = [m for m in messages if not SIGNS.search(m)]
         self.r.shuffle(clean)
         self.clean = clean[:BACKGROUND]
+        self.foreign = [m for m in clean if FOREIGN.search(m)][: BACKGROUND // 4]
 
     def pick(self, *options):
         return self.r.choice(options)
@@ -196,12 +199,13 @@ class Maker:
 
     def message(self) -> tuple[str, np.ndarray]:
         """A text with a tag per character."""
-        base = self.r.choice(self.clean) if self.clean else "Thank you. Good to know."
+        pool = self.foreign if self.foreign and self.r.random() < 0.2 else self.clean
+        base = self.r.choice(pool) if pool else "Thank you. Good to know."
         language = "de" if re.search(r"\b(und|nicht|Sie)\b", base) else "fr" if re.search(r"\b(vous|nous|est)\b", base) else "es" if re.search(r"\b(que|usted|con)\b", base) else "en"
         parts = [[(s, -1)] for s in re.split(r"(?<=[.?!])\s+", base)]
         if self.r.random() < 0.3:
             parts = parts[: self.r.randint(0, len(parts))]
-        for _ in range(self.r.choice((0, 1, 1, 1, 2, 2, 3))):
+        for _ in range(self.r.choice((0, 0, 1, 1, 1, 2, 3))):
             parts.insert(self.r.randint(0, len(parts)), self.sentence(language))
         pieces = [p for k, s in enumerate(parts) for p in ([(self.pick(" ", " ", " ", "\n"), -1)] if k else []) + s]
         if not pieces:
@@ -346,13 +350,15 @@ def fit(messages: list[str], minutes: float, seed: int = 7, hidden: int = HIDDEN
         loss, grads = gradients(weights, *batch_of(maker))
         steps += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        rate = 0.012 * min(1.0, steps / 50) * (0.5 * (1 + np.cos(np.pi * done)) + 0.01)
+        rate = 0.006 * min(1.0, steps / 50) * (0.5 * (1 + np.cos(np.pi * done)) + 0.005)
         for name, grad in grads.items():
             grad = grad * min(1.0, 1.0 / (norm + 1e-9))
             first, second = moments[name]
             first += 0.1 * (grad - first)
             second += 0.005 * (grad * grad - second)
             own = getattr(weights, name)
+            if name in ("inputs", "recurrent", "out"):
+                own *= np.float32(1 - 0.01 * rate)
             own -= (rate * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.995**steps)) + 1e-8)).astype(np.float32)
         mean = loss if steps == 1 else 0.98 * mean + 0.02 * loss
         if steps % 50 == 0:
