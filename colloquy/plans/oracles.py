@@ -76,9 +76,9 @@ def digest(name: str, columns: list[str]) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "q01_dialogue_funnel": f"""WITH c AS (SELECT rec_id, lang, {CUT} AS m FROM dialogues), t AS (SELECT *, coalesce({n_assistant('m')}, 0) AS turns, {canonical('m')} AS text FROM c),
-            r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN coalesce(len(m), 0) = 0 THEN rec_id::VARCHAR ELSE text END ORDER BY rec_id) AS rn FROM t)
-            SELECT CASE WHEN coalesce(len(m), 0) = 0 THEN 'no_assistant' WHEN rn > 1 THEN 'duplicate' WHEN len({errors('m', 'turns', 'lang')}) > 0 THEN 'invalid' ELSE 'kept' END AS reason,
+        "q01_dialogue_funnel": f"""WITH c AS (SELECT rec_id, lang, {CUT} AS kept FROM dialogues), t AS (SELECT *, coalesce({n_assistant('kept')}, 0) AS turns, {canonical('kept')} AS text FROM c),
+            r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN coalesce(len(kept), 0) = 0 THEN rec_id::VARCHAR ELSE text END ORDER BY rec_id) AS rn FROM t)
+            SELECT CASE WHEN coalesce(len(kept), 0) = 0 THEN 'no_assistant' WHEN rn > 1 THEN 'duplicate' WHEN len({errors('kept', 'turns', 'lang')}) > 0 THEN 'invalid' ELSE 'kept' END AS reason,
             {bucket('turns')} AS bucket, count(*) AS n FROM r GROUP BY ALL""",
         "q02_dialogue_ids": f"SELECT rec_id, 'dlg-' || substr(sha256({canonical('messages')}), 1, 12) AS content_id FROM dialogues",
         "q03_merge_runs": """WITH f AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
