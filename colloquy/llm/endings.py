@@ -210,8 +210,8 @@ def judge_endings(texts: DataFrame, corpus: DataFrame, key: str, text: str, corp
     undecided = own.where("size(keys) > 0")
     wanted = undecided.select(F.explode(F.concat("keys", F.array("stem"))).alias("context"))
     counts = durable(count_contexts(corpus, corpus_text, KeyBitmap(wanted, "context")))
-    asked = undecided.select("key", F.posexplode(F.concat("keys", F.array("stem"))).alias("place", "context"))
-    answers = asked.join(counts, "context", "left").groupBy("key").agg(
+    asked = undecided.select("key", "tail_words", F.posexplode(F.concat("keys", F.array("stem"))).alias("place", "context"))
+    answers = asked.join(counts, "context", "left").groupBy("key", "tail_words").agg(
         F.sort_array(F.collect_list(F.struct("place", F.coalesce("on", F.lit(0)).alias("on"), F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("closing", F.lit(0)).alias("closing")))).alias("a")
     )
     # At most eight answers a text: the contexts, then the stem.
@@ -225,8 +225,8 @@ def judge_endings(texts: DataFrame, corpus: DataFrame, key: str, text: str, corp
             verdict = verdict.when((seen(i) == 0) & (at(i, "closing") >= MIN_CLOSING), F.lit(False))
         verdict = verdict.when(seen(i) >= MIN_COUNT, at(i, "on") / seen(i) > 0.5)
         share = share.when(seen(i) >= MIN_COUNT, at(i, "on") / seen(i))
-    # A last word that nobody else uses: cut, as the ends of sentences repeat in the corpus.
-    verdict = verdict.otherwise((seen(ALONE) == 0) & (at(ALONE, "closing") < MIN_CLOSING))
+    # A last word that nobody else uses: cut, as the ends of sentences repeat in the corpus; a lone word is an answer.
+    verdict = verdict.otherwise((F.col("tail_words") > 1) & (seen(ALONE) == 0) & (at(ALONE, "closing") < MIN_CLOSING))
     judged = answers.select("key", verdict.alias("by_context"), share.alias("share_on"))
     return own.join(judged, "key", "left").select(
         F.col("key").alias(key), F.coalesce("verdict", "by_context").alias("cut"), (F.size("keys") > 0).alias("open"), "share_on"

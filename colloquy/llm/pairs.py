@@ -57,7 +57,7 @@ for _code, _words in FUNCTION_WORDS.items():
 #: Phrases that decline, most of them a negated ability and a verb of answering.
 REFUSAL = re.compile(
     r"\b(?:can ?not|can['’]t|could not|couldn['’]t|won['’]t|will not|not able to|unable to|not permitted to|not allowed to|not in a position to|not going to|(?:would|['’]d) (?:rather|prefer) not|prefer not to)"
-    r"(?: \w+){0,3}? (?:address|advise|answer|assist|comment|comply|continue|discuss|engage|fulfil+|give|handle|help|offer|provide|reply|respond|share|speak|support|talk)\b"
+    r"(?: (?!(?:a|an|any|my|our|that|the|this|your)\b)\w+){0,3}? (?:address|advise|answer|assist|comment|comply|continue|discuss|engage|fulfil+|handle|help|provide|reply|respond|speak|talk)\b"
     r"|\b(?:must|have to|need to|will|would) (?:\w+ )?(?:decline|refuse)\b|\bi (?:decline|refuse) to\b|\bno comment\b|\bnot something (?:i|we) can\b|\binstructed not to\b"
     r"|\bas an ai\b|\blanguage model\b|\bagainst (?:my|our) (?:policy|policies|guidelines)\b|\b(?:outside|beyond) (?:of )?(?:my|our) (?:scope|remit)\b"
     r"|\bkann (?:ich )?(?:ihnen )?(?:leider )?(?:dazu |dabei |damit |das )*(?:keine|nicht)\b|\bdarf ich nicht\b|\bne (?:peux|pouvons|puis) pas\b|\bje refuse\b|\bno (?:puedo|podemos) (?:\w+ )?(?:ayudar|responder|hablar|comentar|contestar)",

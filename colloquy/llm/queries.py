@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe_tree, cuts, fmindex, pairs, pieces, quantiles, swap_sample, vptree, winnow
+from colloquy.llm import bpe_tree, cuts, fmindex, pairs, pieces, pii, quantiles, swap_sample, vptree, winnow
 from colloquy.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return vptree.link_dialogues(table(spark, folder, "dialogues")).groups().withColumnRenamed("key", "rec_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.items(table(spark, folder, "dialogues"))
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(table(spark, folder, "dialogues"))
+
+
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.counts_against(table(spark, folder, "dialogues"), table(spark, folder, "clean_results"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return swap_sample.unmet_targets(table(spark, folder, "dialogues"), table(spark, folder, "sample_targets"))
 
