@@ -28,7 +28,8 @@ def detect_language(messages: Column) -> Column:
     """The language whose frequent words occur most in the contents of all but system messages; ``unknown`` without any."""
     spoken = F.filter(messages, lambda m: m["role"] != "system")
     words = F.split(F.lower(M.full_text(spoken)), r"[^\p{L}]+")
-    scores = [F.struct(F.size(F.filter(words, lambda w, own=own: w.isin(own))).alias("n"), F.lit(-i).alias("tie"), F.lit(code).alias("code")) for i, (code, own) in enumerate(PROFILES.items())]
+    hits = lambda own: F.size(F.filter(words, lambda w: w.isin(own)))
+    scores = [F.struct(hits(own).alias("n"), F.lit(-i).alias("tie"), F.lit(code).alias("code")) for i, (code, own) in enumerate(PROFILES.items())]
     best = F.greatest(*scores)
     return F.when(best["n"] > 0, best["code"]).otherwise("unknown")
 

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from colloquy.session import durable
 
 
+#: Strata whose sizes may be brought to the driver.
+STRATA_LIMIT = 100_000
+
+
 def group_rank(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
     """Adds the rank (from 1) of each row in its group; ``order`` must be unique within the group.
 
@@ -57,7 +61,7 @@ def quota_sample(df: DataFrame, stratum: str, key: str, total: int, seed: int =
     sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
     share = quotas(sizes, stratum, "size", total).select(F.col(stratum).alias("_s"), "quota")
     ranked = group_rank(df.withColumn("_draw", draw(seed, stratum, key)), [stratum], ["_draw", key], "_rank").drop("_draw")
-    return ranked.join(F.broadcast(share), F.col(stratum).eqNullSafe(F.col("_s"))).where("_rank <= quota").drop("_rank", "_s", "quota")
+    return ranked.join(share, F.col(stratum).eqNullSafe(F.col("_s"))).where("_rank <= quota").drop("_rank", "_s", "quota")
 
 
 def downsample(df: DataFrame, key: str, real: Column, high_value: Column, keyword: Column, ratio: float, seed: int = 42) -> DataFrame:
@@ -121,7 +125,9 @@ def merge_small_strata(sizes: Sequence[tuple[str, str, int]], least: int, order:
 
 def with_strata(df: DataFrame, scenario: str, bucket: str, least: int = 20) -> DataFrame:
     """Adds ``stratum``; only the sizes of the strata reach the driver."""
-    sizes = [(r[0], r[1], r[2]) for r in df.groupBy(scenario, bucket).count().collect()]
+    sizes = [(r[0], r[1], r[2]) for r in df.where(F.col(scenario).isNotNull() & F.col(bucket).isNotNull()).groupBy(scenario, bucket).count().limit(STRATA_LIMIT + 1).collect()]
+    if len(sizes) > STRATA_LIMIT:
+        raise ValueError(f"more than {STRATA_LIMIT} strata")
     labels = merge_small_strata(sizes, least)
     mapping = df.sparkSession.createDataFrame([(s, b, x) for (s, b), x in labels.items()] or [("", "", "")], "_s string, _b string, stratum string")
     return df.join(F.broadcast(mapping), (F.col(scenario) == F.col("_s")) & (F.col(bucket) == F.col("_b")), "left").drop("_s", "_b")
@@ -135,7 +141,7 @@ def stratified_split(df: DataFrame, stratum: Column | str, key: str, ratios: tup
     ranked = group_rank(df.withColumn("_draw", draw(seed, "_label", key)), ["_label"], ["_draw", key], "_rank")
     first, second = F.bround(F.col("_size") * F.lit(ratios[0]), 0), F.bround(F.col("_size") * F.lit(ratios[0] + ratios[1]), 0)
     split = F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= second, "val").otherwise("test")
-    return ranked.join(F.broadcast(sizes), F.col("_label").eqNullSafe(F.col("_l"))).withColumn("split", split).drop("_label", "_l", "_size", "_rank", "_draw")
+    return ranked.join(sizes, F.col("_label").eqNullSafe(F.col("_l"))).withColumn("split", split).drop("_label", "_l", "_size", "_rank", "_draw")
 
 
 def distribution_warnings(df: DataFrame, split: str, stratum: str, points: float = 3.0) -> DataFrame:
