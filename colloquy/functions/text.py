@@ -56,6 +56,21 @@ def strip_empty_reasoning(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?i)\A{SPACE}*<think>{SPACE}*</think>{SPACE}*", "")
 
 
+def split_reasoning(content: Column, reasoning: Column) -> tuple[Column, Column]:
+    """Content without a leading block of reasoning, and the reasoning: the given one, else what the block holds, else NULL."""
+    block = F.regexp_extract(content, rf"(?si)\A{SPACE}*<think>(.*?)</think>", 1)
+    return strip_reasoning(content), F.coalesce(reasoning, F.when(block != "", strip(block)))
+
+
+def fill_template(template: str, **values: Column) -> Column:
+    """A text with ``{name}`` slots filled by columns; NULL values are empty; an unknown slot raises."""
+    parts = re.split(r"\{(\w+)\}", template)
+    unknown = set(parts[1::2]) - set(values)
+    if unknown:
+        raise ValueError(f"no value for {sorted(unknown)}")
+    return F.concat(*(F.lit(p) if i % 2 == 0 else F.coalesce(values[p].cast("string"), F.lit("")) for i, p in enumerate(parts)))
+
+
 def count_substring(text: Column, keyword: str) -> Column:
     """Occurrences of a keyword that don't overlap, regardless of case; empty keywords never occur."""
     if not keyword:

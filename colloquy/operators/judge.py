@@ -35,6 +35,11 @@ def cross_table(long: DataFrame, judge: str, tag: str, scenario: str) -> DataFra
     return out.withColumn(scenario, F.coalesce(scenario, F.lit("all")))
 
 
+def average_over_judges(table: DataFrame, tag: str) -> DataFrame:
+    """Mean of the judges' means per tag and dimension."""
+    return table.groupBy(tag, "dimension").agg(F.avg("mean").alias("mean"), F.count("*").alias("judges"))
+
+
 def pairwise(table: DataFrame, judge: str, tag: str, threshold: float = 0.1) -> DataFrame:
     """Differences of rounded means of all pairs of tags, the later minus the earlier; ``no_diff`` below the threshold."""
     own = table.withColumn("ord", tag_order(F.col(tag)))

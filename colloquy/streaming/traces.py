@@ -65,8 +65,8 @@ def record_turns(turns: DataFrame, sink: Sink, checkpoint: str):
 CONVERSATION = "conversation_id string, turns bigint, failures bigint, latency_ms double"
 
 
-def conversation_state(turns: DataFrame, idle_ms: int = 600_000) -> DataFrame:
-    """A running total per conversation (turns, failed turns, latency), kept in bounded state that ends after idling."""
+def conversation_state(turns: DataFrame, idle_ms: int | None = 600_000) -> DataFrame:
+    """A running total per conversation (turns, failed turns, latency), kept in state that ends after idling; with None it stays."""
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -77,10 +77,12 @@ def conversation_state(turns: DataFrame, idle_ms: int = 600_000) -> DataFrame:
             bad += int(frame["failed"].sum())
             latency += float(frame["latency_ms"].fillna(0).sum())
         state.update((n, bad, latency))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"conversation_id": [key[0]], "turns": [n], "failures": [bad], "latency_ms": [latency]})
 
-    return turns.groupBy("conversation_id").applyInPandasWithState(update, CONVERSATION, "turns bigint, failures bigint, latency_ms double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return turns.groupBy("conversation_id").applyInPandasWithState(update, CONVERSATION, "turns bigint, failures bigint, latency_ms double", "update", timeout)
 
 
 def trace_summary(turns: DataFrame) -> DataFrame:
