@@ -47,6 +47,13 @@ def errors(messages: str, turns: str, lang: str) -> str:
         CASE WHEN coalesce({lang}, '') <> 'en' THEN 'lang' END], lambda e: e IS NOT NULL) END"""
 
 
+def percentile(values: str, p: float) -> str:
+    """Linear interpolation in a sorted list, both neighbours weighted by their distance."""
+    at = f"((len({values}) - 1) * {p}::DOUBLE)"
+    low, high = f"{values}[floor({at})::INT + 1]", f"{values}[ceil({at})::INT + 1]"
+    return f"CASE WHEN floor({at}) = ceil({at}) THEN {low}::DOUBLE ELSE (ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high} END"
+
+
 def keyword(x: str, phrases: list[str]) -> str:
     return f"coalesce(regexp_matches(lower({x}), '(?:^|[^\\p{{L}}\\p{{N}}_\\p{{M}}])(?:{'|'.join(p.replace('-', '[-]') for p in phrases)})(?:$|[^\\p{{L}}\\p{{N}}_\\p{{M}}])'), false)"
 
@@ -91,7 +98,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT rec_id, CASE WHEN best[1] > 0 THEN best[3] ELSE 'general' END AS tag FROM s""",
         "q09_keyword_boundary": f"SELECT doc_id, {keyword('text', PHRASES)} AS hit FROM documents",
         "q10_token_stats": f"""WITH t AS (SELECT coalesce(lang, 'none') AS lang, len(regexp_extract_all(text, '{WORD}+|[^\\p{{L}}\\p{{N}}_\\s\\x0B]')) AS t FROM documents)
-            SELECT lang, count(t) AS n, sum(t)::BIGINT AS total, quantile_cont(t, 0.5) AS p50, quantile_cont(t, 0.95) AS p95 FROM t GROUP BY lang""",
+            SELECT lang, n, total, {percentile('v', 0.5)} AS p50, {percentile('v', 0.95)} AS p95 FROM (SELECT lang, count(t) AS n, sum(t)::BIGINT AS total, list_sort(list(t) FILTER (t IS NOT NULL)) AS v FROM t GROUP BY lang)""",
         "q11_strata": f"SELECT {SCENARIO} AS scenario, {bucket('n_turns')} AS bucket, count(*) AS n FROM dialogues GROUP BY ALL",
         "q12_validation_errors": f"WITH e AS (SELECT unnest({errors('messages', 'n_turns', 'lang')}) AS error FROM dialogues) SELECT error, count(*) AS n FROM e GROUP BY error",
         "q13_eval_samples": """WITH s AS (SELECT rec_id, CASE WHEN len(messages) > 1 AND messages[-1].role = 'assistant' THEN messages END AS m FROM dialogues)
@@ -101,8 +108,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT rec_id, md5(t) AS digest, length(t)::INT AS chars FROM r""",
         "q15_rule_flags": f"SELECT result_id, {FLAG_COLUMNS} FROM ({FLAGS})",
         "q16_rule_summary": f"""WITH f AS (SELECT scenario, {FLAG_COLUMNS}, len(regexp_extract_all(c, '{WORD}+|[^\\p{{L}}\\p{{N}}_\\s\\x0B]')) AS t FROM ({FLAGS}))
-            SELECT coalesce(scenario, 'all') AS scenario, count(*) AS n, {', '.join(f"count(*) FILTER ({r}) AS n_{r}, count(*) FILTER ({r}) / count(*) AS rate_{r}" for r in ('pattern_hit', 'over_length', 'role_break', 'no_question'))},
-            sum(t) / count(*) AS tokens_mean, min(t)::INT AS tokens_min, max(t)::INT AS tokens_max, {', '.join(f"quantile_cont(t, {p / 100}) AS tokens_p{p}" for p in (50, 90, 95))} FROM f GROUP BY GROUPING SETS ((scenario), ())""",
+            SELECT * EXCLUDE (v), {', '.join(f"{percentile('v', p / 100)} AS tokens_p{p}" for p in (50, 90, 95))} FROM (SELECT coalesce(scenario, 'all') AS scenario, count(*) AS n,
+            {', '.join(f"count(*) FILTER ({r}) AS n_{r}, count(*) FILTER ({r}) / count(*) AS rate_{r}" for r in ('pattern_hit', 'over_length', 'role_break', 'no_question'))},
+            sum(t) / count(*) AS tokens_mean, min(t)::INT AS tokens_min, max(t)::INT AS tokens_max, list_sort(list(t)) AS v FROM f GROUP BY GROUPING SETS ((scenario), ()))""",
         "q17_quota_sample": f"""WITH d AS (SELECT rec_id, {SCENARIO} AS scenario FROM dialogues), s AS (SELECT scenario, count(*) AS size, sum(count(*)) OVER () AS total FROM d GROUP BY scenario),
             b AS (SELECT *, floor(size * 500 / total) AS base, size * 500 / total - floor(size * 500 / total) AS rest FROM s),
             q AS (SELECT scenario, CASE WHEN total <= 500 THEN size ELSE base + CASE WHEN row_number() OVER (ORDER BY rest DESC, scenario) <= 500 - sum(base) OVER () THEN 1 ELSE 0 END END AS quota FROM b),
@@ -135,10 +143,10 @@ def oracle_sql() -> dict[str, str]:
             sum(coalesce(n_tokens, 0))::BIGINT AS prompt_tokens, sum(coalesce(usage_completion_tokens, 0))::BIGINT AS completion_tokens FROM results GROUP BY 1)
             SELECT model, requests, prompt_tokens, completion_tokens, prompt_tokens / 1e6::DOUBLE * i + completion_tokens / 1e6::DOUBLE * o AS usd, i IS NULL AS unpriced FROM u LEFT JOIN p USING (model)""",
         "q31_json_props": "SELECT event_id, json_type(props) = 'NULL' AS is_null, len(json_keys(props))::INT AS keys FROM events",
-        "q32_tier_rollup": """WITH f AS (SELECT concurrency, min(start_ts) + 86400 AS t FROM raw_1 GROUP BY concurrency), r AS (SELECT r.* FROM raw_1 r JOIN f ON r.concurrency IS NOT DISTINCT FROM f.concurrency AND start_ts >= t)
-            SELECT concurrency, count(*) AS n, count(*) FILTER (ok) AS n_ok, quantile_cont(ttft_ms, 0.5) FILTER (ok AND NOT isnan(ttft_ms)) AS ttft_p50, quantile_cont(ttft_ms, 0.95) FILTER (ok AND NOT isnan(ttft_ms)) AS ttft_p95,
-            quantile_cont(itl_mean_ms, 0.5) FILTER (ok AND NOT isnan(itl_mean_ms)) AS itl_p50, quantile_cont(itl_mean_ms, 0.95) FILTER (ok AND NOT isnan(itl_mean_ms)) AS itl_p95,
-            coalesce(sum(n_output_tokens) FILTER (ok), 0) / 2505600.0::DOUBLE AS tokens_per_s, count(*) FILTER (ok) / 2505600.0::DOUBLE AS requests_per_s, count(*) FILTER (NOT coalesce(ok, false)) / count(*) AS error_rate FROM r GROUP BY concurrency""",
+        "q32_tier_rollup": f"""WITH f AS (SELECT concurrency, min(start_ts) + 86400 AS t FROM raw_1 GROUP BY concurrency), r AS (SELECT r.* FROM raw_1 r JOIN f ON r.concurrency IS NOT DISTINCT FROM f.concurrency AND start_ts >= t)
+            SELECT * EXCLUDE (t, i), {', '.join(f"{percentile(v, p / 100)} AS {n}_p{p}" for v, n in (('t', 'ttft'), ('i', 'itl')) for p in (50, 95))} FROM (SELECT concurrency, count(*) AS n, count(*) FILTER (ok) AS n_ok,
+            list_sort(list(ttft_ms) FILTER (ok AND ttft_ms IS NOT NULL AND NOT isnan(ttft_ms))) AS t, list_sort(list(itl_mean_ms) FILTER (ok AND itl_mean_ms IS NOT NULL AND NOT isnan(itl_mean_ms))) AS i,
+            coalesce(sum(n_output_tokens) FILTER (ok), 0) / 2505600.0::DOUBLE AS tokens_per_s, count(*) FILTER (ok) / 2505600.0::DOUBLE AS requests_per_s, count(*) FILTER (NOT coalesce(ok, false)) / count(*) AS error_rate FROM r GROUP BY concurrency)""",
         "q33_stream_gaps": """WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
             SELECT user_id, count(*) AS n, min(gap) AS gap_min, max(gap) AS gap_max, sum(gap)::BIGINT AS gap_sum FROM g GROUP BY user_id""",
         "q34_length_buckets": """WITH b AS (SELECT doc_id, coalesce(length(text), 0) AS c, ntile(3) OVER (ORDER BY coalesce(length(text), 0), doc_id) AS bucket FROM documents),
