@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import messages as M
 from colloquy.functions import text as X
 from colloquy.operators.dedup import mark_first
+from colloquy.session import durable
 
 #: Frequent words by which a language is told when no label is given.
 PROFILES = {
@@ -39,8 +40,8 @@ def clean(records: DataFrame, min_chars: int = 2, language: Column | None = None
     long_enough = F.filter("messages", lambda m: F.coalesce(F.length(X.strip(m["content"])), F.lit(0)) >= min_chars)
     df = records.withColumn("_kept", M.merge_runs(long_enough))
     lang = language if language is not None else detect_language(F.col("_kept"))
-    redacted = F.transform("_kept", lambda m: M.message(m["role"], X.redact(m["content"])[0]))
-    count = F.aggregate("_kept", F.lit(0), lambda n, m: n + X.redact(m["content"])[1])
+    # Redaction by message: text and count together, so each pattern runs once per text and use.
+    both = F.transform("_kept", lambda m: F.struct(m["role"].alias("role"), X.redact(m["content"])[0].alias("content"), X.redact(m["content"])[1].alias("n")))
     reason = (
         F.when(F.col("messages").isNull(), "conversion_failed")
         .when(M.n_assistant(F.col("_kept")) == 0, "empty_after_filter")
@@ -48,12 +49,16 @@ def clean(records: DataFrame, min_chars: int = 2, language: Column | None = None
     )
     df = df.withColumn("drop_reason", reason)
     live = F.col("drop_reason").isNull()
-    return df.withColumn("pii_replacements", F.when(live, count).otherwise(0)).withColumn("clean_messages", F.when(live, M.cut_tail(redacted))).drop("_kept")
+    df = df.withColumn("_both", F.when(live, both))
+    count = F.aggregate("_both", F.lit(0), lambda n, m: n + m["n"])
+    redacted = F.transform("_both", lambda m: M.message(m["role"], m["content"]))
+    return df.withColumn("pii_replacements", F.coalesce(count, F.lit(0))).withColumn("clean_messages", M.cut_tail(redacted)).drop("_kept", "_both")
 
 
 def mark_duplicates(df: DataFrame, messages: str = "clean_messages", order: tuple[str, ...] = ("_src", "_ord")) -> DataFrame:
     """Adds ``record_id``; all but the first row of each content get the reason ``duplicate``."""
-    df = df.withColumn("record_id", M.dialogue_id(F.col(messages)))
+    # The cleaned rows are used twice from here on; they are computed once.
+    df = durable(df.withColumn("record_id", M.dialogue_id(F.col(messages))))
     live = F.col("drop_reason").isNull()
     # Rows dropped before keep a content of their own.
     content = F.when(live, F.col("record_id")).otherwise(F.concat_ws("|", F.lit("dropped"), *(F.col(o).cast("string") for o in order)))
