@@ -6,8 +6,8 @@ costs one product of the hidden state with the recurrent weights, for all
 windows of a batch and both directions together. Emissions of overlapping
 windows are reconciled by taking, for each character, the window in which it
 lies farthest from an edge; one Viterbi pass over the whole text decodes them.
-Texts in which no path can beat "outside everywhere" skip that pass, by a bound
-on the transitions, without any change of the result.
+Texts in which no item can beat "outside everywhere" skip that pass, by an exact
+bound, without any change of the result.
 """
 
 from __future__ import annotations
@@ -119,15 +119,15 @@ def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.nd
     place = np.arange(time)
     backward = np.where(place < lengths[:, None], lengths[:, None] - 1 - place, place)
     flipped = np.take_along_axis(batch, backward, axis=1)
-    streams = np.ascontiguousarray(np.stack([batch, flipped]).transpose(2, 0, 1))  # time, direction, window
+    streams = np.ascontiguousarray(np.stack([batch, flipped]).transpose(2, 0, 1), np.int64)  # time, direction, window
     state = np.zeros((2, count, hidden), np.float32)
     cell = np.zeros((2, count, hidden), np.float32)
     states = np.empty((time, 2, count, hidden), np.float32)
-    gates = np.empty((2, count, 4 * hidden), np.float32)
+    gates, looked = np.empty((2, count, 4 * hidden), np.float32), np.empty((count, 4 * hidden), np.float32)
     for t in range(time):
         np.matmul(state, recurrent, out=gates)
-        gates[0] += inputs[0][streams[t, 0]]
-        gates[1] += inputs[1][streams[t, 1]]
+        for k in range(2):
+            gates[k] += np.take(inputs[k], streams[t, k], axis=0, out=looked, mode="clip")
         np.tanh(gates, out=gates)
         keep, let, show, new = (gates[..., k * hidden : (k + 1) * hidden] for k in (1, 0, 2, 3))
         # cell = sigmoid(keep) * cell + sigmoid(let) * new, with the halves taken together
@@ -139,33 +139,65 @@ def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.nd
         state = np.tanh(cell, out=states[t])
         show += 1.0
         state *= show  # twice the hidden state
-    forward = states[:, 0].transpose(1, 0, 2)
-    back = np.take_along_axis(states[:, 1].transpose(1, 0, 2), backward[:, :, None], axis=1)
     half = weights.out * np.float32(0.5)
-    return forward @ half[:hidden] + back @ half[hidden:] + weights.bias
+    ahead = (states[:, 0].reshape(-1, hidden) @ half[:hidden]).reshape(time, count, TAGS)
+    behind = (states[:, 1].reshape(-1, hidden) @ half[hidden:]).reshape(time, count, TAGS)
+    ahead += behind[backward.T, np.arange(count)]
+    ahead += weights.bias
+    return np.ascontiguousarray(ahead.transpose(1, 0, 2))
 
 
-def viterbi(weights: Weights, scores: np.ndarray) -> np.ndarray:
-    """Best tags of one text from its emissions (time, tags)."""
+def viterbi(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Best tags of each text from padded emissions (texts, time, tags)."""
     step = weights.transitions + BARRED
-    best = scores[0] + weights.start + BARRED[0]
-    back = np.empty((len(scores), TAGS), np.int8)
-    for t in range(1, len(scores)):
-        through = best[:, None] + step
-        back[t] = through.argmax(axis=0)
-        best = through.max(axis=0) + scores[t]
-    tags = np.empty(len(scores), np.int8)
-    tags[-1] = best.argmax()
-    for t in range(len(scores) - 1, 0, -1):
-        tags[t - 1] = back[t, tags[t]]
-    return tags
-
-
-def surely_outside(weights: Weights, scores: np.ndarray) -> np.ndarray:
-    """Per character, whether no path through it can beat staying outside."""
+    count, time, _ = scores.shape
+    rows = np.arange(count)
+    best = scores[:, 0] + weights.start + BARRED[0]
+    last = best.copy()
+    back = np.empty((time, count, TAGS), np.int8)
+    for t in range(1, time):
+        through = best[:, :, None] + step
+        back[t] = through.argmax(axis=1)
+        best = through.max(axis=1) + scores[:, t]
+        last = np.where((t < lengths)[:, None], best, last)
+    tags = np.zeros((count, time), np.int8)
+    now = last.argmax(axis=1)
+    for t in range(time - 1, -1, -1):
+        inside = t < lengths
+        tags[inside, t] = now[inside]
+        if t:
+            now = np.where(inside, back[t, rows, now], now)
+    return [tags[i, :n] for i, n in enumerate(lengths.tolist())]
+
+
+def may_leave(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which texts have a stretch that may beat staying outside; for the others the best path is outside everywhere.
+
+    Every item is one begin tag and a run of inside tags of its kind. The most a
+    stretch can gain over the outside tag, with the best transitions anywhere, is
+    found backwards for all texts and kinds together; a path gains at most the
+    sum over its items, so if no single item can gain none can.
+    """
     step = weights.transitions + BARRED
-    gain = max(0.0, float((step - step[0, 0]).max()), float((weights.start - weights.start[0]).max()))
-    return scores[..., 1:].max(axis=-1) - scores[..., 0] + 2 * gain < 0
+    begin, inside = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+    rest = step[0, 0]
+    enter = step[:, begin].max(axis=0) - rest
+    stay = np.maximum(step[begin, inside], step[inside, inside]) - rest
+    leave = np.maximum(0, np.maximum(step[begin, 0], step[inside, 0]) - rest)
+    first = weights.start[begin] - weights.start[0]
+    outside = scores[:, :, :1]
+    starts = scores[:, :, begin] - outside + (enter + leave)
+    starts[:, 0] += np.maximum(0, first - enter)
+    goes_on = scores[:, :, inside] - outside + stay
+    gone = np.arange(scores.shape[1]) >= lengths[:, None]
+    starts[gone] = -1e9
+    goes_on[gone] = -1e9
+    ahead = np.zeros((len(scores), len(begin)), scores.dtype)
+    found = np.zeros(len(scores), bool)
+    for t in range(scores.shape[1] - 1, -1, -1):
+        found |= (starts[:, t] + ahead).max(axis=1) >= 0
+        ahead = np.maximum(0, goes_on[:, t] + ahead)
+    return found
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
@@ -191,35 +223,49 @@ def windows_of(length: int, window: int = WINDOW, margin: int = MARGIN) -> list[
     return [(s, s + window) for s in starts]
 
 
+def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of different lengths as one, with the lengths."""
+    lengths = np.array([len(x) for x in parts])
+    out = np.zeros((len(parts), int(lengths.max()), *parts[0].shape[1:]), parts[0].dtype)
+    for row, part in enumerate(parts):
+        out[row, : len(part)] = part
+    return out, lengths
+
+
 def find_spans(weights: Weights, texts: list[str], batch_windows: int = 512, window: int = WINDOW, margin: int = MARGIN) -> list[list[tuple[int, int, str]]]:
-    """The personal items of each text as character spans."""
-    coded = [symbols(t) for t in texts]
+    """The personal items of each text as character spans; blank texts have none."""
+    coded = [symbols(t) if t and not t.isspace() else np.empty(0, np.uint8) for t in texts]
     jobs = [(i, low, high) for i, own in enumerate(coded) if len(own) for low, high in windows_of(len(own), window, margin)]
     jobs.sort(key=lambda j: j[2] - j[1])
-    risky: dict[int, bool] = {}
-    kept: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    parts: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for at in range(0, len(jobs), batch_windows):
-        part = jobs[at : at + batch_windows]
-        lengths = np.array([high - low for _, low, high in part])
-        batch = np.zeros((len(part), int(lengths.max())), np.uint8)
-        for row, (i, low, high) in enumerate(part):
-            batch[row, : high - low] = coded[i][low:high]
+        chunk = jobs[at : at + batch_windows]
+        batch, lengths = padded([coded[i][low:high] for i, low, high in chunk])
         scores = emissions(weights, batch, lengths)
-        outside = surely_outside(weights, scores) | (np.arange(batch.shape[1]) >= lengths[:, None])
-        for row, (i, low, high) in enumerate(part):
-            if len(coded[i]) > window:
-                kept.setdefault(i, []).append((low, high, scores[row, : high - low]))
-                risky[i] = True
-            elif not outside[row].all():
-                kept[i] = [(low, high, scores[row, : high - low])]
+        for row, (i, low, high) in enumerate(chunk):
+            parts.setdefault(i, []).append((low, high, scores[row, : high - low]))
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for i, parts in kept.items():
-        parts.sort(key=lambda p: p[0])
-        whole = np.empty((len(coded[i]), TAGS), np.float32)
-        for k, (low, high, scores) in enumerate(parts):
-            # The seam with the window before lies in the middle of what both share.
-            start = low if k == 0 else (low + parts[k - 1][1]) // 2
-            whole[start:high] = scores[start - low :]
-        if not surely_outside(weights, whole).all():
-            found[i] = spans_of(viterbi(weights, whole))
+    order = sorted(parts, key=lambda i: len(coded[i]))
+    at = 0
+    while at < len(order):
+        # Texts of like length together; few at a time where they are long.
+        size = max(1, min(batch_windows, (1 << 18) // len(coded[order[min(at + batch_windows, len(order)) - 1]])))
+        chunk = order[at : at + size]
+        at += size
+        scores, lengths = padded([stitched(sorted(parts[i], key=lambda p: p[0])) for i in chunk])
+        open_ = np.flatnonzero(may_leave(weights, scores, lengths))
+        if len(open_):
+            for row, tags in zip(open_, viterbi(weights, scores[open_], lengths[open_])):
+                found[chunk[row]] = spans_of(tags)
     return found
+
+
+def stitched(parts: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """The emissions of a text from those of its windows; the seam of two lies in the middle of what they share."""
+    if len(parts) == 1:
+        return parts[0][2]
+    whole = np.empty((parts[-1][1], TAGS), np.float32)
+    for k, (low, high, scores) in enumerate(parts):
+        start = low if k == 0 else (low + parts[k - 1][1]) // 2
+        whole[start:high] = scores[start - low :]
+    return whole

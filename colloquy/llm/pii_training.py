@@ -6,7 +6,7 @@ table, a documented bound), with noise of case, typing and fillers. Half of the
 names come from the table's own introductions, half are invented, so that the
 model learns the surroundings rather than a list.
 
-Run as ``python -m colloquy.llm.pii_training TABLE OUT`` to fit anew; the fitted
+Run as ``python -m colloquy.llm.pii_training TABLE OUT [MINUTES [EARLIER]]`` to fit anew or go on; the fitted
 weights lie beside this file.
 """
 
@@ -58,7 +58,7 @@ TRAPS = [
     "Ticket {d4}-{d4} is still open.", "Bill {d3}-{d2}-{d4} was due in March 20{d2}.", "Meter serial {d2}L-{d3}-{d4} is on the label.", "The meter point number is {d4}{d4}{d4}{d1}.", "The offer code is N{d4}{d1}.", "The reading was {d3} {d4} units.",
     "Mark the date: {d2}-{d2}-20{d2}.", "Meet us @ the fair, or tag us at the booth.", "Order {d4}{d4} left on Monday.", "We drove {d2} miles to the office.", "Invoice {d4}/{d4} came twice.", "The tariff {w} {d2} ends soon.", "Ask for the {w} tariff when you ring.",
     "You spoke with our billing team last week.", "Thanks, that is noted.", "This is the supplier speaking.", "The account is held by the council.", "It is under review, not under contract.", "The owner signed the old contract.", "My name is on the letter.",
-    "The house is old and cold.", "We live near the river.", "I moved from gas to electric in the spring.", "Please post it to the office.", "The engineer should come to the back door, correct?", "They renamed {w} Street last year.", "The works in {w} Lane took weeks.",
+    "The house is old and cold.", "We live near the river.", "I moved from gas to electric in the spring.", "Please post it to the office.", "The engineer should come to the back door, correct?", "They renamed {w} Street last year.", "The works in {w} Lane took weeks.", "We drove {d2} miles to the show house off {w} Road.", "We drove {d2} miles to the show house off {w} {w} Road.", "It is {d1} minutes from {w} Street.", "The shop on {w} {w} Avenue has {d2} of them.", "The office off {w} Lane is shut.",
     "Page {d2} of {d3} is missing.", "The rate is {d2}.{d2} per unit.", "Version {d1}.{d1}.{d2} of the app fails.", "Call me on Friday before eight instead.", "Either Monday or Tuesday will do.", "Send it to billing please.", "{w} Power, {w} Energy and {w} Gas all replied.", "Is {w} {w} cheaper?", "Reference {d3} {d3} {d3} is on the form.",
 ]
 FIRST = "ab el ni ka ro mi lu ta jo ve sa du pe or fa ri ho len".split()
@@ -85,6 +85,7 @@ class Maker:
         clean = [m for m in messages if not SIGNS.search(m)]
         self.r.shuffle(clean)
         self.clean = clean[:BACKGROUND]
+        self.short = [m for m in clean if len(m) < 40][:2000]
         self.foreign = [m for m in clean if FOREIGN.search(m)][: BACKGROUND // 4]
 
     def pick(self, *options):
@@ -181,6 +182,9 @@ class Maker:
             return f"{road.split(' ')[0] if self.r.random() < 0.6 else road.rsplit(' ', 1)[0].replace(' ', '')}{self.pick('weg', 'weg', 'straße', 'gasse')} {self.digits(self.pick('#', '##', '###'))}"
         return f"{self.digits('##')} {self.pick('rue', 'rue', 'avenue', 'place')} {self.pick('de la', 'de la', 'du', 'de')} {road.split(' ')[0]}"
 
+    def courtesy(self) -> str:
+        return self.pick("Okay", "Alright", "Good", "Great", "Right", "Sure", "Yes", "No", "Well", "Fine", "Perfect", "Understood", "Thanks", "Hello", "Hi", "Danke", "Merci", "Gracias") + self.pick(", thanks.", ", that helps.", " to know, thank you.", ".", "!", ", I see.", " then.", ", good morning.", "")
+
     def sentence(self, language: str) -> list[tuple[str, int]]:
         """Pieces of text with their kind (-1 outside)."""
         if self.r.random() < 0.22:
@@ -199,10 +203,13 @@ class Maker:
 
     def message(self) -> tuple[str, np.ndarray]:
         """A text with a tag per character."""
-        pool = self.foreign if self.foreign and self.r.random() < 0.2 else self.clean
+        roll = self.r.random()
+        pool = self.short if self.short and roll < 0.08 else self.foreign if self.foreign and roll < 0.28 else self.clean
         base = self.r.choice(pool) if pool else "Thank you. Good to know."
         language = "de" if re.search(r"\b(und|nicht|Sie)\b", base) else "fr" if re.search(r"\b(vous|nous|est)\b", base) else "es" if re.search(r"\b(que|usted|con)\b", base) else "en"
         parts = [[(s, -1)] for s in re.split(r"(?<=[.?!])\s+", base)]
+        if self.r.random() < 0.08:
+            parts = [[(self.courtesy(), -1)]] + parts[: self.r.randint(0, 2)]
         if self.r.random() < 0.3:
             parts = parts[: self.r.randint(0, len(parts))]
         for _ in range(self.r.choice((0, 0, 1, 1, 1, 2, 3))):
@@ -269,9 +276,11 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def crf(weights: Weights, scores: np.ndarray, truth: np.ndarray, lengths: np.ndarray):
     """Loss per character and the gradients of scores, transitions and start."""
+    # In double precision: the sums over a window are large, and rounding would push the scores one way.
+    scores = scores.astype(np.float64)
     count, time, _ = scores.shape
-    step = weights.transitions + BARRED
-    first = weights.start + BARRED[0]
+    step = weights.transitions.astype(np.float64) + BARRED
+    first = weights.start.astype(np.float64) + BARRED[0]
     rows = np.arange(count)
     alpha = np.empty_like(scores)
     alpha[:, 0] = scores[:, 0] + first
@@ -341,7 +350,7 @@ def gradients(weights: Weights, data: np.ndarray, truth: np.ndarray, lengths: np
     return float(loss), grads | {"inputs": d_inputs, "recurrent": d_recurrent}
 
 
-def fit(messages: list[str], minutes: float, seed: int = 7, hidden: int = HIDDEN, start: Weights | None = None, say=print) -> Weights:
+def fit(messages: list[str], minutes: float, seed: int = 7, hidden: int = HIDDEN, start: Weights | None = None, rate: float = 0.006, say=print) -> Weights:
     """Adam with a falling rate until the time is over."""
     maker, weights = Maker(messages, seed), start or Weights.fresh(hidden, seed)
     moments = {n: (np.zeros_like(getattr(weights, n)), np.zeros_like(getattr(weights, n))) for n in Weights.NAMES}
@@ -350,7 +359,7 @@ def fit(messages: list[str], minutes: float, seed: int = 7, hidden: int = HIDDEN
         loss, grads = gradients(weights, *batch_of(maker))
         steps += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        rate = 0.006 * min(1.0, steps / 50) * (0.5 * (1 + np.cos(np.pi * done)) + 0.005)
+        pace = rate * min(1.0, steps / 50) * (0.5 * (1 + np.cos(np.pi * done)) + 0.005)
         for name, grad in grads.items():
             grad = grad * min(1.0, 1.0 / (norm + 1e-9))
             first, second = moments[name]
@@ -358,8 +367,8 @@ def fit(messages: list[str], minutes: float, seed: int = 7, hidden: int = HIDDEN
             second += 0.005 * (grad * grad - second)
             own = getattr(weights, name)
             if name in ("inputs", "recurrent", "out"):
-                own *= np.float32(1 - 0.01 * rate)
-            own -= (rate * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.995**steps)) + 1e-8)).astype(np.float32)
+                own *= np.float32(1 - 0.01 * pace)
+            own -= (pace * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.995**steps)) + 1e-8)).astype(np.float32)
         mean = loss if steps == 1 else 0.98 * mean + 0.02 * loss
         if steps % 50 == 0:
             say(f"{steps} steps, {time.time() - began:.0f} s, loss {mean:.5f}", flush=True)
@@ -375,4 +384,5 @@ def table_messages(path: str) -> list[str]:
 
 
 if __name__ == "__main__":
-    fit(table_messages(sys.argv[1]), float(sys.argv[3]) if len(sys.argv) > 3 else 12.0).save(sys.argv[2])
+    earlier = Weights.load(sys.argv[4]) if len(sys.argv) > 4 else None
+    fit(table_messages(sys.argv[1]), float(sys.argv[3]) if len(sys.argv) > 3 else 13.0, start=earlier, rate=0.006 if earlier is None else 0.002).save(sys.argv[2])

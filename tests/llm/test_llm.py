@@ -124,18 +124,35 @@ def test_winnowing_guarantee():
 # Problem 2
 
 
-def test_viterbi_bound_and_windows_agree_with_whole_decoding():
-    weights = pii_model.Weights.fresh(6, 3)
+def test_bound_and_windows_agree_with_whole_decoding():
     text = "call +1 202 555 0100 or write to a.b@example.com, says Ada Byron of 12 Mill Road. " * 9
-    scores = pii_model.emissions(weights, pii_model.symbols(text)[None], np.array([len(text)]))[0]
-    whole = pii_model.spans_of(pii_model.viterbi(weights, scores))
-    assert pii_model.find_spans(weights, [text, ""], window=10**6) == [whole, []]
+    for seed in range(6):
+        weights = pii_model.Weights.fresh(6, seed)
+        weights.bias[0] = seed
+        weights.transitions += np.random.default_rng(seed).normal(0, 1, weights.transitions.shape).astype(np.float32)
+        texts = [text, "", " ", text[:70], text[5:90], "Nothing here.", "x"]
+        scores = [pii_model.emissions(weights, pii_model.symbols(t)[None], np.array([len(t)]))[0] if t.strip() else None for t in texts]
+        want = [[] if s is None else pii_model.spans_of(pii_model.viterbi(weights, s[None], np.array([len(s)]))[0]) for s in scores]
+        assert pii_model.find_spans(weights, texts, window=10**6) == want
     covered = [False] * len(text)
     for low, high in pii_model.windows_of(len(text), 100, 20):
         covered[low:high] = [True] * (high - low)
     assert all(covered)
 
 
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    weights = pii_model.Weights.fresh(2, 1)
+    rng = np.random.default_rng(1)
+    weights.transitions += rng.normal(0, 1, weights.transitions.shape).astype(np.float32)
+    scores = rng.normal(0, 2, (1, 4, pii_model.TAGS)).astype(np.float32)
+    step = weights.transitions + pii_model.BARRED
+    value = lambda p: weights.start[p[0]] + pii_model.BARRED[0, p[0]] + scores[0, range(4), p].sum() + sum(step[a, b] for a, b in zip(p, p[1:]))
+    best = max(itertools.product(range(pii_model.TAGS), repeat=4), key=value)
+    assert pii_model.viterbi(weights, scores, np.array([4]))[0].tolist() == list(best)
+
+
 def test_gradients_match_differences():
     maker = pii_training.Maker(["Hello there. This is fine.", "Guten Tag, das ist nicht gut."])
     weights = pii_model.Weights.fresh(5, 1)
