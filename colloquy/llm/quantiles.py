@@ -26,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.session import spread
-
 BUFFER, SALTS, FLUSH_VALUES = 1024, 16, 1 << 21
 SKETCH = "grp string, metric string, salt int, level int, error bigint, vals array<double>"
 
@@ -230,7 +228,7 @@ def request_sketches(requests: DataFrame) -> DataFrame:
     """Combined sketches of the request log per (concurrency, run_day) and per client_key."""
     once = first_logged(requests, ["client_key", "concurrency", "run_day", *METRICS])
     day = F.concat_ws("|", F.coalesce(F.col("concurrency").cast("string"), F.lit("")), F.coalesce(F.col("run_day").cast("string"), F.lit("")))
-    return combine_tree(build(spread(once), {"day": day, "client": F.col("client_key")}, METRICS))
+    return combine_tree(build(once, {"day": day, "client": F.col("client_key")}, METRICS))
 
 
 def request_percentiles(sketches: DataFrame) -> DataFrame:
