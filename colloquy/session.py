@@ -55,7 +55,9 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Repartition ``df`` only if it has fewer partitions than the cluster has cores.
 
     Used before Python stages: a table of one small file would otherwise run in
-    one task. Large inputs already have many splits and are left alone.
+    one task. Large inputs already have many splits and are left alone. Only for
+    scans and durable tables: asking a plan with a shuffle for its partitions
+    would run the shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
