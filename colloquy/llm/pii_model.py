@@ -13,6 +13,7 @@ bound, without any change of the result.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,7 @@ TAGS = 1 + 2 * len(KINDS)
 #: The symbols, in order; everything else is the last one, padding is 0.
 SYMBOLS = " 0abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?'\"()[]<>@+-_/&%$#*=\n"
 PAD, OTHER = 0, len(SYMBOLS) + 1
-WINDOW, MARGIN = 256, 48
+WINDOW, MARGIN = 640, 48
 
 
 def _table() -> np.ndarray:
@@ -101,17 +102,18 @@ class Weights:
         return self.recurrent.shape[1]
 
     def halved(self) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs and recurrent weights for sigmoids by half-angle tangents: sigmoid(x) = (1 + tanh(x / 2)) / 2."""
+        """Inputs (2, 4, symbols, H) and recurrent weights (2, 4, H, H) for sigmoids by half-angle tangents: sigmoid(x) = (1 + tanh(x / 2)) / 2."""
         if not self.scaled:
             factor = np.full(4 * self.hidden, 0.5, np.float32)
             factor[3 * self.hidden :] = 1.0
-            # The hidden state is kept doubled (see run), which the recurrent weights take back.
-            self.scaled = (np.ascontiguousarray(self.inputs * factor), np.ascontiguousarray(self.recurrent * factor * 0.5))
+            # The hidden state is kept doubled (see emissions), which the recurrent weights take back.
+            by_gate = lambda x: np.ascontiguousarray(x.reshape(2, -1, 4, self.hidden).transpose(0, 2, 1, 3))
+            self.scaled = (by_gate(self.inputs * factor), by_gate(self.recurrent * factor * 0.5))
         return self.scaled
 
 
 def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Emission scores (windows, time, tags) of padded windows of symbols."""
+    """Emission scores (time, windows, tags) of padded windows of symbols."""
     inputs, recurrent = weights.halved()
     count, time = batch.shape
     hidden = weights.hidden
@@ -123,16 +125,19 @@ def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.nd
     state = np.zeros((2, count, hidden), np.float32)
     cell = np.zeros((2, count, hidden), np.float32)
     states = np.empty((time, 2, count, hidden), np.float32)
-    gates, looked = np.empty((2, count, 4 * hidden), np.float32), np.empty((count, 4 * hidden), np.float32)
+    # Gates lie apart, so that every operation below runs over contiguous rows.
+    gates, looked = np.empty((2, 4, count, hidden), np.float32), np.empty((2, 4, count, hidden), np.float32)
+    let, keep, show, new = (gates[:, k] for k in range(4))
     for t in range(time):
-        np.matmul(state, recurrent, out=gates)
+        np.matmul(state[:, None], recurrent, out=gates)
         for k in range(2):
-            gates[k] += np.take(inputs[k], streams[t, k], axis=0, out=looked, mode="clip")
+            np.take(inputs[k], streams[t, k], axis=1, out=looked[k], mode="clip")
+        gates += looked
         np.tanh(gates, out=gates)
-        keep, let, show, new = (gates[..., k * hidden : (k + 1) * hidden] for k in (1, 0, 2, 3))
         # cell = sigmoid(keep) * cell + sigmoid(let) * new, with the halves taken together
-        cell += keep * cell
-        cell += new
+        keep += 1.0
+        cell *= keep
+        let += 1.0
         let *= new
         cell += let
         cell *= 0.5
@@ -144,7 +149,7 @@ def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.nd
     behind = (states[:, 1].reshape(-1, hidden) @ half[hidden:]).reshape(time, count, TAGS)
     ahead += behind[backward.T, np.arange(count)]
     ahead += weights.bias
-    return np.ascontiguousarray(ahead.transpose(1, 0, 2))
+    return ahead
 
 
 def viterbi(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -171,7 +176,7 @@ def viterbi(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> list[n
 
 
 def may_leave(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Which texts have a stretch that may beat staying outside; for the others the best path is outside everywhere.
+    """Which texts, from emissions (time, texts, tags), have a stretch that may beat staying outside; for the others the best path is outside everywhere.
 
     Every item is one begin tag and a run of inside tags of its kind. The most a
     stretch can gain over the outside tag, with the best transitions anywhere, is
@@ -185,18 +190,19 @@ def may_leave(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> np.n
     stay = np.maximum(step[begin, inside], step[inside, inside]) - rest
     leave = np.maximum(0, np.maximum(step[begin, 0], step[inside, 0]) - rest)
     first = weights.start[begin] - weights.start[0]
-    outside = scores[:, :, :1]
-    starts = scores[:, :, begin] - outside + (enter + leave)
-    starts[:, 0] += np.maximum(0, first - enter)
-    goes_on = scores[:, :, inside] - outside + stay
-    gone = np.arange(scores.shape[1]) >= lengths[:, None]
-    starts[gone] = -1e9
-    goes_on[gone] = -1e9
-    ahead = np.zeros((len(scores), len(begin)), scores.dtype)
-    found = np.zeros(len(scores), bool)
-    for t in range(scores.shape[1] - 1, -1, -1):
-        found |= (starts[:, t] + ahead).max(axis=1) >= 0
-        ahead = np.maximum(0, goes_on[:, t] + ahead)
+    bonus = enter + leave
+    ahead = np.zeros((scores.shape[1], len(begin)), scores.dtype)
+    found = np.zeros(scores.shape[1], bool)
+    for t in range(len(scores) - 1, -1, -1):
+        gain = scores[t, :, 1:] - scores[t, :, :1]
+        live = (t < lengths)[:, None]
+        best = gain[:, ::2] + ahead
+        best += bonus if t else bonus + np.maximum(0, first - enter)
+        found |= ((best >= 0) & live).any(axis=1)
+        ahead += gain[:, 1::2]
+        ahead += stay
+        np.maximum(ahead, 0, out=ahead)
+        ahead *= live
     return found
 
 
@@ -238,32 +244,46 @@ def find_spans(weights: Weights, texts: list[str], batch_windows: int = 512, win
     jobs = [(i, low, high) for i, own in enumerate(coded) if len(own) for low, high in windows_of(len(own), window, margin)]
     jobs.sort(key=lambda j: j[2] - j[1])
     parts: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-    for at in range(0, len(jobs), batch_windows):
+    open_: dict[int, np.ndarray] = {}
+    at = 0
+    while at < len(jobs):
+        # Fewer windows at a time where they are long, so that their states stay in the cache.
         chunk = jobs[at : at + batch_windows]
+        chunk = chunk[: max(32, (1 << 17) // max(1, chunk[-1][2] - chunk[-1][1]))]
+        at += len(chunk)
         batch, lengths = padded([coded[i][low:high] for i, low, high in chunk])
         scores = emissions(weights, batch, lengths)
+        whole = [high - low == len(coded[i]) for i, low, high in chunk]
+        leaves = may_leave(weights, scores, lengths) if any(whole) else np.zeros(len(chunk), bool)
         for row, (i, low, high) in enumerate(chunk):
-            parts.setdefault(i, []).append((low, high, scores[row, : high - low]))
+            if not whole[row]:
+                parts.setdefault(i, []).append((low, high, scores[: high - low, row].copy()))
+            elif leaves[row]:
+                open_[i] = scores[:high, row].copy()
+    for chunk in batches_by_length(parts, coded, batch_windows):
+        joined = [stitched(sorted(parts[i], key=lambda p: p[0])) for i in chunk]
+        scores, lengths = padded(joined)
+        for row in np.flatnonzero(may_leave(weights, scores.transpose(1, 0, 2), lengths)):
+            open_[chunk[row]] = joined[row]
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    order = sorted(parts, key=lambda i: len(coded[i]))
+    for chunk in batches_by_length(open_, coded, batch_windows):
+        for i, tags in zip(chunk, viterbi(weights, *padded([open_[i] for i in chunk]))):
+            found[i] = spans_of(tags)
+    return found
+
+
+def batches_by_length(which, coded: list[np.ndarray], most: int) -> Iterator[list[int]]:
+    """Texts of like length together; few at a time where they are long."""
+    order = sorted(which, key=lambda i: len(coded[i]))
     at = 0
     while at < len(order):
-        # Texts of like length together; few at a time where they are long.
-        size = max(1, min(batch_windows, (1 << 18) // len(coded[order[min(at + batch_windows, len(order)) - 1]])))
-        chunk = order[at : at + size]
+        size = max(1, min(most, (1 << 18) // len(coded[order[min(at + most, len(order)) - 1]])))
+        yield order[at : at + size]
         at += size
-        scores, lengths = padded([stitched(sorted(parts[i], key=lambda p: p[0])) for i in chunk])
-        open_ = np.flatnonzero(may_leave(weights, scores, lengths))
-        if len(open_):
-            for row, tags in zip(open_, viterbi(weights, scores[open_], lengths[open_])):
-                found[chunk[row]] = spans_of(tags)
-    return found
 
 
 def stitched(parts: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
     """The emissions of a text from those of its windows; the seam of two lies in the middle of what they share."""
-    if len(parts) == 1:
-        return parts[0][2]
     whole = np.empty((parts[-1][1], TAGS), np.float32)
     for k, (low, high, scores) in enumerate(parts):
         start = low if k == 0 else (low + parts[k - 1][1]) // 2
