@@ -45,7 +45,8 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     counts = items.groupBy("run").agg(F.count("*").alias("df"))
     # A shingle of one set joins with nothing; it still counts for the place in the order.
     ranked = items.join(counts, "run").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "run")))
-    prefix = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1) & (F.col("df") > 1)).select("key", "n", "run")
+    short = F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
+    prefix = durable(ranked.where(short & (F.col("df") > 1)).select("key", "n", "run"))  # both sides of the join
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.run") == F.col("b.run")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= similarity * F.col("b.n") - 1e-9) & (F.col("b.n") >= similarity * F.col("a.n") - 1e-9)
     pairs = a.join(b, near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()

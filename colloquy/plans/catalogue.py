@@ -11,7 +11,7 @@ from colloquy.functions import json as J
 from colloquy.functions import messages as M
 from colloquy.functions import text as X
 from colloquy.operators import clean, dedup, judge, latency, manifest, rules, sample, tasks
-from colloquy.session import table
+from colloquy.session import spread, table
 from colloquy.sources import formats
 from colloquy.streaming import traces
 
@@ -33,7 +33,8 @@ def scenario_name(column: str = "scenario") -> Column:
 
 
 def dialogues(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "dialogues")
+    """The dialogues; one small file is spread over the cores, as the expressions over messages are heavy."""
+    return spread(table(spark, folder, "dialogues"))
 
 
 def q01_dialogue_funnel(spark: SparkSession, folder: str) -> DataFrame:
