@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The characters that count as white space, as a regular-expression class.
 SPACE = r"[\t-\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same characters as a string.
+SPACE_CHARS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: A run of word characters, or one mark.
 TOKEN = r"(?U)\w+|[^\w\s]"
 #: Patterns of e-mail addresses, card numbers (13 to 16 digits) and phone numbers, in the order in which they are replaced.
@@ -20,8 +22,8 @@ PHONE = r"(?<![\w-])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends (Spark's trim only removes U+0020)."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends (Spark's trim only removes U+0020 by itself)."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse(text: Column) -> Column:
@@ -131,4 +133,5 @@ def shingle_hashes(size: int = 5):
             out.append(sorted(xxhash.xxh3_64_intdigest(run) - (1 << 63) for run in runs))
         return pd.Series(out, dtype=object)
 
-    return hashed
+    # Else a filter on the result would be pushed below it, with a second run of the function.
+    return hashed.asNondeterministic()
