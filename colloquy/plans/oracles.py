@@ -133,6 +133,11 @@ def oracle_sql() -> dict[str, str]:
             reach AS (SELECT a, b FROM sides UNION SELECT r.a, x.b FROM reach r JOIN sides x ON r.b = x.a), c AS (SELECT a AS doc_id, min(b) AS cluster_id FROM reach GROUP BY a),
             d AS (SELECT c.*, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(lower(source) LIKE 'synthetic%', false), length(text) DESC, c.doc_id) AS rn FROM c JOIN documents USING (doc_id))
             SELECT doc_id, cluster_id, rn = 1 AS kept FROM d""",
+        "q25_leakage": f"""WITH docs AS (SELECT rec_id, split, list_filter(string_split_regex({canonical('messages')}, '{WS}+'), lambda w: w <> '') AS w FROM dialogues WHERE split IS NOT NULL AND messages IS NOT NULL),
+            runs AS (SELECT DISTINCT rec_id, split, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM docs WHERE len(w) > 0),
+            sizes AS (SELECT rec_id, count(*) AS n FROM runs GROUP BY rec_id),
+            common AS (SELECT x.rec_id AS a, y.rec_id AS b, any_value(x.split) AS p, any_value(y.split) AS q, count(*) AS c FROM runs x JOIN runs y ON x.s = y.s AND x.rec_id < y.rec_id AND x.split <> y.split GROUP BY x.rec_id, y.rec_id)
+            SELECT least(p, q) AS split_a, greatest(p, q) AS split_b, count(*) AS n_pairs FROM common JOIN sizes f ON f.rec_id = a JOIN sizes g ON g.rec_id = b WHERE c / (f.n + g.n - c) >= 0.8 GROUP BY ALL""",
         "q27_common_ids": f"""WITH d AS (SELECT {SCENARIO} AS scenario, gen_config.model_tag AS tag FROM results)
             SELECT scenario FROM d GROUP BY scenario HAVING count(DISTINCT tag) = (SELECT count(DISTINCT tag) FROM d)""",
         "q28_cross_table": f"""WITH s AS ({DIALOGUE_SCORES}) SELECT judge, tag, coalesce(scenario, 'all') AS scenario, dimension, sum(score) / count(*) AS mean,
