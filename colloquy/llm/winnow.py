@@ -1,28 +1,27 @@
-"""Records of evaluation splits in the training split, by winnowing (problem 6).
-
-Of the rolling hashes of all runs of ``GRAM`` words the minimum of every
-``WINDOW`` neighbours is selected, so two texts that share ``GRAM + WINDOW - 1``
-consecutive words share a selected hash. Selected hashes are joined across
-splits. One that few texts hold seeds its pairs at once; a hot one is lengthened
-by the next selected hash, up to three times, so that common phrases don't pair
-everything with everything; at the greatest length all pairs are taken, whatever
-their number. Only hashes that occur in an evaluation split are shuffled at all:
-a bitmap of fixed size skips the rest.
-
-Pairs with enough seeds for their length go on. Their seeds are chained
-(longest collinear chain, with moved blocks as further chains), extended word by
-word to both sides, and the words covered are counted. The pairs of problem 6
-are then checked exactly: runs of three words in common over runs in either.
-
-``MIN_SEEDS`` is below what the similarity implies: with single-word edits,
-texts of n runs at similarity 0.6 share at least 0.16 n runs of nine words, of
-which two fifths are selected, hence 0.064 n seeds; 0.02 n are asked for, at
-least one.
-
-Copies of a text seed once per task and are compared once; only the result names
-their rows. Texts without a run of three words, NULL
-messages and rows of no split have no overlap. A text of fewer than ``GRAM``
-words is one gram as a whole.
+"""Records of evaluation splits in the training split, by signatures of neighbouring runs of words (problem 6).
+
+Texts are sets of runs of ``RUN`` words, sorted by hash. If two texts of n and m
+runs have k in common, the gaps between these in both orders add up to n + m - 2
+at most, so at least 3 (k - 1) - (n + m - 2) times two common runs are neighbours
+in both. At similarity J this is (3 J / (1 + J) - 1) (n + m) - 1, an eighth of the
+runs less one at 0.6. Neighbouring runs thus make signatures, and a text has to
+show only its rarest ones, as many as leave one to be met (prefix filter). Texts
+too short for that show single runs as well. All pairs that share a shown
+signature are joined, whatever their number: no pair at or above the similarity
+is lost. Any order of signatures is right; the frequencies behind it come from a
+sample and decide the cost only. Only signatures that a text of an evaluation split
+shows are shuffled at all: a bitmap of fixed size skips the rest.
+
+Joined pairs go on if sizes, places and the number of shared signatures still
+allow the similarity. They are then checked exactly: runs of three words in
+common over runs in either. For the pairs that pass, common grams of ``GRAM``
+words (fewer for short texts) are chained (longest collinear chain, with moved
+blocks as further chains), extended word by word to both sides, and the words
+covered are counted.
+
+Copies of a text are one text per side when pairs are sought and compared; only
+the result names their rows. Texts without a run of three words, NULL messages
+and rows of no split have no overlap.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.texts import Batch, KeyBitmap, arrow_rows, batches_of, conversation_text, signed, sorted_groups
@@ -40,8 +39,9 @@ from colloquy.llm.words import WordHashes, mix, words
 from colloquy.session import durable, spread
 
 RUN, SIMILARITY = 3, 0.6
-GRAM, WINDOW, LEVELS = 9, 4, 4
-RARE, MIN_SEEDS, HOLD = 16, 0.02, 1 << 13
+GRAM, WINDOW, HOLD = 9, 4, 1 << 13
+#: Frequencies are counted in one of ``SAMPLE`` texts, and kept of the ``FREQUENT`` runs that most of these have.
+SAMPLE, FREQUENT, SLACK = 8, 1 << 17, 1e-6
 
 
 def select_minima(batch: Batch, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -75,53 +75,100 @@ def select_minima(batch: Batch, gram: int = GRAM, window: int = WINDOW) -> tuple
     return text[order], value[order]
 
 
-def lengthened(text: np.ndarray, value: np.ndarray, levels: int = LEVELS) -> np.ndarray:
-    """Row per level: each selected hash with its next ones in the same text, 32 bits beyond level 0."""
-    out = np.empty((levels, len(value)), np.uint64)
-    out[0] = value
-    total = value.copy()
-    for level in range(1, levels):
-        following = np.zeros_like(value)
-        if len(value) > level:
-            same = text[:-level] == text[level:]
-            following[:-level] = np.where(same, value[level:], np.uint64(level))
-        with np.errstate(over="ignore"):
-            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + following)
-        out[level] = total >> np.uint64(32)
-    return out
+class RunOrder:
+    """Classes of the frequency of runs in a sample of the texts, from a table of fixed size; rarer runs are in class 0."""
+
+    def __init__(self, texts: DataFrame, sample: int = SAMPLE, frequent: int = FREQUENT) -> None:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches_of(batches):
+                own = Batch(batch.column(0).to_pylist(), hashes)
+                runs, n = np.unique(own.runs(RUN)[0] >> np.uint64(8), return_counts=True)
+                yield arrow_rows({"run": (signed(runs), pa.int64()), "n": (n, pa.int64())})
+
+        chosen = spread(texts.select("key", "text")).where(F.pmod("key", F.lit(sample)) == 0).select("text")
+        counts = chosen.mapInArrow(count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
+        top = counts.orderBy(F.desc("n"), "run").limit(frequent).toArrow()
+        runs = top.column("run").to_numpy().view(np.uint64)
+        order = np.argsort(runs)
+        self.runs = runs[order]
+        self.classes = np.minimum(8 * np.log2(top.column("n").to_numpy()[order]), 127).astype(np.uint64)
+
+    def __call__(self, runs: np.ndarray) -> np.ndarray:
+        own = runs >> np.uint64(8)
+        if not len(self.runs):
+            return np.zeros(len(own), np.uint64)
+        place = np.minimum(np.searchsorted(self.runs, own), len(self.runs) - 1)
+        return np.where(self.runs[place] == own, self.classes[place], np.uint64(0))
+
+
+def shared_bound(similarity: float, single: bool) -> tuple[float, int]:
+    """(a, b): texts of n and m runs at the similarity share at least a (n + m) - b signatures."""
+    share = similarity / (1 + similarity)
+    return (share, 0) if single else (3 * share - 1, 1)
+
+
+def least_shared(sizes: np.ndarray, similarity: float, single: bool) -> np.ndarray:
+    """Signatures a text shares with any similar one, at least one."""
+    a, b = shared_bound(similarity, single)
+    return np.maximum(1, np.ceil(a * (sizes + np.ceil(similarity * sizes - SLACK)) - b - SLACK)).astype(np.int64)
+
+
+def is_short(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a similar text may share no neighbouring runs."""
+    a, b = shared_bound(similarity, False)
+    return a * (sizes + np.ceil(similarity * sizes - SLACK)) - b < 1
+
+
+def prefixes(batch: Batch, order: RunOrder, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature, facts without ``held``) of what all texts show."""
+    runs, first = batch.runs(RUN)
+    text = batch.text_of[first]
+    by = np.lexsort((runs, text))
+    text, runs = text[by], runs[by]
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (runs[1:] != runs[:-1])
+    text, runs = text[fresh], runs[fresh]
+    sizes, ranks = np.bincount(text, minlength=len(batch.arrays)).astype(np.int64), order(runs)
+    inside = np.flatnonzero(text[1:] == text[:-1])
+    with np.errstate(over="ignore"):
+        pairs = mix(runs[inside] * np.uint64(0x9E3779B97F4A7C15) + runs[inside + 1])
+    short = is_short(sizes, similarity)[text]
+    out = []
+    for single, own, value, rank in ((0, text[inside], pairs, ranks[inside] + ranks[inside + 1]), (1, text[short], runs[short], ranks[short])):
+        by = np.lexsort((value, rank, own))
+        own, value = own[by], value[by]
+        count = np.bincount(own, minlength=len(sizes))
+        place = np.arange(len(own)) - (np.cumsum(count) - count)[own]
+        shown = place <= (count - least_shared(sizes, similarity, bool(single)))[own]
+        out.append((own[shown], value[shown], (sizes[own[shown]] << 32) | (place[shown] << 2) | (single << 1)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-#: h12 and h3 hold the lengthened hashes of 32 bits (level 1 above level 2, level 3 above twice the number of runs plus ``held``).
-SEEDS = "h0 bigint, h12 bigint, h3 bigint, key bigint"
-_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+#: ``facts`` has the number of runs above 32 bits of the place, of one bit for single runs and of ``held``.
+SEEDS = "signature bigint, key bigint, facts bigint"
 
 
-def selected(rows: DataFrame, wanted: KeyBitmap | None = None) -> DataFrame:
-    """Selected hashes of ``rows`` (key, text, held), where equal texts have equal keys; each text once per task and side."""
-    shared = rows.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
+def selected(rows: DataFrame, order: RunOrder, similarity: float = SIMILARITY, wanted: KeyBitmap | None = None) -> DataFrame:
+    """Shown signatures of ``rows`` (key, text, held), where equal texts have equal keys; each text once per task and side."""
+    shared = rows.sparkSession.sparkContext.broadcast((order, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
+        order, wanted = shared.value
         for batch in batches_of(batches):
             fresh = []
             for one in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 fresh.append(one not in seen)
                 seen.add(one)
             batch = batch.filter(pa.array(fresh, pa.bool_()))
-            own = Batch(batch.column(1).to_pylist(), hashes)
-            keys = batch.column(0).to_numpy()
-            held = np.array(batch.column(2).to_pylist(), bool)
-            text, value = select_minima(own)
-            levels = lengthened(text, value)
-            if shared is not None:
-                keep = shared.value.may_have(signed(value))
-                text, levels = text[keep], levels[:, keep]
-            sizes = own.distinct_runs(RUN)
-            tail = np.minimum(sizes, (1 << 31) - 1).astype(np.uint64) * np.uint64(2) + held
-            yield arrow_rows({
-                "h0": (signed(np.ascontiguousarray(levels[0])), pa.int64()), "h12": (signed((levels[1] << _HALF) | levels[2]), pa.int64()),
-                "h3": (signed((levels[3] << _HALF) | tail[text]), pa.int64()), "key": (keys[text], pa.int64()),
-            })
+            keys, held = batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), bool)
+            text, value, facts = prefixes(Batch(batch.column(1).to_pylist(), hashes), order, similarity)
+            facts = facts | held[text]
+            if wanted is not None:
+                keep = wanted.may_have(signed(value))
+                text, value, facts = text[keep], value[keep], facts[keep]
+            yield arrow_rows({"signature": (signed(value), pa.int64()), "key": (keys[text], pa.int64()), "facts": (facts, pa.int64())})
 
     return spread(rows.select("key", "text", "held")).mapInArrow(run, SEEDS)
 
@@ -137,101 +184,104 @@ def _pairs_of(order: np.ndarray, first: np.ndarray, n_train: np.ndarray, n_held:
         yield order[first[group] + n_train[group] + spot % n_held[group]], order[first[group] + spot // n_held[group]]
 
 
-def group_pairs(columns: list[np.ndarray], similarity: float, rare: int = RARE, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Seeds as (held-out key, training key, runs, seeds) of a chunk of whole groups of the first level.
+def group_pairs(columns: list[np.ndarray], similarity: float, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Shared signatures of pairs, added up, of a chunk of whole groups; a text counts once, whatever tasks it comes from.
 
-    Pairs whose numbers of runs exclude the similarity are left out; the rest
-    comes in blocks of bounded size.
+    Pairs whose numbers of runs or places exclude the similarity are left out;
+    the rest comes in blocks of bounded size.
     """
-    h0, h12, h3, key = columns
-    held = (h3 & 1).astype(np.int64)
-    runs = (h3.view(np.uint64) & _LOW).astype(np.int64) >> 1
-    deeper = [None, h12.view(np.uint64) >> _HALF, h12.view(np.uint64) & _LOW, h3.view(np.uint64) >> _HALF]
-    rows = np.arange(len(h0))
-    group = np.cumsum(np.concatenate([[0], h0[1:] != h0[:-1]]))
-    for level in range(LEVELS):
-        if level == 1:  # a text comes from every task that has a copy; once is enough for what remains
-            order = np.lexsort((h3[rows], h12[rows], key[rows], held[rows], group))
-            rows, group = rows[order], group[order]
-            same = np.ones(max(0, len(rows) - 1), bool)
-            for column in (h3[rows], h12[rows], key[rows], group):
-                same &= column[1:] == column[:-1]
-            keep = np.concatenate([np.ones(min(1, len(rows)), bool), ~same])
-            rows, group = rows[keep], group[keep]
-        if level:
-            order = np.lexsort((held[rows], deeper[level][rows], group))
-            rows, group = rows[order], group[order]
-            group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (deeper[level][rows][1:] != deeper[level][rows][:-1])])) if len(rows) else group
-        if not len(rows):
-            return
-        n_held = np.bincount(group, held[rows], minlength=int(group[-1]) + 1).astype(np.int64)
-        n_train = np.bincount(group, minlength=len(n_held)) - n_held
+    for single in (0, 1):
+        signature, key, facts = (c[(columns[2] >> 1) & 1 == single] for c in columns)
+        if not len(key):
+            continue
+        held = facts & 1
+        rows = np.lexsort((key, held, signature))
+        same = (signature[rows][1:] == signature[rows][:-1]) & (key[rows][1:] == key[rows][:-1]) & (held[rows][1:] == held[rows][:-1])
+        rows = rows[np.concatenate([[True], ~same])]
+        group = np.cumsum(np.concatenate([[0], signature[rows][1:] != signature[rows][:-1]]))
+        n_held = np.bincount(group, held[rows]).astype(np.int64)
+        n_train = np.bincount(group) - n_held
+        first = np.cumsum(n_held + n_train) - (n_held + n_train)
+        size, place = facts >> 32, (facts & 0xFFFFFFFF) >> 2
         both = (n_held > 0) & (n_train > 0)
-        take = both & (n_held * n_train <= rare) if level < LEVELS - 1 else both
-        chosen, own = rows[take[group]], group[take[group]]
-        chosen = chosen[np.argsort(own * 2 + held[chosen], kind="stable")]
-        first = np.cumsum((n_held + n_train)[take]) - (n_held + n_train)[take]
-        for test, train in _pairs_of(chosen, first, n_train[take], n_held[take], block):
-            less, more = np.minimum(runs[train], runs[test]), np.maximum(runs[train], runs[test])
-            fit = less >= similarity * more
-            yield _added(key[test][fit], key[train][fit], less[fit])
-        later = (both & ~take)[group]
-        rows, group = rows[later], group[later]
-
-
-def _added(held_key: np.ndarray, train_key: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
-    """Seeds of one pair added up before the shuffle: number of seeds, runs, and both texts."""
+        a, b = shared_bound(similarity, bool(single))
+        for test, train in _pairs_of(rows, first[both], n_train[both], n_held[both], block):
+            n, m, i, j = size[test], size[train], place[test], place[train]
+            fit = np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK
+            fit &= np.minimum(i, j) + np.minimum(n - i, m - j) - (1 - single) >= a * (n + m) - b - SLACK
+            yield _added(key[test[fit]], key[train[fit]], n[fit], m[fit], i[fit], j[fit], single)
+
+
+def _added(held_key: np.ndarray, train_key: np.ndarray, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, single: int) -> pa.RecordBatch:
+    """Shared signatures of a pair added up before the shuffle: how many, the texts' sizes, and the last places."""
     order = np.lexsort((train_key, held_key))
-    a, b, n = held_key[order], train_key[order], runs[order]
+    a, b = held_key[order], train_key[order]
     edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    seeds = np.diff(np.concatenate([edges, [len(a)]])).astype(np.int64)
-    return _searched(seeds, n[edges], a[edges], b[edges], hot=False)
+    shared = np.diff(np.concatenate([edges, [len(a)]])).astype(np.int64)
+    last = [np.maximum.reduceat(x[order], edges) if len(edges) else x for x in (i, j)]
+    return _searched(a[edges], b[edges], (n[order][edges] << 32) | m[order][edges], (last[0] << 32) | last[1], (shared << 1) | single)
 
 
-def _searched(*columns: np.ndarray, hot: bool) -> pa.RecordBatch:
-    rows = {f"c{i}": (c, pa.int64()) for i, c in enumerate(columns)}
-    return arrow_rows(rows | {"hot": (np.full(len(columns[0]), hot), pa.bool_())})
+def _searched(*columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of pairs (both keys, both sizes, both places, shared signatures and their kind), or of hot groups, whose last columns are NULL."""
+    rows = {f"c{k}": (columns[k], pa.int64()) if k < len(columns) else (pa.nulls(len(columns[0]), pa.int64()), pa.int64()) for k in range(5)}
+    return arrow_rows(rows)
 
 
 def seed_pairs(seeds: DataFrame, similarity: float = SIMILARITY, hold: int = HOLD) -> DataFrame:
-    """Candidate pairs with enough common seeds.
+    """Candidate pairs: all that share a shown signature, but for those that counts exclude.
 
     Groups of more than ``hold`` rows are not joined in the task; their rows go
-    to a join of Spark's at the greatest length, which spills and splits skew.
+    to a join of Spark's, which spills and splits skew and gives the same pairs.
+
+    Of two shown prefixes, one ends first in the order of signatures. Common ones
+    up to there are all counted; beyond it that text has only the rest of its
+    signatures, and the other those after the last shared place.
     """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, hot in sorted_groups(batches, hold):
             if hot:
-                yield _searched(*columns, hot=True)
+                yield _searched(*columns)
             else:
                 yield from group_pairs(columns, similarity)
 
-    ordered = seeds.repartition("h0").sortWithinPartitions("h0")
-    searched = durable(ordered.mapInArrow(search, "c0 bigint, c1 bigint, c2 bigint, c3 bigint, hot boolean"))
-    pairs = searched.where("NOT hot").select(F.col("c2").alias("held_key"), F.col("c3").alias("train_key"), F.col("c1").alias("n"), F.col("c0").alias("seeds"))
-    runs = F.shiftright(F.col("c2").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
-    crowd = searched.where("hot").select(
-        F.col("c0").alias("h0"), F.col("c1").alias("h12"), F.shiftrightunsigned("c2", 32).alias("level3"), runs.alias("runs"),
-        (F.col("c2").bitwiseAND(F.lit(1)) == 1).alias("held"), F.col("c3").alias("key"),
+    ordered = seeds.repartition("signature").sortWithinPartitions("signature")
+    searched = durable(ordered.mapInArrow(search, "c0 bigint, c1 bigint, c2 bigint, c3 bigint, c4 bigint"))
+    high, low = lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    kind = lambda c, bit: (F.shiftright(c, bit).bitwiseAND(F.lit(1)) == 1).alias("single")
+    pairs = searched.where("c4 IS NOT NULL").select(
+        F.col("c0").alias("held_key"), F.col("c1").alias("train_key"), kind("c4", 0), high("c2").alias("n"), low("c2").alias("m"), high("c3").alias("i"), low("c3").alias("j"), F.shiftright("c4", 1).alias("shared")
+    )
+    either = lambda one, two: F.when(F.col("single"), one).otherwise(two)
+    (a1, b1), (a2, b2) = shared_bound(similarity, True), shared_bound(similarity, False)
+    both, less = F.col("n") + F.col("m"), either(F.lit(0), F.lit(1))
+    need = either(a1 * both - b1, a2 * both - b2) - SLACK
+    alike = (F.least("n", "m") >= similarity * F.greatest("n", "m") - SLACK) & (F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - less >= need)
+    crowd = searched.where("c4 IS NULL").select(
+        F.col("c0").alias("signature"), F.col("c1").alias("key"), kind("c2", 1), high("c2").alias("size"), F.shiftright(low("c2"), 2).alias("place"), (F.col("c2").bitwiseAND(F.lit(1)) == 1).alias("held")
     ).distinct()
-    levels = ["h0", "h12", "level3"]
-    a = crowd.where("held").select(*levels, F.col("key").alias("held_key"), F.col("runs").alias("a_runs"))
-    b = crowd.where("NOT held").select(*levels, F.col("key").alias("train_key"), F.col("runs").alias("b_runs"))
-    n = F.least("a_runs", "b_runs")
-    met = a.join(b, levels).where(n >= similarity * F.greatest("a_runs", "b_runs")).select("held_key", "train_key", n.alias("n"), F.lit(1).cast("bigint").alias("seeds"))
-    total = pairs.unionByName(met).groupBy("held_key", "train_key").agg(F.sum("seeds").alias("seeds"), F.max("n").alias("n"))
-    return total.where(F.col("seeds") >= F.greatest(F.lit(1.0), MIN_SEEDS * F.col("n"))).select("held_key", "train_key")
+    a = crowd.where("held").select("signature", "single", F.col("key").alias("held_key"), F.col("size").alias("n"), F.col("place").alias("i"))
+    b = crowd.where("NOT held").select("signature", "single", F.col("key").alias("train_key"), F.col("size").alias("m"), F.col("place").alias("j"))
+    met = a.join(b, ["signature", "single"]).where(alike).select("held_key", "train_key", "single", "n", "m", "i", "j", F.lit(1).cast("bigint").alias("shared"))
+    total = pairs.unionByName(met).groupBy("held_key", "train_key", "single").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in "nmij"))
+
+    def rest(c: str) -> Column:
+        size = F.col(c) + F.ceil(similarity * F.col(c) - SLACK)
+        return F.greatest(F.lit(1), F.ceil(either(a1 * size - b1, a2 * size - b2) - SLACK)) - 1
+
+    beyond = F.greatest(F.least(rest("n"), F.col("m") - 1 - less - F.col("j")), F.least(rest("m"), F.col("n") - 1 - less - F.col("i")))
+    return total.where(F.col("shared") + beyond >= need).select("held_key", "train_key").distinct()
 
 
 def align(a: np.ndarray, b: np.ndarray, gram: int = GRAM) -> tuple[int, int]:
     """Words of ``a`` and of ``b`` that lie in common chains.
 
-    Seeds are all grams of equal words. Seeds on one diagonal chain to a block,
+    Seeds are all grams of equal words, of a quarter of the shorter text at most. Seeds on one diagonal chain to a block,
     blocks are extended to both sides as long as the words agree, and the
     blocks are taken longest first; each covers words not covered before, so
     reordered parts count too.
     """
-    gram = min(gram, len(a), len(b))
+    gram = min(gram, max(RUN, min(len(a), len(b)) // 4), len(a), len(b))
     if gram == 0:
         return 0, 0
     ga = np.lib.stride_tricks.sliding_window_view(a, gram)
@@ -320,8 +370,9 @@ COMPARED = "held_key bigint, train_key bigint, similarity double, held_covered b
 
 def overlaps(texts: DataFrame, similarity: float = SIMILARITY, hold: int = HOLD, bitmap_bits: int = 26) -> DataFrame:
     """Overlapping pairs of ``texts`` (``key`` bigint, equal for equal texts; ``text``; ``held``: evaluation or training)."""
-    held_hashes = selected(texts.where("held")).select("h0")
-    seeds = selected(texts, KeyBitmap(held_hashes, "h0", bitmap_bits))
+    order = RunOrder(texts)
+    held_signatures = selected(texts.where("held"), order, similarity).select("signature")
+    seeds = selected(texts, order, similarity, KeyBitmap(held_signatures, "signature", bitmap_bits))
     close = durable(seed_pairs(seeds, similarity, hold))
     keys = close.select(F.col("held_key").alias("key")).union(close.select("train_key")).distinct()
     arrays = word_arrays(texts, KeyBitmap(keys, "key", bitmap_bits))

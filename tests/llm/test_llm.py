@@ -102,6 +102,33 @@ def test_overlaps_equal_brute_force(spark, near_rows, hold):
     assert all(r.held_covered <= r.held_words for r in found.collect())
 
 
+def overlapping(spark, rows, **options):
+    """Found and true (held-out, training) rows of ``rows`` (row, text, held)."""
+    df = spark.createDataFrame(rows, "row long, text string, held boolean").withColumn("key", F.xxhash64("text")).repartition(3)
+    a = df.where("held").select(F.col("key").alias("held_key"), F.col("row").alias("x"))
+    b = df.where("NOT held").select(F.col("key").alias("train_key"), F.col("row").alias("y"))
+    found = winnow.overlaps(df, **options).join(a, "held_key").join(b, "train_key").collect()
+    return {(r.x, r.y) for r in found}, {(x, y) for x, s, h in rows for y, t, g in rows if h and not g and jaccard3(s, t) >= 0.6}, found
+
+
+def edited_group(count, length=60, every=10):
+    """Copies of one text, each with other words at its own places, at most ``every`` apart."""
+    rng = random.Random(8)
+    base = random_texts(7, 1, length)[0]
+    rows = []
+    for i in range(count):
+        own = list(base)
+        for at in range(rng.randrange(every), length, 2 * every):
+            own[at] = f"x{i}at{at}"
+        rows.append((i, " ".join(own), i % 3 == 0))
+    return rows
+
+
+def test_overlaps_of_a_group_whose_runs_are_all_hot(spark):
+    got, want, _ = overlapping(spark, edited_group(120))
+    assert want and got == want
+
+
 def test_alignment_covers_moved_blocks():
     a = np.arange(60, dtype=np.uint64)
     assert winnow.align(a, np.concatenate([a[30:], a[:30]])) == (60, 60)
