@@ -129,6 +129,11 @@ def test_overlaps_of_a_group_whose_runs_are_all_hot(spark):
     assert want and got == want
 
 
+def test_overlaps_do_not_depend_on_hold(spark):
+    got, want, _ = overlapping(spark, edited_group(90), hold=8)
+    assert want and got == want
+
+
 def test_alignment_covers_moved_blocks():
     a = np.arange(60, dtype=np.uint64)
     assert winnow.align(a, np.concatenate([a[30:], a[:30]])) == (60, 60)
