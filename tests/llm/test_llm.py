@@ -134,6 +134,16 @@ def test_overlaps_do_not_depend_on_hold(spark):
     assert want and got == want
 
 
+def test_overlaps_of_short_texts(spark):
+    rng = random.Random(11)
+    rows = []
+    for length in range(3, 25):
+        for base in random_texts(length, 3, length):
+            rows += [(len(rows) + k, " ".join(x), k == 0) for k, x in enumerate([base, base[:-1] + ["other"], ["more", *base], [*base[:-1], rng.choice(VOCABULARY), base[-1]]])]
+    got, want, found = overlapping(spark, rows)
+    assert len(want) > 100 and got == want and all(r.held_covered > 0 for r in found)
+
+
 def test_alignment_covers_moved_blocks():
     a = np.arange(60, dtype=np.uint64)
     assert winnow.align(a, np.concatenate([a[30:], a[:30]])) == (60, 60)
