@@ -48,27 +48,27 @@ SIZE_STEP = 1.05
 SIZE_GAP = int(np.ceil(np.log(1 / SIMILARITY) / np.log(SIZE_STEP))) + 2
 HOT, LEAF, POINTS, KEY_BLOCK = 4096, 32, 64, 4096
 
-_ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def minimum_hashes(batch: Batch, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+def minimum_hashes(batch: Batch, run: int = RUN, count: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Minimum hashes (one row per hash) of the texts that have a run, and which texts these are."""
     runs, first = batch.runs(run)
     owner = batch.text_of[first]
     edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-    out = np.empty((BANDS * ROWS, len(edges)), np.uint64)
+    out = np.empty((count, len(edges)), np.uint32)
     if len(edges):
-        product = np.empty_like(runs)
-        for k, factor in enumerate(_ODD):
+        high = (runs >> np.uint64(32)).astype(np.uint32)
+        product = np.empty_like(high)
+        odd = (mix(np.arange(1, count + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        for k, factor in enumerate(odd):
             # The sums with a per-hash constant make the minima of the products independent of each other.
-            np.multiply(runs ^ (factor >> np.uint64(7)), factor, out=product)
+            np.multiply(high ^ (factor >> np.uint32(7)), factor, out=product)
             np.minimum.reduceat(product, edges, out=out[k])
     return out, owner[edges]
 
 
 def fingerprints(minima: np.ndarray, sizes: np.ndarray, text_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two halves of the ids: 64 bits of the fingerprint; its other 32 bits, 8 bits of size and 24 bits of the text's hash."""
-    bits = (mix(minima[:96]) >> np.uint64(17)) & np.uint64(1)
+    with np.errstate(over="ignore"):
+        bits = (mix(minima[:96].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(17)) & np.uint64(1)
     place = np.arange(64, dtype=np.uint64)[:, None]
     high = np.bitwise_or.reduce(bits[:64] << place, axis=0)
     low = np.bitwise_or.reduce(bits[64:] << (place[:32] + np.uint64(32)), axis=0)
@@ -76,12 +76,12 @@ def fingerprints(minima: np.ndarray, sizes: np.ndarray, text_hashes: np.ndarray)
     return high, low | (size << np.uint64(24)) | (text_hashes >> np.uint64(40))
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
+def band_keys(minima: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One key per band (row) and text."""
-    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], minima.shape[1], axis=1)
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], minima.shape[1], axis=1)
     with np.errstate(over="ignore"):
         for k in range(ROWS):
-            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + minima[k::ROWS][:BANDS])
+            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + minima[k::ROWS][:bands].astype(np.uint64))
     return keys >> np.uint64(8)
 
 

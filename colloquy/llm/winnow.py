@@ -1,23 +1,27 @@
-"""Records of evaluation splits in the training split, by signatures of neighbouring runs of words (problem 6).
-
-Texts are sets of runs of ``RUN`` words, sorted by hash. If two texts of n and m
-runs have k in common, the gaps between these in both orders add up to n + m - 2
-at most, so at least 3 (k - 1) - (n + m - 2) times two common runs are neighbours
-in both. At similarity J this is (3 J / (1 + J) - 1) (n + m) - 1, an eighth of the
-runs less one at 0.6. Neighbouring runs thus make signatures, and a text has to
-show only its rarest ones, as many as leave one to be met (prefix filter). Texts
-too short for that show single runs as well. All pairs that share a shown
-signature are joined, whatever their number: no pair at or above the similarity
-is lost. Any order of signatures is right; the frequencies behind it come from a
-sample and decide the cost only. Only signatures that a text of an evaluation split
-shows are shuffled at all: a bitmap of fixed size skips the rest.
-
-Joined pairs go on if sizes, places and the number of shared signatures still
-allow the similarity. They are then checked exactly: runs of three words in
-common over runs in either. For the pairs that pass, common grams of ``GRAM``
-words (fewer for short texts) are chained (longest collinear chain, with moved
-blocks as further chains), extended word by word to both sides, and the words
-covered are counted.
+"""Records of evaluation splits in the training split, by minima of rolling hashes (problem 6).
+
+The rolling hashes of a text are those of its runs of ``RUN`` words. Minima are
+selected twice, over windows of different width:
+
+* over the whole text, under ``BANDS * ROWS`` orders. ``ROWS`` of them make a seed, and
+  seeds are joined across splits. Narrow windows would be the plain form of winnowing,
+  but their minima are phrases, and common phrases join nearly every pair: on 114,000
+  dialogues windows of 6 runs gave 540 million joined pairs, these seeds 0.7 million.
+  Texts of similarity J share no seed with probability (1 - J**ROWS)**BANDS, below
+  2 in a million at 0.6. Every text that shares a seed is joined, whatever their number;
+* over windows of ``WINDOW`` grams, where the joined texts are aligned: equal selected
+  grams are seeds of an alignment, chained collinearly (the longest chain first,
+  then what is left, so that moved blocks chain as well), extended to both sides
+  past single other words, and the words covered are counted.
+
+Between the two, joined pairs are compared exactly: runs of three words in common
+over runs in either. Before that, pairs are left out whose sizes exclude the
+similarity or whose fingerprints (96 bits, as in problem 1) lie more than ``RADIUS``
+apart, which a pair at 0.6 does with a probability below 2 in a million.
+
+Only seeds that a text of an evaluation split has are shuffled: a bitmap of fixed size
+skips the rest. Seeds that a sample shows to be hot never meet in one task: they
+go to a salted join.
 
 Copies of a text are one text per side when pairs are sought and compared; only
 the result names their rows. Texts without a run of three words, NULL messages
@@ -31,21 +35,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.texts import Batch, KeyBitmap, arrow_rows, batches_of, conversation_text, signed, sorted_groups
-from colloquy.llm.words import WordHashes, mix, words
+from colloquy.llm.vptree import ROWS, SIZE_GAP, alike, band_keys, fingerprints, minimum_hashes
+from colloquy.llm.words import WordHashes, words
 from colloquy.session import durable, spread
 
 RUN, SIMILARITY = 3, 0.6
-GRAM, WINDOW, HOLD = 9, 4, 1 << 13
-#: Frequencies are counted in one of ``SAMPLE`` texts, and kept of the ``FREQUENT`` runs that most of these have.
-SAMPLE, FREQUENT, SLACK = 8, 1 << 17, 1e-6
+BANDS, RADIUS = 96, 38
+GRAM, WINDOW, DROP = 9, 4, 3
+#: Seeds with more than ``HOLD`` rows are joined by Spark, in ``SALTS`` parts; a sample of one in ``SAMPLE`` texts foretells them.
+HOLD, SALTS, SAMPLE = 1 << 13, 16, 64
 
 
-def select_minima(batch: Batch, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the selected grams of all texts, in order; ties go to the right."""
+def selected_grams(batch: Batch, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first word) of the least gram of each window, in order; ties go to the right."""
     grams, first = batch.runs(gram)
     owner = batch.text_of[first]
     chosen = np.zeros(len(grams), bool)
@@ -59,118 +65,49 @@ def select_minima(batch: Batch, gram: int = GRAM, window: int = WINDOW) -> tuple
             best = np.where(less, other, best)
             place = np.where(less, np.arange(count) + k, place)
         chosen[place[inside]] = True
-    # Texts with fewer grams than a window select their least one, texts without any gram are one.
+    # Texts with fewer grams than a window select them all.
     sizes = np.bincount(owner, minlength=len(batch.arrays))
-    extra_text, extra_hash = [], []
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    for i in np.flatnonzero(sizes < window):
-        if sizes[i]:
-            chosen[start[i] + int(np.argmin(grams[start[i] : start[i + 1]]))] = True
-        elif len(batch.arrays[i]) >= RUN:
-            extra_text.append(i)
-            extra_hash.append(xxhash.xxh3_64_intdigest(batch.arrays[i].tobytes()))
-    text = np.concatenate([owner[chosen], np.array(extra_text, np.int64)])
-    value = np.concatenate([grams[chosen], np.array(extra_hash, np.uint64)])
-    order = np.argsort(text, kind="stable")
-    return text[order], value[order]
-
-
-class RunOrder:
-    """Classes of the frequency of runs in a sample of the texts, from a table of fixed size; rarer runs are in class 0."""
-
-    def __init__(self, texts: DataFrame, sample: int = SAMPLE, frequent: int = FREQUENT) -> None:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for batch in batches_of(batches):
-                own = Batch(batch.column(0).to_pylist(), hashes)
-                runs, n = np.unique(own.runs(RUN)[0] >> np.uint64(8), return_counts=True)
-                yield arrow_rows({"run": (signed(runs), pa.int64()), "n": (n, pa.int64())})
-
-        chosen = spread(texts.select("key", "text")).where(F.pmod("key", F.lit(sample)) == 0).select("text")
-        counts = chosen.mapInArrow(count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
-        top = counts.orderBy(F.desc("n"), "run").limit(frequent).toArrow()
-        runs = top.column("run").to_numpy().view(np.uint64)
-        order = np.argsort(runs)
-        self.runs = runs[order]
-        self.classes = np.minimum(8 * np.log2(top.column("n").to_numpy()[order]), 127).astype(np.uint64)
-
-    def __call__(self, runs: np.ndarray) -> np.ndarray:
-        own = runs >> np.uint64(8)
-        if not len(self.runs):
-            return np.zeros(len(own), np.uint64)
-        place = np.minimum(np.searchsorted(self.runs, own), len(self.runs) - 1)
-        return np.where(self.runs[place] == own, self.classes[place], np.uint64(0))
-
-
-def shared_bound(similarity: float, single: bool) -> tuple[float, int]:
-    """(a, b): texts of n and m runs at the similarity share at least a (n + m) - b signatures."""
-    share = similarity / (1 + similarity)
-    return (share, 0) if single else (3 * share - 1, 1)
-
-
-def least_shared(sizes: np.ndarray, similarity: float, single: bool) -> np.ndarray:
-    """Signatures a text shares with any similar one, at least one."""
-    a, b = shared_bound(similarity, single)
-    return np.maximum(1, np.ceil(a * (sizes + np.ceil(similarity * sizes - SLACK)) - b - SLACK)).astype(np.int64)
-
-
-def is_short(sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether a similar text may share no neighbouring runs."""
-    a, b = shared_bound(similarity, False)
-    return a * (sizes + np.ceil(similarity * sizes - SLACK)) - b < 1
-
-
-def prefixes(batch: Batch, order: RunOrder, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, signature, facts without ``held``) of what all texts show."""
-    runs, first = batch.runs(RUN)
-    text = batch.text_of[first]
-    by = np.lexsort((runs, text))
-    text, runs = text[by], runs[by]
-    fresh = np.ones(len(text), bool)
-    fresh[1:] = (text[1:] != text[:-1]) | (runs[1:] != runs[:-1])
-    text, runs = text[fresh], runs[fresh]
-    sizes, ranks = np.bincount(text, minlength=len(batch.arrays)).astype(np.int64), order(runs)
-    inside = np.flatnonzero(text[1:] == text[:-1])
-    with np.errstate(over="ignore"):
-        pairs = mix(runs[inside] * np.uint64(0x9E3779B97F4A7C15) + runs[inside + 1])
-    short = is_short(sizes, similarity)[text]
-    out = []
-    for single, own, value, rank in ((0, text[inside], pairs, ranks[inside] + ranks[inside + 1]), (1, text[short], runs[short], ranks[short])):
-        by = np.lexsort((value, rank, own))
-        own, value = own[by], value[by]
-        count = np.bincount(own, minlength=len(sizes))
-        place = np.arange(len(own)) - (np.cumsum(count) - count)[own]
-        shown = place <= (count - least_shared(sizes, similarity, bool(single)))[own]
-        out.append((own[shown], value[shown], (sizes[own[shown]] << 32) | (place[shown] << 2) | (single << 1)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    chosen |= (sizes < window)[owner] if len(owner) else chosen
+    return owner[chosen], grams[chosen], first[chosen] - batch.start[owner[chosen]]
 
 
-#: ``facts`` has the number of runs above 32 bits of the place, of one bit for single runs and of ``held``.
-SEEDS = "signature bigint, key bigint, facts bigint"
+def select_minima(batch: Batch, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    return selected_grams(batch, gram, window)[:2]
+
 
+FEATURES = "key bigint, held boolean, high bigint, low bigint, seeds array<bigint>"
 
-def selected(rows: DataFrame, order: RunOrder, similarity: float = SIMILARITY, wanted: KeyBitmap | None = None) -> DataFrame:
-    """Shown signatures of ``rows`` (key, text, held), where equal texts have equal keys; each text once per task and side."""
-    shared = rows.sparkSession.sparkContext.broadcast((order, wanted))
+
+def text_seeds(rows: DataFrame, wanted: KeyBitmap | None = None) -> DataFrame:
+    """``key, held, high, low, seeds`` of each text with a run of ``rows`` (key, text, held), once per task and side; only seeds that may be wanted."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        order, wanted = shared.value
+        hashes, seen, wanted = WordHashes(), set(), shared.value
         for batch in batches_of(batches):
             fresh = []
             for one in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 fresh.append(one not in seen)
                 seen.add(one)
             batch = batch.filter(pa.array(fresh, pa.bool_()))
-            keys, held = batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), bool)
-            text, value, facts = prefixes(Batch(batch.column(1).to_pylist(), hashes), order, similarity)
-            facts = facts | held[text]
-            if wanted is not None:
-                keep = wanted.may_have(signed(value))
-                text, value, facts = text[keep], value[keep], facts[keep]
-            yield arrow_rows({"signature": (signed(value), pa.int64()), "key": (keys[text], pa.int64()), "facts": (facts, pa.int64())})
+            own = Batch(batch.column(1).to_pylist(), hashes)
+            minima, which = minimum_hashes(own, RUN, BANDS * ROWS)
+            text_hash = np.array([xxhash.xxh3_64_intdigest(own.arrays[i].tobytes()) for i in which], np.uint64)
+            high, low = fingerprints(minima, own.distinct_runs(RUN)[which], text_hash)
+            seeds = signed(np.ascontiguousarray(band_keys(minima, BANDS).T))
+            keep = np.ones(seeds.shape, bool) if wanted is None else wanted.may_have(seeds.ravel()).reshape(seeds.shape)
+            offsets = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(seeds[keep], pa.int64()))
+            take = pa.array(which)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(signed(high)), pa.array(signed(low)), lists], ["key", "held", "high", "low", "seeds"])
 
-    return spread(rows.select("key", "text", "held")).mapInArrow(run, SEEDS)
+    return spread(rows.select("key", "text", "held")).mapInArrow(run, FEATURES)
+
+
+def hot_seeds(made: DataFrame, hold: int) -> KeyBitmap:
+    """The seeds that more than ``hold`` texts may have, from the sampled texts, as a bitmap of fixed size."""
+    sample = made.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select(F.explode("seeds").alias("seed"))
+    return KeyBitmap(sample.groupBy("seed").count().where(F.col("count") > max(4, hold // (2 * SAMPLE))), "seed", 20)
 
 
 def _pairs_of(order: np.ndarray, first: np.ndarray, n_train: np.ndarray, n_held: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -184,134 +121,131 @@ def _pairs_of(order: np.ndarray, first: np.ndarray, n_train: np.ndarray, n_held:
         yield order[first[group] + n_train[group] + spot % n_held[group]], order[first[group] + spot // n_held[group]]
 
 
-def group_pairs(columns: list[np.ndarray], similarity: float, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Shared signatures of pairs, added up, of a chunk of whole groups; a text counts once, whatever tasks it comes from.
+SEARCHED = "hot bigint, held_key bigint, train_key bigint, high bigint, low bigint, held boolean"
+
+
+def group_pairs(columns: list[np.ndarray], radius: int = RADIUS, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pairs of keys across splits in a chunk of whole groups of equal seeds, in blocks of bounded size."""
+    seed, key, held = columns[0], columns[1], columns[4].astype(np.int64)
+    high, low = columns[2].view(np.uint64), columns[3].view(np.uint64)
+    rows = np.lexsort((key, held, seed))
+    same = (seed[rows][1:] == seed[rows][:-1]) & (key[rows][1:] == key[rows][:-1]) & (held[rows][1:] == held[rows][:-1])
+    rows = rows[np.concatenate([[True], ~same])]  # a text may come from several tasks
+    group = np.cumsum(np.concatenate([[0], seed[rows][1:] != seed[rows][:-1]]))
+    n_held = np.bincount(group, held[rows]).astype(np.int64)
+    n_train = np.bincount(group) - n_held
+    first = np.cumsum(n_held + n_train) - (n_held + n_train)
+    both = (n_held > 0) & (n_train > 0)
+    for test, train in _pairs_of(rows, first[both], n_train[both], n_held[both], block):
+        near = alike(high[test], low[test], high[train], low[train], radius)
+        found = np.unique(np.stack([key[test[near]], key[train[near]]], axis=1), axis=0)
+        none = pa.nulls(len(found), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(found[:, 0]), pa.array(found[:, 1]), none, none, pa.nulls(len(found), pa.bool_())], ["hot", "held_key", "train_key", "high", "low", "held"])
+
+
+def seed_pairs(made: DataFrame, hold: int = HOLD, radius: int = RADIUS) -> DataFrame:
+    """``held_key, train_key``: the distinct pairs across splits that share a seed and may be similar."""
+    hot = made.sparkSession.sparkContext.broadcast(hot_seeds(made, hold))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Marks the rows of foretold hot seeds."""
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hot.value.may_have(batch.column(0).to_numpy()), pa.bool_())], [*batch.schema.names, "is_hot"])
 
-    Pairs whose numbers of runs or places exclude the similarity are left out;
-    the rest comes in blocks of bounded size.
-    """
-    for single in (0, 1):
-        signature, key, facts = (c[(columns[2] >> 1) & 1 == single] for c in columns)
-        if not len(key):
-            continue
-        held = facts & 1
-        rows = np.lexsort((key, held, signature))
-        same = (signature[rows][1:] == signature[rows][:-1]) & (key[rows][1:] == key[rows][:-1]) & (held[rows][1:] == held[rows][:-1])
-        rows = rows[np.concatenate([[True], ~same])]
-        group = np.cumsum(np.concatenate([[0], signature[rows][1:] != signature[rows][:-1]]))
-        n_held = np.bincount(group, held[rows]).astype(np.int64)
-        n_train = np.bincount(group) - n_held
-        first = np.cumsum(n_held + n_train) - (n_held + n_train)
-        size, place = facts >> 32, (facts & 0xFFFFFFFF) >> 2
-        both = (n_held > 0) & (n_train > 0)
-        a, b = shared_bound(similarity, bool(single))
-        for test, train in _pairs_of(rows, first[both], n_train[both], n_held[both], block):
-            n, m, i, j = size[test], size[train], place[test], place[train]
-            fit = np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK
-            fit &= np.minimum(i, j) + np.minimum(n - i, m - j) - (1 - single) >= a * (n + m) - b - SLACK
-            yield _added(key[test[fit]], key[train[fit]], n[fit], m[fit], i[fit], j[fit], single)
-
-
-def _added(held_key: np.ndarray, train_key: np.ndarray, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, single: int) -> pa.RecordBatch:
-    """Shared signatures of a pair added up before the shuffle: how many, the texts' sizes, and the last places."""
-    order = np.lexsort((train_key, held_key))
-    a, b = held_key[order], train_key[order]
-    edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    shared = np.diff(np.concatenate([edges, [len(a)]])).astype(np.int64)
-    last = [np.maximum.reduceat(x[order], edges) if len(edges) else x for x in (i, j)]
-    return _searched(a[edges], b[edges], (n[order][edges] << 32) | m[order][edges], (last[0] << 32) | last[1], (shared << 1) | single)
-
-
-def _searched(*columns: np.ndarray) -> pa.RecordBatch:
-    """Rows of pairs (both keys, both sizes, both places, shared signatures and their kind), or of hot groups, whose last columns are NULL."""
-    rows = {f"c{k}": (columns[k], pa.int64()) if k < len(columns) else (pa.nulls(len(columns[0]), pa.int64()), pa.int64()) for k in range(5)}
-    return arrow_rows(rows)
-
-
-def seed_pairs(seeds: DataFrame, similarity: float = SIMILARITY, hold: int = HOLD) -> DataFrame:
-    """Candidate pairs: all that share a shown signature, but for those that counts exclude.
-
-    Groups of more than ``hold`` rows are not joined in the task; their rows go
-    to a join of Spark's, which spills and splits skew and gives the same pairs.
-
-    Of two shown prefixes, one ends first in the order of signatures. Common ones
-    up to there are all counted; beyond it that text has only the rest of its
-    signatures, and the other those after the last shared place.
-    """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, hot in sorted_groups(batches, hold):
-            if hot:
-                yield _searched(*columns)
+        for columns, is_hot in sorted_groups(batches, hold):
+            if is_hot:
+                seed, key, high, low, held = columns
+                none = pa.nulls(len(seed), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(key), none, pa.array(high), pa.array(low), pa.array(held.astype(bool))], ["hot", "held_key", "train_key", "high", "low", "held"])
             else:
-                yield from group_pairs(columns, similarity)
-
-    ordered = seeds.repartition("signature").sortWithinPartitions("signature")
-    searched = durable(ordered.mapInArrow(search, "c0 bigint, c1 bigint, c2 bigint, c3 bigint, c4 bigint"))
-    high, low = lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    kind = lambda c, bit: (F.shiftright(c, bit).bitwiseAND(F.lit(1)) == 1).alias("single")
-    pairs = searched.where("c4 IS NOT NULL").select(
-        F.col("c0").alias("held_key"), F.col("c1").alias("train_key"), kind("c4", 0), high("c2").alias("n"), low("c2").alias("m"), high("c3").alias("i"), low("c3").alias("j"), F.shiftright("c4", 1).alias("shared")
-    )
-    either = lambda one, two: F.when(F.col("single"), one).otherwise(two)
-    (a1, b1), (a2, b2) = shared_bound(similarity, True), shared_bound(similarity, False)
-    both, less = F.col("n") + F.col("m"), either(F.lit(0), F.lit(1))
-    need = either(a1 * both - b1, a2 * both - b2) - SLACK
-    alike = (F.least("n", "m") >= similarity * F.greatest("n", "m") - SLACK) & (F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - less >= need)
-    crowd = searched.where("c4 IS NULL").select(
-        F.col("c0").alias("signature"), F.col("c1").alias("key"), kind("c2", 1), high("c2").alias("size"), F.shiftright(low("c2"), 2).alias("place"), (F.col("c2").bitwiseAND(F.lit(1)) == 1).alias("held")
-    ).distinct()
-    a = crowd.where("held").select("signature", "single", F.col("key").alias("held_key"), F.col("size").alias("n"), F.col("place").alias("i"))
-    b = crowd.where("NOT held").select("signature", "single", F.col("key").alias("train_key"), F.col("size").alias("m"), F.col("place").alias("j"))
-    met = a.join(b, ["signature", "single"]).where(alike).select("held_key", "train_key", "single", "n", "m", "i", "j", F.lit(1).cast("bigint").alias("shared"))
-    total = pairs.unionByName(met).groupBy("held_key", "train_key", "single").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in "nmij"))
-
-    def rest(c: str) -> Column:
-        size = F.col(c) + F.ceil(similarity * F.col(c) - SLACK)
-        return F.greatest(F.lit(1), F.ceil(either(a1 * size - b1, a2 * size - b2) - SLACK)) - 1
-
-    beyond = F.greatest(F.least(rest("n"), F.col("m") - 1 - less - F.col("j")), F.least(rest("m"), F.col("n") - 1 - less - F.col("i")))
-    return total.where(F.col("shared") + beyond >= need).select("held_key", "train_key").distinct()
-
-
-def align(a: np.ndarray, b: np.ndarray, gram: int = GRAM) -> tuple[int, int]:
+                yield from group_pairs(columns, radius)
+
+    rows = made.where("size(seeds) > 0").select(F.explode("seeds").alias("seed"), "key", "high", "low", "held")
+    marked = rows.mapInArrow(split, "seed bigint, key bigint, high bigint, low bigint, held boolean, is_hot boolean")
+    ordered = marked.where("NOT is_hot").drop("is_hot").repartition("seed").sortWithinPartitions("seed")
+    searched = durable(ordered.mapInArrow(search, SEARCHED))
+    late = searched.where("hot IS NOT NULL").select(F.col("hot").alias("seed"), F.col("held_key").alias("key"), "high", "low", "held")
+    crowd = marked.where("is_hot").drop("is_hot").unionByName(late)
+    side = lambda own: [F.col(c).alias(f"{own}_{c}") for c in ("key", "high", "low")]
+    train = crowd.where("NOT held").select("seed", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"), *side("train"))
+    test = crowd.where("held").select("seed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *side("held"))
+    apart = F.bit_count(F.col("held_high").bitwiseXOR(F.col("train_high"))) + F.bit_count(F.shiftrightunsigned(F.col("held_low").bitwiseXOR(F.col("train_low")), 32))
+    size = lambda own: F.shiftright(f"{own}_low", 24).bitwiseAND(F.lit(255))
+    fits = (F.abs(size("held") - size("train")) <= SIZE_GAP) | (F.greatest(size("held"), size("train")) == 255)
+    met = test.join(train, ["seed", "salt"]).where((apart <= radius) & fits).select("held_key", "train_key")
+    return searched.where("hot IS NULL").select("held_key", "train_key").unionByName(met).distinct()
+
+
+def longest_chain(j: np.ndarray) -> np.ndarray:
+    """Indices of a longest strictly increasing subsequence."""
+    tops, ends, before = [], [], np.full(len(j), -1)
+    for k, value in enumerate(j.tolist()):
+        at = int(np.searchsorted(tops, value)) if tops else 0
+        before[k] = ends[at - 1] if at else -1
+        tops[at : at + 1], ends[at : at + 1] = [value], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(k)
+        k = int(before[k])
+    return np.array(out[::-1], np.int64)
+
+
+def reach(equal: np.ndarray, drop: int = DROP) -> int:
+    """How far to extend along ``equal``: to the best score (one up for an equal word, one down for another) before it falls by ``drop``."""
+    if not len(equal):
+        return 0
+    score = np.cumsum(np.where(equal, 1, -1))
+    best = np.maximum.accumulate(np.maximum(score, 0))
+    fallen = np.flatnonzero(score <= best - drop)
+    score = score[: fallen[0]] if len(fallen) else score
+    return int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
+
+
+def align(a: np.ndarray, b: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[int, int]:
     """Words of ``a`` and of ``b`` that lie in common chains.
 
-    Seeds are all grams of equal words, of a quarter of the shorter text at most. Seeds on one diagonal chain to a block,
-    blocks are extended to both sides as long as the words agree, and the
-    blocks are taken longest first; each covers words not covered before, so
-    reordered parts count too.
+    Seeds are equal selected grams (of a quarter of the shorter text at most, all
+    of them where texts are short); the k-th copy of a gram in one text meets the k-th in the
+    other. The longest collinear chain is taken first, then the longest of what
+    is left, until no seed is uncovered; each seed of a chain is extended to both
+    sides and covers equal words not covered before, so reordered parts count too.
     """
-    gram = min(gram, max(RUN, min(len(a), len(b)) // 4), len(a), len(b))
+    shorter = min(len(a), len(b))
+    gram = min(gram, max(RUN, shorter // 4), shorter)
     if gram == 0:
         return 0, 0
-    ga = np.lib.stride_tricks.sliding_window_view(a, gram)
-    gb = np.lib.stride_tricks.sliding_window_view(b, gram)
+    window = window if gram == GRAM else 1
+    both = Batch.of_hashes(np.concatenate([a, b]), np.array([len(a), len(b)]))
+    text, value, place = selected_grams(both, gram, window)
+    # The number of a gram's copy within its text makes seeds one to one.
+    order = np.lexsort((place, value, text))
+    text, value, place = text[order], value[order], place[order]
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])]) if len(text) else np.empty(0, bool)
+    copy = np.arange(len(text)) - np.maximum.accumulate(np.where(new, np.arange(len(text)), 0)) if len(text) else np.empty(0, np.int64)
     with np.errstate(over="ignore"):
-        weight = mix(np.arange(1, gram + 1, dtype=np.uint64))
-        ha, hb = (ga * weight).sum(axis=1), (gb * weight).sum(axis=1)
-    order = np.argsort(hb, kind="stable")
-    low, high = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-    count = high - low
-    i = np.repeat(np.arange(len(ha)), count)
-    j = order[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    diagonal = j - i
-    by = np.lexsort((i, diagonal))
-    i, j, diagonal = i[by], j[by], diagonal[by]
-    if not len(i):
-        return 0, 0
-    fresh = np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (i[1:] > i[:-1] + gram)])
-    starts = np.flatnonzero(fresh)
-    ends = np.concatenate([starts[1:], [len(i)]]) - 1
+        ident = value * np.uint64(0x9E3779B97F4A7C15) + copy.astype(np.uint64)
+    _, x, y = np.intersect1d(ident[text == 0], ident[text == 1], return_indices=True)
+    i, j = place[text == 0][x], place[text == 1][y]
+    by = np.argsort(i, kind="stable")
+    i, j = i[by], j[by]
     in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    for k in np.argsort(-(i[ends] - i[starts]), kind="stable"):
-        x, y, d = int(i[starts[k]]), int(i[ends[k]]) + gram, int(diagonal[starts[k]])
-        while x > 0 and x + d > 0 and a[x - 1] == b[x + d - 1]:
-            x -= 1
-        while y < len(a) and y + d < len(b) and a[y] == b[y + d]:
-            y += 1
-        free = ~(in_a[x:y] | in_b[x + d : y + d])
-        in_a[x:y] |= free
-        in_b[x + d : y + d] |= free
+    while len(i):
+        chain = longest_chain(j)
+        for k in chain.tolist():
+            x, d = int(i[k]), int(j[k] - i[k])
+            if in_a[x : x + gram].all():
+                continue
+            low, high = max(0, -d), min(len(a), len(b) - d)
+            start = x - reach((a[low:x] == b[low + d : x + d])[::-1])
+            end = x + gram + reach(a[x + gram : high] == b[x + gram + d : high + d])
+            free = (a[start:end] == b[start + d : end + d]) & ~(in_a[start:end] | in_b[start + d : end + d])
+            in_a[start:end] |= free
+            in_b[start + d : end + d] |= free
+        rest = np.ones(len(i), bool)
+        rest[chain] = False
+        rest &= ~in_a[i] & ~in_b[j]
+        i, j = i[rest], j[rest]
     return int(in_a.sum()), int(in_b.sum())
 
 
@@ -369,11 +303,10 @@ COMPARED = "held_key bigint, train_key bigint, similarity double, held_covered b
 
 
 def overlaps(texts: DataFrame, similarity: float = SIMILARITY, hold: int = HOLD, bitmap_bits: int = 26) -> DataFrame:
-    """Overlapping pairs of ``texts`` (``key`` bigint, equal for equal texts; ``text``; ``held``: evaluation or training)."""
-    order = RunOrder(texts)
-    held_signatures = selected(texts.where("held"), order, similarity).select("signature")
-    seeds = selected(texts, order, similarity, KeyBitmap(held_signatures, "signature", bitmap_bits))
-    close = durable(seed_pairs(seeds, similarity, hold))
+    """Overlapping pairs of ``texts`` (``key`` bigint, equal for equal texts; ``text``; ``held``: evaluation or training); similarities below 0.6 are not meant."""
+    held_seeds = text_seeds(texts.where("held")).select(F.explode("seeds").alias("seed"))
+    made = durable(text_seeds(texts, KeyBitmap(held_seeds, "seed", bitmap_bits)))
+    close = durable(seed_pairs(made, hold))
     keys = close.select(F.col("held_key").alias("key")).union(close.select("train_key")).distinct()
     arrays = word_arrays(texts, KeyBitmap(keys, "key", bitmap_bits))
     a = arrays.select(F.col("key").alias("held_key"), F.col("words").alias("a"))
@@ -383,31 +316,32 @@ def overlaps(texts: DataFrame, similarity: float = SIMILARITY, hold: int = HOLD,
 
 
 def split_rows(dialogues: DataFrame, key: str = "rec_id") -> DataFrame:
-    """``row, key, text, held`` of the rows with a split; ``key`` is a hash of the text."""
+    """``row, key, text, held`` and the reported columns of the rows with a split; ``key`` is a hash of the text."""
     split = F.col("split")
-    rows = dialogues.where(split.isin("train", "val", "test")).select(F.col(key).alias("row"), conversation_text().alias("text"), (split != "train").alias("held"))
+    rows = dialogues.where(split.isin("train", "val", "test")).select(F.col(key).alias("row"), "split", "scenario", "source", conversation_text().alias("text"), (split != "train").alias("held"))
     return rows.where("text IS NOT NULL").withColumn("key", F.xxhash64("text"))
 
 
-def overlap_rows(dialogues: DataFrame) -> DataFrame:
-    """``held_row, train_row`` and the comparison of their texts, for all overlapping rows."""
-    rows = split_rows(dialogues)
-    found = overlaps(rows)
+def overlap_pairs(dialogues: DataFrame) -> DataFrame:
+    """``rec_a, rec_b``: all pairs of rows, copies included."""
+    rows = split_rows(dialogues).select("key", "row", "held")
     a = rows.where("held").select(F.col("key").alias("held_key"), F.col("row").alias("held_row"))
     b = rows.where("NOT held").select(F.col("key").alias("train_key"), F.col("row").alias("train_row"))
-    return found.join(a, "held_key").join(b, "train_key")
-
-
-def overlap_pairs(dialogues: DataFrame) -> DataFrame:
-    return overlap_rows(dialogues).select(F.least("held_row", "train_row").alias("rec_a"), F.greatest("held_row", "train_row").alias("rec_b"))
+    both = overlaps(split_rows(dialogues)).select("held_key", "train_key").join(a, "held_key").join(b, "train_key")
+    return both.select(F.least("held_row", "train_row").alias("rec_a"), F.greatest("held_row", "train_row").alias("rec_b"))
 
 
 def overlap_report(dialogues: DataFrame) -> DataFrame:
-    """Overlapping evaluation records per split, scenario and source, with the share of their words that training covers."""
-    found = overlap_rows(dialogues).groupBy("held_row").agg(
-        F.count("*").alias("partners"), F.max(F.col("held_covered") / F.col("held_words")).alias("coverage")
+    """Overlapping evaluation records per split, scenario and source: records, pairs with training rows, and the mean share of their words that training covers.
+
+    Copies are counted per text, not expanded.
+    """
+    rows = split_rows(dialogues)
+    copies = rows.where("NOT held").groupBy(F.col("key").alias("train_key")).agg(F.count("*").alias("copies"))
+    found = overlaps(rows).join(copies, "train_key").groupBy(F.col("held_key").alias("key")).agg(
+        F.sum("copies").alias("partners"), F.max(F.col("held_covered") / F.col("held_words")).alias("coverage")
     )
-    facts = dialogues.select(F.col("rec_id").alias("held_row"), "split", "scenario", "source")
-    return found.join(facts, "held_row").groupBy("split", "scenario", "source").agg(
-        F.count("*").alias("n_records"), F.sum("partners").alias("n_pairs"), F.avg("coverage").alias("mean_coverage")
+    own = rows.where("held").groupBy("key", "split", "scenario", "source").agg(F.count("*").alias("n"))
+    return own.join(found, "key").groupBy("split", "scenario", "source").agg(
+        F.sum("n").alias("n_records"), F.sum(F.col("n") * F.col("partners")).alias("n_pairs"), (F.sum(F.col("n") * F.col("coverage")) / F.sum("n")).alias("mean_coverage")
     )
