@@ -78,10 +78,10 @@ def fingerprints(minima: np.ndarray, sizes: np.ndarray, text_hashes: np.ndarray)
 
 def band_keys(minima: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One key per band (row) and text."""
-    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], minima.shape[1], axis=1)
+    band = np.arange(1, bands + 1, dtype=np.uint64)[:, None]
+    part = [minima[k::ROWS][:bands].astype(np.uint64) for k in range(ROWS)]
     with np.errstate(over="ignore"):
-        for k in range(ROWS):
-            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + minima[k::ROWS][:bands].astype(np.uint64))
+        keys = mix(((part[0] << np.uint64(32)) | part[1]) * np.uint64(0x9E3779B97F4A7C15) + ((part[2] << np.uint64(32)) | part[3]) * np.uint64(0xD6E8FEB86659FD93) + band * np.uint64(0xA0761D6478BD642F))
     return keys >> np.uint64(8)
 
 
