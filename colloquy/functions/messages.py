@@ -82,6 +82,23 @@ def prompt_and_gold(messages: Column) -> tuple[Column, Column]:
     return F.when(fine, F.slice(messages, F.lit(1), F.size(messages) - 1)), F.when(fine, F.get(messages, F.size(messages) - 1)["content"])
 
 
+def probe(messages: Column) -> tuple[Column, Column]:
+    """Everything before the last assistant message, and its content; NULL without one or where nothing precedes it."""
+    back = F.array_position(F.transform(F.reverse(messages), lambda m: F.coalesce(m["role"], F.lit(""))), "assistant").cast("int")
+    at = F.size(messages) - back
+    fine = (back > 0) & (at > 0)
+    return F.when(fine, F.slice(messages, F.lit(1), at)), F.when(fine, F.get(messages, at)["content"])
+
+
+def to_preference(context: Column, chosen: Column, rejected: Column, system: str | None = None) -> Column:
+    """``struct<prompt, chosen, rejected>`` of messages as preference training takes them; a context that doesn't end with a user message raises."""
+    last = F.get(context, F.size(context) - 1)["role"]
+    fine = F.coalesce(last == "user", F.lit(False))
+    prompt = F.when(fine, with_system(context, system)).otherwise(F.raise_error(F.lit("context must end with a user message")).cast(MESSAGE_TYPE))
+    answer = lambda c: F.array(message("assistant", c))
+    return F.struct(prompt.alias("prompt"), answer(chosen).alias("chosen"), answer(rejected).alias("rejected"))
+
+
 def last_user(messages: Column) -> Column:
     users = of_role(messages, "user")
     return F.get(users, F.size(users) - 1)["content"]

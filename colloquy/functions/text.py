@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
@@ -135,3 +136,24 @@ def shingle_hashes(size: int = 5):
 
     # Else a filter on the result would be pushed below it, with a second run of the function.
     return hashed.asNondeterministic()
+
+
+def band_hashes(bands: int, rows: int):
+    """A function of an array of shingle hashes: one hash per band of ``rows`` minimum hashes, the band's number in it; none of an empty array."""
+    count = bands * rows
+    odd = np.random.default_rng(7).integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    @F.pandas_udf("array<bigint>")
+    def hashed(sets: pd.Series) -> pd.Series:
+        out = []
+        for own in sets:
+            if own is None or not len(own):
+                out.append([])
+                continue
+            values = np.asarray(own, np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):
+                minima = ((values[:, None] ^ (odd >> np.uint64(7))) * odd).min(axis=0).reshape(bands, rows)
+            out.append([xxhash.xxh3_64_intdigest(band.tobytes(), number) - (1 << 63) for number, band in enumerate(minima)])
+        return pd.Series(out, dtype=object)
+
+    return hashed.asNondeterministic()

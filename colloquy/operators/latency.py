@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.percentiles import with_percentiles
+from colloquy.session import durable
+
 
 def summarise_stream(start: Column, chunks: Column, tokens: Column) -> Column:
     """Struct of first-chunk time, total, gaps and their mean, in seconds; NULL without chunks; decreasing times raise."""
@@ -46,28 +49,39 @@ def tier_rollup(df: DataFrame, run_seconds: float, warmup_seconds: float, *tier:
     if window <= 0:
         raise ValueError("the run must be longer than the warm-up")
     good = F.col("ok")
-    at = lambda c, p: F.percentile(F.when(good & F.col(c).isNotNull() & ~F.isnan(c), F.col(c)), p)
-    return drop_warmup(df, warmup_seconds, *tier).groupBy(*tier).agg(
-        F.count("*").alias("n"), F.count_if(good).alias("n_ok"), at("ttft_ms", 0.5).alias("ttft_p50"), at("ttft_ms", 0.95).alias("ttft_p95"),
-        at("itl_mean_ms", 0.5).alias("itl_p50"), at("itl_mean_ms", 0.95).alias("itl_p95"),
+    steady = drop_warmup(df, warmup_seconds, *tier)
+    rollup = steady.groupBy(*tier).agg(
+        F.count("*").alias("n"), F.count_if(good).alias("n_ok"),
         (F.sum(F.when(good, F.coalesce("n_output_tokens", F.lit(0))).otherwise(0)) / window).alias("tokens_per_s"), (F.count_if(good) / window).alias("requests_per_s"),
         (F.count_if(~F.coalesce(good, F.lit(False))) / F.count("*")).alias("error_rate"),
     )
+    ps = (0.5, 0.95)
+    return with_percentiles(rollup, steady, tier, {"ttft": (F.when(good, F.col("ttft_ms")), ps), "itl": (F.when(good, F.col("itl_mean_ms")), ps)})
 
 
 def aggregate_streams(df: DataFrame, stream: str, *group: str) -> DataFrame:
     """Rollup of stream summaries; streams without output count but give no times."""
-    t, total = f"{stream}.ttft", f"{stream}.total"
-    return df.groupBy(*group).agg(
-        F.count("*").alias("n"), F.count(t).alias("n_with_output"), F.avg(t).alias("ttft_mean"), F.percentile(t, 0.5).alias("ttft_p50"), F.percentile(t, 0.95).alias("ttft_p95"),
-        F.avg(total).alias("total_mean"), F.percentile(total, 0.5).alias("total_p50"), F.percentile(total, 0.95).alias("total_p95"), F.sum(f"{stream}.tokens").alias("tokens"),
-    )
+    t, total, ps = f"{stream}.ttft", f"{stream}.total", (0.5, 0.95)
+    rollup = df.groupBy(*group).agg(
+        F.count("*").alias("n"), F.count(t).alias("n_with_output"), F.avg(t).alias("ttft_mean"), F.avg(total).alias("total_mean"), F.sum(f"{stream}.tokens").alias("tokens")
+    )
+    return with_percentiles(rollup, df, group, {"ttft": (F.col(t), ps), "total": (F.col(total), ps)})
 
 
 def gaps(df: DataFrame, key: str, ts: Column, order: str) -> DataFrame:
-    """Adds ``gap``: the difference to the row before in the same key."""
-    w = Window.partitionBy(key).orderBy(ts, order)
-    return df.withColumn("gap", ts - F.lag(ts).over(w))
+    """Adds ``gap``: the difference to the row before in the same key.
+
+    Rows are range-partitioned by key and time; the last time of a key in each
+    partition is handed to the next one, so no key gathers in one task.
+    """
+    parted = durable(df.withColumn("_ts", ts).repartitionByRange(key, "_ts", order).withColumn("_pid", F.spark_partition_id()))
+    local = F.lag("_ts").over(Window.partitionBy("_pid", key).orderBy("_ts", order))
+    first = F.row_number().over(Window.partitionBy("_pid", key).orderBy("_ts", order)) == 1
+    ends = parted.groupBy(F.col(key).alias("_k"), "_pid").agg(F.max("_ts").alias("_end"))  # one row per key and partition
+    before = F.last("_end").over(Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    seams = ends.select("_k", F.col("_pid").alias("_p"), before.alias("_before"))
+    joined = parted.withColumn("_local", local).withColumn("_first", first).join(seams, (F.col("_pid") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
+    return joined.withColumn("gap", F.col("_ts") - F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_local"))).drop("_ts", "_pid", "_local", "_first", "_k", "_p", "_before")
 
 
 def positive(value: Column, name: str) -> Column:

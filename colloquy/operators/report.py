@@ -33,13 +33,13 @@ def markdown_table(rows: Sequence[Mapping], columns: Sequence[str]) -> str:
     return "\n".join(lines + ["| " + " | ".join(cell(r.get(c)) for c in columns) + " |" for r in rows]) + "\n"
 
 
-def trace_page(turns: DataFrame, title: str = "Traces") -> str:
-    """One section per conversation with its turns in order and their failures."""
-    grouped = turns.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("turn_index", "content", "latency_ms", F.to_json("failures").alias("failures")))).alias("turns"))
-    parts = [f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
-    for row in sorted(bounded_rows(grouped), key=lambda r: r["conversation_id"]):
-        parts.append(f"<h2>{html.escape(row['conversation_id'])}</h2><ol>")
-        for t in row["turns"]:
-            parts.append(f"<li><p>{html.escape(t['content'] or '')}</p><small>{t['latency_ms']} ms {html.escape(t['failures'] or '')}</small></li>")
-        parts.append("</ol>")
-    return "\n".join(parts)
+def trace_page(turns: DataFrame, title: str = "Traces", limit: int = REPORT_ROWS) -> str:
+    """One section per conversation with its turns in order and their failures; more than ``limit`` turns raise."""
+    rows = bounded_rows(turns.select("conversation_id", "turn_index", "content", "latency_ms", F.to_json("failures").alias("failures")), limit)
+    parts, current = [f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"], object()
+    for row in sorted(rows, key=lambda r: (r["conversation_id"] or "", r["turn_index"] or 0)):
+        if row["conversation_id"] != current:
+            parts += ["</ol>"] * (len(parts) > 1) + [f"<h2>{html.escape(row['conversation_id'] or '')}</h2><ol>"]
+            current = row["conversation_id"]
+        parts.append(f"<li><p>{html.escape(row['content'] or '')}</p><small>{row['latency_ms']} ms {html.escape(row['failures'] or '')}</small></li>")
+    return "\n".join(parts + ["</ol>"] * (len(parts) > 1))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +57,28 @@ def quotas(sizes: DataFrame, stratum: str, count: str, total: int) -> DataFrame:
     return out.withColumn("quota", F.when(F.col("all") <= total, F.col(count)).otherwise(F.col("base") + extra)).select(stratum, count, "quota")
 
 
+def cut_points(df: DataFrame, group: str, key: str, upto: DataFrame, *names: str) -> DataFrame:
+    """``_l`` and, for each name, the (``_draw``, key) at the rank that ``upto`` (``_l``, names) wants in each group; NULL for rank 0.
+
+    Only group, draw and key are ranked: whole rows stay where they are and are
+    compared with the cut points of their group.
+    """
+    ranked = group_rank(df.select(F.col(group).alias("_l"), "_draw", F.col(key).alias("_k")), ["_l"], ["_draw", "_k"], "_rank")
+    own = ranked.alias("a").join(upto.alias("b"), F.col("a._l").eqNullSafe(F.col("b._l"))).select("a.*", *(F.col(f"b.{n}") for n in names))
+    return own.groupBy("_l").agg(*(F.max(F.when(F.col("_rank") == F.col(n), F.struct("_draw", "_k"))).alias(f"{n}_cut") for n in names))
+
+
+def upto_cut(cut: str, key: str) -> Column:
+    return F.coalesce(F.struct(F.col("_draw"), F.col(key).alias("_k")) <= F.col(cut), F.lit(False))
+
+
 def quota_sample(df: DataFrame, stratum: str, key: str, total: int, seed: int = 42) -> DataFrame:
     """A proportional sample of exactly ``total`` rows (or all)."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
-    share = quotas(sizes, stratum, "size", total).select(F.col(stratum).alias("_s"), "quota")
-    ranked = group_rank(df.withColumn("_draw", draw(seed, stratum, key)), [stratum], ["_draw", key], "_rank").drop("_draw")
-    return ranked.join(share, F.col(stratum).eqNullSafe(F.col("_s"))).where("_rank <= quota").drop("_rank", "_s", "quota")
+    share = quotas(sizes, stratum, "size", total).select(F.col(stratum).alias("_l"), F.col("quota").alias("_q"))
+    drawn = df.withColumn("_draw", draw(seed, stratum, key))
+    cuts = cut_points(drawn, stratum, key, share, "_q")
+    return drawn.join(cuts, F.col(stratum).eqNullSafe(F.col("_l"))).where(upto_cut("_q_cut", key)).drop("_draw", "_l", "_q_cut")
 
 
 def downsample(df: DataFrame, key: str, real: Column, high_value: Column, keyword: Column, ratio: float, seed: int = 42) -> DataFrame:
@@ -75,52 +92,50 @@ def downsample(df: DataFrame, key: str, real: Column, high_value: Column, keywor
     valued = F.col("_real") & (F.col("_high") | F.col("_word"))
     counts = df.agg(F.count_if(~F.col("_real")).alias("m2"), F.count_if(valued).alias("union"))
     need = counts.select(F.greatest(F.bround(F.col("m2") * F.lit(ratio), 0) - F.col("union"), F.lit(0.0)).alias("need"))
-    pool = F.col("_real") & ~valued
-    ranked = group_rank(df.withColumn("_pool", pool).withColumn("_draw", draw(seed, F.lit("pool"), key)), ["_pool"], ["_draw", key], "_rank").drop("_draw", "_pool")
+    pool = F.coalesce(F.col("_real") & ~valued, F.lit(False))
+    drawn = df.withColumn("_pool", pool).withColumn("_draw", draw(seed, F.lit("pool"), key))
+    in_pool = drawn.where("_pool").select("_pool", "_draw", key)
+    wanted = in_pool.agg(F.count("*").alias("_n")).join(F.broadcast(need)).select(F.lit(True).alias("_l"), F.least("_n", F.col("need").cast("bigint")).alias("_q"))
+    cut = cut_points(in_pool, "_pool", key, wanted, "_q").select("_q_cut")
     why = (
         F.when(~F.col("_real"), "synthetic").when(F.lit(ratio) == 0, "dropped").when(F.col("_high") & F.col("_word"), "both")
-        .when(F.col("_high"), "label_only").when(F.col("_word"), "keyword_only").when(F.col("_rank") <= F.col("need"), "filled").otherwise("dropped")
+        .when(F.col("_high"), "label_only").when(F.col("_word"), "keyword_only").when(F.col("_pool") & upto_cut("_q_cut", key), "filled").otherwise("dropped")
     )
-    # One row of counts joins everything.
-    out = ranked.join(F.broadcast(need)).withColumn("why", why)
-    return out.withColumn("kept", F.col("why") != "dropped").drop("_real", "_high", "_word", "_rank", "need")
+    # One row, the cut point, joins everything; there is none without a pool.
+    one = df.sparkSession.range(1).drop("id").join(cut, how="left")
+    out = drawn.join(F.broadcast(one)).withColumn("why", why)
+    return out.withColumn("kept", F.col("why") != "dropped").drop("_real", "_high", "_word", "_pool", "_draw", "_q_cut")
+
+
+def group_ids(counts: Sequence[int], least: int) -> list[int]:
+    """Group of each count when neighbours are joined until they hold ``least``; a rest joins the last full group, or is -1 without one."""
+    ids, held, group = [], 0, 0
+    for count in counts:
+        ids.append(group)
+        held += count
+        if held >= least:
+            group, held = group + 1, 0
+    return [min(i, group - 1) for i in ids]
 
 
 def merge_small_strata(sizes: Sequence[tuple[str, str, int]], least: int, order: Sequence[str] = ("short", "mid", "long")) -> dict[tuple[str, str], str]:
     """Which label each (scenario, bucket) gets, for the driver: one entry per stratum.
 
-    Neighbouring buckets of a scenario are joined until they reach ``least``; a
-    rest folds back into the group before. Scenarios that stay too small pool to
-    ``misc|all``, or fold into the first largest stratum if the pool is too small.
+    Neighbouring buckets of a scenario are joined (see ``group_ids``); unknown buckets
+    come last, by name. What belongs to no group is pooled to ``misc|all``, or
+    joins the largest label (the first by name of equal ones) if the pool is too small.
     """
-    by: dict[str, list[tuple[str, int]]] = {}
-    for scenario, bucket, count in sizes:
-        by.setdefault(scenario, []).append((bucket, count))
-    labels: dict[tuple[str, str], str] = {}
-    weight: dict[str, int] = {}
-    pool: list[tuple[str, str]] = []
-    pooled = 0
-    for scenario in sorted(by):
-        groups: list[list] = []
-        open_, total = [], 0
-        for bucket, count in sorted(by[scenario], key=lambda x: order.index(x[0])):
-            open_, total = [*open_, bucket], total + count
-            if total >= least:
-                groups.append([open_, total])
-                open_, total = [], 0
-        if open_ and groups:
-            groups[-1] = [groups[-1][0] + open_, groups[-1][1] + total]
-        elif open_:
-            pool += [(scenario, b) for b in open_]
-            pooled += total
-        for buckets, count in groups:
-            label = f"{scenario}|{'+'.join(buckets)}"
-            weight[label] = count
-            labels |= {(scenario, b): label for b in buckets}
-    if pool:
-        target = "misc|all" if pooled >= least or not weight else max(weight, key=lambda x: weight[x])
-        labels |= dict.fromkeys(pool, target)
-    return labels
+    places = {bucket: place for place, bucket in enumerate(order)}
+    rows = pd.DataFrame(sorted(sizes, key=lambda r: (r[0], places.get(r[1], len(places)), r[1])), columns=["scenario", "bucket", "n"])
+    if rows.empty:
+        return {}
+    rows["part"] = [i for _, own in rows.groupby("scenario", sort=True) for i in group_ids(own["n"].tolist(), least)]
+    whole = rows[rows["part"] >= 0].groupby(["scenario", "part"], sort=True).agg(label=("bucket", "+".join), n=("n", "sum")).reset_index()
+    whole["label"] = whole["scenario"] + "|" + whole["label"]
+    pooled = rows[rows["part"] < 0]
+    rest = "misc|all" if whole.empty or pooled["n"].sum() >= least else whole["label"][whole["n"].idxmax()]
+    named = rows.merge(whole, on=["scenario", "part"], how="left")["label"].fillna(rest)
+    return dict(zip(zip(rows["scenario"], rows["bucket"]), named))
 
 
 def with_strata(df: DataFrame, scenario: str, bucket: str, least: int = 20) -> DataFrame:
@@ -136,12 +151,12 @@ def with_strata(df: DataFrame, scenario: str, bucket: str, least: int = 20) -> D
 def stratified_split(df: DataFrame, stratum: Column | str, key: str, ratios: tuple[float, float, float] = (0.9, 0.05, 0.05), seed: int = 42) -> DataFrame:
     """Adds ``split``: per stratum a seeded order cut at the half-even rounded cumulative ratios."""
     label = F.col(stratum) if isinstance(stratum, str) else stratum
-    df = df.withColumn("_label", label)
-    sizes = df.groupBy("_label").agg(F.count("*").alias("_size")).withColumnRenamed("_label", "_l")
-    ranked = group_rank(df.withColumn("_draw", draw(seed, "_label", key)), ["_label"], ["_draw", key], "_rank")
-    first, second = F.bround(F.col("_size") * F.lit(ratios[0]), 0), F.bround(F.col("_size") * F.lit(ratios[0] + ratios[1]), 0)
-    split = F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= second, "val").otherwise("test")
-    return ranked.join(sizes, F.col("_label").eqNullSafe(F.col("_l"))).withColumn("split", split).drop("_label", "_l", "_size", "_rank", "_draw")
+    drawn = df.withColumn("_label", label).withColumn("_draw", draw(seed, "_label", key))
+    size = F.count("*")
+    sizes = drawn.groupBy(F.col("_label").alias("_l")).agg(F.bround(size * F.lit(ratios[0]), 0).alias("_a"), F.bround(size * F.lit(ratios[0] + ratios[1]), 0).alias("_b"))
+    cuts = cut_points(drawn, "_label", key, sizes, "_a", "_b")
+    split = F.when(upto_cut("_a_cut", key), "train").when(upto_cut("_b_cut", key), "val").otherwise("test")
+    return drawn.join(cuts, F.col("_label").eqNullSafe(F.col("_l"))).withColumn("split", split).drop("_label", "_l", "_draw", "_a_cut", "_b_cut")
 
 
 def distribution_warnings(df: DataFrame, split: str, stratum: str, points: float = 3.0) -> DataFrame:

@@ -177,7 +177,9 @@ def q22_near_duplicate_texts(spark: SparkSession, folder: str) -> DataFrame:
 def q23_near_duplicate_clusters(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", "source", F.length("text").alias("chars"))
     grouped = dedup.clusters(*document_links(spark, folder)).withColumnRenamed("key", "doc_id")
-    best = dedup.keep_best(docs.join(grouped, "doc_id"), "cluster_id", "doc_id", ~dedup.is_real(F.col("source")), -F.col("chars"))
+    # Blank documents have no shingle; each is its own cluster.
+    own = docs.join(grouped, "doc_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "doc_id"))
+    best = dedup.keep_best(own, "cluster_id", "doc_id", ~dedup.is_real(F.col("source")), -F.col("chars"))
     return best.select("doc_id", "cluster_id", "kept")
 
 
@@ -185,7 +187,7 @@ def q25_leakage(spark: SparkSession, folder: str) -> DataFrame:
     """Near-equal dialogues across splits, counted per pair of splits."""
     df = dialogues(spark, folder).where("split IS NOT NULL AND messages IS NOT NULL").select("rec_id", "split", M.canonical_text(F.col("messages")).alias("text"))
     pairs = dedup.leakage(df, "rec_id", F.col("text"), "split", 0.8)
-    return pairs.groupBy(F.least("split_a", "split_b").alias("split_a"), F.greatest("split_a", "split_b").alias("split_b")).agg(F.count("*").alias("n_pairs"))
+    return pairs.groupBy(F.least("split_a", "split_b").alias("split_a"), F.greatest("split_a", "split_b").alias("split_b")).agg(F.sum("n_pairs").alias("n_pairs"))
 
 
 def q27_common_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,8 +240,9 @@ def q34_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q35_edit_share(spark: SparkSession, folder: str) -> DataFrame:
-    df = table(spark, folder, "dialogues").select("rec_id", F.coalesce("scenario", F.lit("")).alias("a"), scenario_name().alias("b"))
-    return df.select("rec_id", X.edit_share(F.col("a"), F.col("b")).alias("share"))
+    """How far the rejected answer is from the chosen one, over all pairs."""
+    df = spread(table(spark, folder, "preference_pairs").select("pair_id", "chosen", "rejected"))
+    return df.select("pair_id", X.edit_share(F.coalesce("chosen", F.lit("")), F.coalesce("rejected", F.lit(""))).alias("share"))
 
 
 def q36_task_matrix(spark: SparkSession, folder: str) -> DataFrame:

@@ -130,7 +130,8 @@ def oracle_sql() -> dict[str, str]:
         "q22_near_duplicate_texts": f"""WITH {SHINGLES}, sides AS (SELECT a, b, similarity FROM near UNION ALL SELECT b, a, similarity FROM near), l AS (SELECT a, count(*) AS n, min(b) FILTER (similarity = 1) AS twin FROM sides GROUP BY a)
             SELECT s.doc_id, least(s.doc_id, coalesce(twin, s.doc_id)) AS text_id, coalesce(l.n, 0) AS n_links FROM sizes s LEFT JOIN l ON l.a = s.doc_id""",
         "q23_near_duplicate_clusters": f"""WITH RECURSIVE {SHINGLES}, sides AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT doc_id, doc_id FROM sizes),
-            reach AS (SELECT a, b FROM sides UNION SELECT r.a, x.b FROM reach r JOIN sides x ON r.b = x.a), c AS (SELECT a AS doc_id, min(b) AS cluster_id FROM reach GROUP BY a),
+            reach AS (SELECT a, b FROM sides UNION SELECT r.a, x.b FROM reach r JOIN sides x ON r.b = x.a), f AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+            c AS (SELECT doc_id, coalesce(low, doc_id) AS cluster_id FROM documents LEFT JOIN f ON a = doc_id WHERE text IS NOT NULL),
             d AS (SELECT c.*, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(lower(source) LIKE 'synthetic%', false), length(text) DESC, c.doc_id) AS rn FROM c JOIN documents USING (doc_id))
             SELECT doc_id, cluster_id, rn = 1 AS kept FROM d""",
         "q25_leakage": f"""WITH docs AS (SELECT rec_id, split, list_filter(string_split_regex({canonical('messages')}, '{WS}+'), lambda w: w <> '') AS w FROM dialogues WHERE split IS NOT NULL AND messages IS NOT NULL),
@@ -156,8 +157,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT user_id, count(*) AS n, min(gap) AS gap_min, max(gap) AS gap_max, sum(gap)::BIGINT AS gap_sum FROM g GROUP BY user_id""",
         "q34_length_buckets": """WITH b AS (SELECT doc_id, coalesce(length(text), 0) AS c, ntile(3) OVER (ORDER BY coalesce(length(text), 0), doc_id) AS bucket FROM documents),
             t AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY c, doc_id) AS turn FROM b) SELECT doc_id, bucket::INT AS bucket, row_number() OVER (ORDER BY turn, bucket) AS position FROM t""",
-        "q35_edit_share": f"""WITH d AS (SELECT rec_id, {collapse("coalesce(scenario, '')")} AS a, {collapse(SCENARIO)} AS b FROM dialogues)
-            SELECT rec_id, CASE WHEN greatest(length(a), length(b)) = 0 THEN 0.0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END AS share FROM d""",
         "q36_task_matrix": """WITH g AS (SELECT r_name, n_name, row_number() OVER (ORDER BY sha256('42:task:' || r_name || '|' || n_name)) - 1 AS p, count(*) OVER () AS a FROM region, nation),
             k AS (SELECT unnest(range(0, 300)) AS task_idx) SELECT task_idx, r_name, n_name FROM k JOIN g ON task_idx % a = p""",
         "q37_first_difference": """WITH d AS (SELECT pair_id, coalesce(chosen, '') AS a, coalesce(rejected, '') AS b FROM preference_pairs), s AS (SELECT *, list_zip(regexp_extract_all(a, '(?s).'), regexp_extract_all(b, '(?s).')) AS z FROM d)

@@ -41,15 +41,18 @@ def split_with_gate(rows: DataFrame, key: str, keywords: Sequence[str] = (), hig
     """Near dedup before the split, downsampling of real rows, stratified split, drift warnings, leakage gate."""
     own = durable(rows.withColumn("_text", M.canonical_text(F.col("messages"))))
     grouped = dedup.clusters(*dedup.similar_texts(own, key, F.col("_text"), similarity)).withColumnRenamed("key", key)
-    best = dedup.keep_best(own.join(grouped, key), "cluster_id", key, ~dedup.is_real(F.col("source")), -M.length(F.col("messages"))).where("kept").drop("kept")
+    # Records without a shingle are clusters of their own.
+    joined = own.join(grouped, key, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.col(key)))
+    best = dedup.keep_best(joined, "cluster_id", key, ~dedup.is_real(F.col("source")), -M.length(F.col("messages"))).where("kept").drop("kept")
     word = dedup.X.has_keyword(M.full_text(F.col("messages")), list(keywords))
     down = sample.downsample(best, key, dedup.is_real(F.col("source")), F.col("scenario").isin(*high_value), word, ratio, seed).where("kept").drop("kept", "why")
     strata = sample.with_strata(down.withColumn("bucket", M.turn_bucket(F.col("n_turns"))), "scenario", "bucket", least)
     split = durable(sample.stratified_split(strata, "stratum", key, seed=seed))
-    pairs = dedup.leakage(split, key, F.col("_text"), "split", similarity)
-    stats = {r.split: r["count"] for r in split.groupBy("split").count().collect()} | {"leaks": pairs.count()}
-    if fail and stats["leaks"]:
-        raise LeakageFound(f"{stats['leaks']} pairs, such as {pairs.orderBy('a', 'b').limit(10).collect()}")
+    pairs = durable(dedup.leakage(split, key, F.col("_text"), "split", similarity))
+    leaks = pairs.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n")).first().n
+    stats = {r.split: r["count"] for r in split.groupBy("split").count().collect()} | {"leaks": leaks}
+    if fail and leaks:
+        raise LeakageFound(f"{leaks} pairs, such as {pairs.orderBy('text_a', 'text_b').limit(10).collect()}")
     return SplitResult(split.drop("_text"), pairs, sample.distribution_warnings(split, "split", "stratum", points), stats)
 
 

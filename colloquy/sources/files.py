@@ -74,10 +74,10 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("id", F.when(fine, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("context must end with a user message: "), "id"))))
 
 
-def read_seeds(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """``key, seeds``: the other fields of the rows of each key."""
-    rows = read_jsonl(spark, path).drop("_ord")
-    return rows.groupBy(key).agg(F.collect_list(F.struct(*(c for c in rows.columns if c != key))).alias("seeds"))
+def read_seeds(spark: SparkSession, path: str, key: str, schema: T.StructType | None = None) -> DataFrame:
+    """Seed rows as they are, with ``_ord``; rows without a key raise. Grouping by key is left to the joins that use them."""
+    rows = read_jsonl(spark, path, schema)
+    return rows.withColumn(key, F.coalesce(F.col(key), F.raise_error(F.lit(f"a seed without {key}")).cast("string")))
 
 
 def read_results(spark: SparkSession, folders: Sequence[str], schema: T.StructType | None = None, file: str = "results.jsonl") -> DataFrame:

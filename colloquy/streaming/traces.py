@@ -5,13 +5,17 @@ Extensions beyond batch: watermarked windows and per-conversation state.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import os
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from colloquy.functions import text as X
+from colloquy.operators import rules
+
 
 def window_rollup(events: DataFrame, ts: str, value: str, key: str, width: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Count and sum per key and tumbling or sliding window; with ``late`` a watermark bounds the state of a stream."""
@@ -57,6 +61,46 @@ def fan_out(sinks: Sequence[Sink], failures: list[str] | None = None) -> Sink:
     return write
 
 
+def sink_provider(settings: Mapping[str, str] = os.environ, names: Sequence[str] = ()) -> str:
+    """``remote`` if every named setting is there and not blank, else ``local``; without names it is ``local``."""
+    return "remote" if names and all(settings.get(n, "").strip() for n in names) else "local"
+
+
+def make_sink(path: str, provider: str = "auto", remote: Sink | None = None, failures: list[str] | None = None, settings: Mapping[str, str] = os.environ, names: Sequence[str] = ()) -> Sink | None:
+    """The sink of a run: ``local`` files, ``remote`` as well (best effort, its errors are noted), ``auto`` by the settings, ``disabled`` none."""
+    if provider == "auto":
+        provider = "remote" if remote is not None and sink_provider(settings, names) == "remote" else "local"
+    if provider == "disabled":
+        return None
+    if provider == "local":
+        return json_sink(path)
+    if provider == "remote" and remote is not None:
+        noted = failures if failures is not None else []
+        return fan_out([json_sink(path), fan_out([remote], noted)])
+    raise ValueError(f"unknown provider {provider!r}, or no remote sink given")
+
+
+def evaluation_turns(results: DataFrame, model: str, flags: Column | None = None) -> DataFrame:
+    """Evaluated generations as turns: ``conversation_id`` (the sample's id), ``turn_index``, content without reasoning, latency, tokens, failures."""
+    failed = rules.failures(flags, F.lit(None)) if flags is not None else F.array().cast("array<struct<rule:string,detail:string>>")
+    have = lambda name, kind: (F.col(name) if name in results.columns else F.lit(None)).cast(kind).alias(name)
+    return results.select(
+        F.col("id").alias("conversation_id"), F.lit(0).alias("turn_index"), X.strip_reasoning(F.coalesce("completion", F.lit(""))).alias("content"), F.lit(model).alias("model"),
+        have("latency_ms", "double"), have("prompt_tokens", "bigint"), have("completion_tokens", "bigint"), failed.alias("failures"),
+    )
+
+
+def usage_struct(reply: Column) -> Column:
+    """Token counts of a reply's JSON (``usage``); missing ones are NULL."""
+    number = lambda name: F.get_json_object(reply, f"$.usage.{name}").cast("bigint").alias(name)
+    return F.struct(number("prompt_tokens"), number("completion_tokens"), number("total_tokens"))
+
+
+def readiness_url(endpoint: Column) -> Column:
+    """Where an endpoint tells that it is ready: its list of models."""
+    return F.concat(F.rtrim(endpoint, F.lit("/")), F.lit("/models"))
+
+
 def record_turns(turns: DataFrame, sink: Sink, checkpoint: str):
     """Starts the query that hands micro-batches of turns to a sink until the input is used up."""
     return turns.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

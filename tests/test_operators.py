@@ -161,8 +161,10 @@ def test_stream_summary_and_rollup(spark):
 def test_generations(spark):
     a = spark.createDataFrame([("p", "hello", [1, 2, 3]), ("q", "x", [1])], "id string, text string, token_ids array<int>")
     b = spark.createDataFrame([("p", "help", [1, 2, 4]), ("q", "x", [1])], "id string, text string, token_ids array<int>")
-    totals = tasks.consistency(tasks.compare_generations(a, b, "id"), "id").first()
-    assert (totals.n_total, totals.n_mismatch, totals.consistent, totals.mismatched) == (2, 1, False, ["p"])
+    verdicts = tasks.compare_generations(a, b, "id")
+    totals = tasks.consistency(verdicts, "id").first()
+    assert (totals.n_total, totals.n_mismatch, totals.consistent) == (2, 1, False) and [r.id for r in tasks.mismatches(verdicts, "id").collect()] == ["p"]
+    assert tuple(tasks.count_changed(verdicts).first()) == (1, 2) and tasks.consistency(verdicts.limit(0), "id").first().consistent
     assert tasks.consistency(tasks.compare_generations(a, b, "id", "prefix", 2), "id").first().consistent
     with pytest.raises(Exception, match="unpaired"):
         tasks.compare_generations(a, b.limit(1), "id").collect()
@@ -226,8 +228,16 @@ def test_config_and_manifest(tmp_path):
     (tmp_path / "l.yaml").write_text("- 1\n")
     with pytest.raises(ValueError):
         config.load_config(str(tmp_path / "l.yaml"))
-    path = manifest.write_manifest(str(tmp_path / "m"), manifest.build_manifest([str(tmp_path / "l.yaml")], stats={"n": 1}))
-    assert json.load(open(path))["inputs"][0]["size_bytes"] == 4
+    (tmp_path / "e.yaml").write_text("")
+    assert config.load_config(str(tmp_path / "e.yaml")) == {"seed": 42}
+    (tmp_path / "pyproject.toml").write_text("")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.yaml").write_text("seed: 7\npath_like: a\nlog_file: a/b\nlists: {in_dirs: [[x], y]}\nmodels_dir: {name: kept}\n")
+    assert config.load_config(str(tmp_path / "sub" / "c.yaml")) == {"seed": 7, "path_like": "a", "log_file": str(tmp_path / "a/b"), "lists": {"in_dirs": [[str(tmp_path / "x")], str(tmp_path / "y")]}, "models_dir": {"name": "kept"}}
+    path = manifest.Manifest([manifest.Input.of(str(tmp_path / "l.yaml"))], stats={"n": 1}, git_commit="c").save(str(tmp_path / "m"))
+    stored = json.load(open(path))
+    assert stored["inputs"][0]["size_bytes"] == 4 and stored["git_commit"] == "c" and stored["created_at"].endswith("+00:00")
+    assert manifest.commit_of(str(tmp_path)) is None
     assert manifest.size_report(8, 2)["ratio"] == 4 and manifest.size_report(0, 0)["ratio"] is None
 
 
