@@ -196,3 +196,16 @@ def common_ids(df: DataFrame, key: str, tag: str) -> DataFrame:
     """Ids that occur under every tag."""
     tags = df.agg(F.count_distinct(tag).alias("tags"))
     return df.groupBy(key).agg(F.count_distinct(tag).alias("own")).join(F.broadcast(tags)).where("own = tags").select(key)
+
+
+def judge_samples(df: DataFrame, key: str, tag: str, scenario: str, total: int | None = None, seed: int = 42) -> DataFrame:
+    """The rows of every tag for the same ids: those that occur under all tags, or a proportional sample of ``total`` of them by scenario.
+
+    An id's scenario is its smallest, over all tags. Rows without an id, or no common id, raise.
+    """
+    own = df.withColumn(key, F.coalesce(F.col(key), F.raise_error(F.lit(f"a row without {key}")).cast(df.schema[key].dataType)))
+    ids = durable(own.join(common_ids(own, key, tag), key, "left_semi").groupBy(key).agg(F.min(scenario).alias("_scenario")))
+    if ids.isEmpty():
+        raise ValueError("no common ids")
+    chosen = ids if total is None else quota_sample(ids, "_scenario", key, total, seed)
+    return own.join(chosen.select(key), key, "left_semi")

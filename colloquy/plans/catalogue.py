@@ -352,4 +352,6 @@ def q49_pricing_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name[0] == "q" and name[1].isdigit()}
+    from colloquy.plans import more
+
+    return {name: f for name, f in globals().items() if name[0] == "q" and name[1].isdigit()} | more.queries()

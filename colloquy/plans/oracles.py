@@ -82,7 +82,9 @@ def digest(name: str, columns: list[str]) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    from colloquy.plans import more_oracles
+
+    return more_oracles.oracle_sql() | {
         "q01_dialogue_funnel": f"""WITH c AS (SELECT rec_id, lang, {CUT} AS kept FROM dialogues), t AS (SELECT *, coalesce({n_assistant('kept')}, 0) AS turns, {canonical('kept')} AS text FROM c),
             r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN coalesce(len(kept), 0) = 0 THEN rec_id::VARCHAR ELSE text END ORDER BY rec_id) AS rn FROM t)
             SELECT CASE WHEN coalesce(len(kept), 0) = 0 THEN 'no_assistant' WHEN rn > 1 THEN 'duplicate' WHEN len({errors('kept', 'turns', 'lang')}) > 0 THEN 'invalid' ELSE 'kept' END AS reason,
