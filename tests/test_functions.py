@@ -34,10 +34,10 @@ def test_reasoning_blocks(spark):
 
 
 def test_keywords_at_boundaries(spark):
-    words = ["electric", "off-peak", "power bill"]
-    for text, want in (("an electrician came", False), ("Electric!", True), ("the off-peak rate", True), ("my power bill", True), (None, False)):
+    words = ["green", "top-up", "blue moon"]
+    for text, want in (("the greenery grew", False), ("Green!", True), ("one top-up more", True), ("once in a blue moon", True), (None, False)):
         assert one(spark, X.has_keyword(F.col("t"), words), t=text) is want
-    assert one(spark, X.has_keyword(F.col("t"), []), t="electric") is False
+    assert one(spark, X.has_keyword(F.col("t"), []), t="green") is False
 
 
 def test_redaction_counts_cards_before_phones(spark):

@@ -33,12 +33,15 @@ def corpus(spark):
 
 def test_split_pipeline(spark):
     out = pipeline.split_with_gate(corpus(spark), "id", ["w1"], ["a"], 2.0, least=10)
+    blank = corpus(spark).limit(1).withColumn("id", F.lit(900).cast("long")).withColumn("messages", F.lit(None).cast(MSG))
+    kept = pipeline.split_with_gate(corpus(spark).unionByName(blank.withColumn("source", F.lit("synthetic:y"))), "id", least=10)
+    assert kept.rows.where("id = 900").count() == 1
     assert out.stats["leaks"] == 0 and sum(v for k, v in out.stats.items() if k != "leaks") == out.rows.count()
     assert not out.rows.where("id = 500").count() or not out.rows.where("id = 50").count()
 
 
 def test_leak_gate_raises(spark, monkeypatch):
-    monkeypatch.setattr(pipeline.dedup, "leakage", lambda *a, **k: spark.createDataFrame([(1, 2)], "a long, b long"))
+    monkeypatch.setattr(pipeline.dedup, "leakage", lambda *a, **k: spark.createDataFrame([(1, 2, "train", "val", 1.0, 3)], "text_a long, text_b long, split_a string, split_b string, similarity double, n_pairs long"))
     with pytest.raises(pipeline.LeakageFound):
         pipeline.split_with_gate(corpus(spark).limit(30), "id")
 
