@@ -8,8 +8,14 @@ deterministic. Collapsing a block of ``BUFFER * 2**L`` raw values moves no rank
 by more than ``2**(L-1)``; joining two buffers of weight w moves no rank by more
 than w. Each sketch carries the sum of these bounds, which is the stated error:
 the value given for a percentile has a true rank within ``rank_error`` of the
-wanted one. Merging follows a tree of bounded fan-in (salted, then whole), so
-depth and error grow with the logarithm of the number of values.
+wanted one. Merging follows a tree: partial sketches of ``FAN`` tasks meet in one, and
+so on, with as many levels as the number of tasks asks for, so that no task gets
+more than ``FAN`` partial sketches of a hot group, and depth and error grow with the
+logarithm of the number of values.
+
+Sketches of days or files are kept in a ``SketchStore`` and put together without reading
+rows again. A request that is logged in two parts counts in the part added first: the
+store keeps the ids of each part, and a later part leaves out those it has.
 
 The wanted rank of percentile p among n values is ``ceil(p * n)``; groups whose
 values fit in raw buffers are exact. NULL, NaN, infinite and negative values are
@@ -26,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUFFER, SALTS, FLUSH_VALUES = 1024, 16, 1 << 21
+BUFFER, FAN, FLUSH_VALUES = 1024, 64, 1 << 21
+#: ``salt`` is the task of a partial sketch, or a node of the tree.
 SKETCH = "grp string, metric string, salt int, level int, error bigint, vals array<double>"
 
 Sketch = dict[int, list[np.ndarray]]
@@ -139,7 +146,7 @@ def build(rows: DataFrame, groups: dict[str, Column], metrics: Sequence[str]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        salt, held, size = TaskContext.get().partitionId() % SALTS, [], 0
+        salt, held, size = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             held.append(batch)
             size += batch.num_rows * len(names)
@@ -193,9 +200,12 @@ def combine(sketches: DataFrame) -> DataFrame:
     return _merge_stage(sketches, by_salt=False)
 
 
-def combine_tree(sketches: DataFrame) -> DataFrame:
-    """As ``combine``, in two steps, so that no task gets all partial sketches of a hot group at once."""
-    return _merge_stage(_merge_stage(sketches, by_salt=True), by_salt=False)
+def combine_tree(sketches: DataFrame, tasks: int) -> DataFrame:
+    """As ``combine``, of the partial sketches of up to ``tasks`` tasks, level by level."""
+    while tasks > FAN:
+        sketches = _merge_stage(sketches.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")), by_salt=True)
+        tasks = -(-tasks // FAN)
+    return _merge_stage(sketches, by_salt=False)
 
 
 def percentiles(sketches: DataFrame, ps: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
@@ -228,7 +238,9 @@ def request_sketches(requests: DataFrame) -> DataFrame:
     """Combined sketches of the request log per (concurrency, run_day) and per client_key."""
     once = first_logged(requests, ["client_key", "concurrency", "run_day", *METRICS])
     day = F.concat_ws("|", F.coalesce(F.col("concurrency").cast("string"), F.lit("")), F.coalesce(F.col("run_day").cast("string"), F.lit("")))
-    return combine_tree(build(once, {"day": day, "client": F.col("client_key")}, METRICS))
+    # The shuffle that keeps each request once decides the number of tasks.
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return combine_tree(build(once, {"day": day, "client": F.col("client_key")}, METRICS), tasks)
 
 
 def request_percentiles(sketches: DataFrame) -> DataFrame:
@@ -252,3 +264,70 @@ def combine_days(sketches: DataFrame) -> DataFrame:
     """Sketches per concurrency over all days, from the day sketches alone."""
     days = sketches.where(F.col("grp").startswith("day|")).withColumn("grp", F.concat(F.lit("day|"), F.split("grp", r"\|")[1], F.lit("|")))
     return combine(days)
+
+
+def describe(sketches: DataFrame) -> DataFrame:
+    """One row per stored buffer: its group, metric, level, error, the values it stands for, and its ends."""
+    size = F.size("vals")
+    return sketches.select("grp", "metric", "level", "error", size.alias("n_stored"), (size * F.pow(F.lit(2), F.col("level"))).cast("bigint").alias("n_values"), F.get("vals", F.lit(0)).alias("low"), F.get("vals", size - 1).alias("high"))
+
+
+class SketchStore:
+    """Sketches of the parts (days, files) of a request log under one folder, with the ids of their requests."""
+
+    def __init__(self, spark, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def parts(self) -> list[str]:
+        """The names of the parts; an empty store has none."""
+        try:
+            return sorted(str(r.part) for r in self.spark.read.parquet(f"{self.folder}/ids").select("part").distinct().collect())
+        except Exception as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return []
+            raise
+
+    def add(self, part: str, requests: DataFrame) -> None:
+        """Adds or replaces a part; requests that other parts have are left out."""
+        others = [p for p in self.parts() if p != part]
+        rows = requests
+        if others:
+            seen = self.spark.read.parquet(*(f"{self.folder}/ids/part={p}" for p in others)).select("request_id")
+            rows = requests.join(seen, "request_id", "left_anti")
+        request_sketches(rows).write.mode("overwrite").parquet(f"{self.folder}/sketches/part={part}")
+        rows.select("request_id").distinct().write.mode("overwrite").parquet(f"{self.folder}/ids/part={part}")
+
+    def combined(self, parts: Sequence[str] | None = None) -> DataFrame:
+        """One sketch per group and metric of all parts, or of some."""
+        names = list(self.parts() if parts is None else parts)
+        if not names:
+            return self.spark.createDataFrame([], SKETCH)
+        both = None
+        for number, part in enumerate(names):
+            one = self.spark.read.schema(SKETCH).parquet(f"{self.folder}/sketches/part={part}").withColumn("salt", F.lit(number))
+            both = one if both is None else both.unionByName(one)
+        return combine_tree(both, len(names))
+
+
+def bounds_kept(requests: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Per group and metric, the number of values and whether each percentile's true rank is within the stated error, by counting the rows on both sides of it."""
+    found = request_percentiles(sketches)
+    once = first_logged(requests, ["client_key", "concurrency", "run_day", *METRICS])
+    named = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in METRICS)))
+    values = once.select("client_key", "concurrency", "run_day", named.alias("e")).select("client_key", "concurrency", "run_day", "e.*").where("v >= 0 AND NOT isnan(v) AND v < double('infinity')")
+    as_groups = F.explode(F.array(
+        F.struct(F.lit("concurrency_day").alias("grouping"), F.col("concurrency"), F.col("run_day"), F.lit(None).cast("string").alias("client_key")),
+        F.struct(F.lit("client").alias("grouping"), F.lit(None).cast("int").alias("concurrency"), F.lit(None).cast("date").alias("run_day"), F.col("client_key")),
+    ))
+    rows = values.select("metric", "v", as_groups.alias("g")).select("metric", "v", "g.*")
+    keys = ["grouping", "concurrency", "run_day", "client_key", "metric"]
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    joined = rows.alias("a").join(found.alias("b"), same).select(*(F.col(f"a.{k}") for k in keys), "v", "n", "p50", "p95", "p99", "rank_error")
+    ok = F.max("n") == F.count("*")
+    for p in (50, 95, 99):
+        rank = F.greatest(F.ceil(F.lit(p / 100) * F.max("n")), F.lit(1))
+        below, upto = F.count_if(F.col("v") < F.col(f"p{p}")), F.count_if(F.col("v") <= F.col(f"p{p}"))
+        ok &= (below + 1 - F.max("rank_error") <= rank) & (rank <= upto + F.max("rank_error"))
+    return joined.groupBy(*keys).agg(F.count("*").alias("n"), ok.alias("within"))

@@ -57,6 +57,17 @@ def p5_days_combined(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.request_percentiles(days).drop("grouping", "run_day", "client_key")
 
 
+def p5_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """The sketches as they are stored."""
+    return quantiles.describe(quantiles.request_sketches(table(spark, folder, "raw_1")))
+
+
+def p5_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the stated error holds for every percentile, by counting all rows."""
+    rows = table(spark, folder, "raw_1")
+    return quantiles.bounds_kept(rows, quantiles.request_sketches(rows))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.overlap_pairs(table(spark, folder, "dialogues"))
 

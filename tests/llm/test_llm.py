@@ -367,6 +367,27 @@ def test_combined_parts_equal_the_whole(spark):
     assert quantiles.percentiles(quantiles.combine_days(parts[0])).count() == 6
 
 
+def test_tree_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FAN", 3)
+    df = spark.range(60_000).select(F.lit("g").alias("k"), F.pmod(F.col("id") * 7919, F.lit(60_000)).cast("double").alias("v")).repartition(20)
+    out = quantiles.percentiles(quantiles.combine_tree(quantiles.build(df, {"g": F.col("k")}, ["v"]), 20)).first()
+    assert out.n == 60_000 and out.rank_error < 6000 and abs(out.p50 - 30_000) <= out.rank_error + 1
+
+
+def test_store_of_parts(spark, tmp_path):
+    df = requests(spark).withColumn("logged_at", F.lit(0))
+    store = quantiles.SketchStore(spark, str(tmp_path / "store"))
+    assert store.parts() == [] and store.combined().count() == 0
+    # Every request is in two parts; it counts once.
+    store.add("d1", df.where("request_id % 2 = 0 OR request_id % 3 = 0"))
+    store.add("d2", df.where("request_id % 2 = 1 OR request_id % 3 = 0"))
+    store.add("d2", df.where("request_id % 2 = 1 OR request_id % 3 = 0"))
+    assert store.parts() == ["d1", "d2"]
+    a, b = ({(r.grp, r.metric): r.n for r in quantiles.percentiles(x).collect()} for x in (store.combined(), quantiles.request_sketches(df)))
+    assert a == b
+    assert all(r.within for r in quantiles.bounds_kept(df, store.combined()).collect())
+
+
 # Problem 7
 
 
