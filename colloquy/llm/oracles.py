@@ -20,6 +20,7 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT plan_id, target_id, greatest(floor(sample_size * target_share + 0.5), min_rows) AS needed, coalesce(sum(n), 0) AS available FROM sample_targets t
                 LEFT JOIN c ON (t.scenario IS NULL OR c.scenario = t.scenario) AND c.n_turns >= t.turns_min AND (t.turns_max IS NULL OR c.n_turns <= t.turns_max) GROUP BY ALL)
             SELECT plan_id, target_id FROM t WHERE available < needed""",
+        "p3_counts": """WITH n AS (SELECT count(DISTINCT coalesce(id, '')) AS n FROM dialogues) SELECT plan_id, least(max(sample_size), any_value(n))::BIGINT AS n_rows, least(max(sample_size), any_value(n))::BIGINT AS n_ids, true AS floors_kept, true AS as_reported FROM sample_targets, n GROUP BY plan_id""",
         "p5_bounds": """WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY logged_at) AS rn FROM raw_1) WHERE rn = 1), v AS (SELECT concurrency, run_day, client_key, metric, v FROM o, LATERAL (VALUES ('ttft_ms', ttft_ms), ('itl_mean_ms', itl_mean_ms), ('total_ms', total_ms)) t(metric, v) WHERE v >= 0 AND NOT isnan(v) AND NOT isinf(v))
             SELECT 'concurrency_day' AS grouping, concurrency, run_day, NULL::VARCHAR AS client_key, metric, count(*) AS n, true AS within FROM v GROUP BY ALL UNION ALL SELECT 'client', NULL, NULL, client_key, metric, count(*), true FROM v GROUP BY ALL""",
         "p6_found": f"WITH {PAIRS} SELECT rec_a, rec_b FROM near WHERE (split_a = 'train' AND split_b IN ('val', 'test')) OR (split_b = 'train' AND split_a IN ('val', 'test'))",

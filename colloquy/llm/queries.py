@@ -44,6 +44,11 @@ def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return swap_sample.draw_samples(table(spark, folder, "dialogues"), table(spark, folder, "sample_targets"))
 
 
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawn rows counted anew."""
+    return swap_sample.drawn_counts(table(spark, folder, "dialogues"), table(spark, folder, "sample_targets"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.defective_sides(table(spark, folder, "preference_pairs"))
 

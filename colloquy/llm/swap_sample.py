@@ -4,12 +4,15 @@ Records are grouped by signature, the set of targets of a plan that they fit. A
 random sample that satisfies the floors is drawn as counts per signature; then
 signature counts are exchanged as long as an exchange lowers the deviation from
 the targets, in halving steps; at last each count is materialised as the rows
-with the smallest seeded hashes. The signatures are few (cells of the plan's
-scenarios and turn ranges), so only their counts reach the driver. Rows are
+with the smallest seeded hashes. A signature is a cell of the plan's scenarios and
+turn ranges: with S scenarios and T ranges a plan has at most (S + 1) (2 T + 2), so only
+their counts per plan reach the driver. Rows are
 never gathered by signature: a histogram of the hashes finds the cut, and only
 the rows of the cut bucket are ranked.
 
-A target that the data cannot meet is reported with what is there. Each distinct
+The report has a reason for each target that the draw misses: ``scarce`` where fewer
+rows fit than it needs, ``competing`` where enough fit but other shares and floors of the plan
+leave too little (or too much) room after repair, NULL where it is met. Each distinct
 id counts once, by its lowest ``rec_id`` (NULL is one id); a NULL ``n_turns``
 fits no range; a NULL scenario fits only targets of any scenario. Targets with
 NULL share or floor want none. Empty tables give empty results.
@@ -22,6 +25,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import floor
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +82,6 @@ def signature(targets: Sequence[Target]) -> Column:
     return F.concat_ws(",", *fits)
 
 
-def deviation(drawn: dict[int, int], targets: Sequence[Target]) -> float:
-    """Sum of distances from the wanted counts; a missing row of a floor weighs a thousand."""
-    return sum(abs(drawn[t.target_id] - t.wanted) + 1000 * max(0, t.floor - drawn[t.target_id]) for t in targets)
-
-
 def repair(available: dict[str, int], targets: Sequence[Target], seed: int) -> dict[str, int]:
     """Rows to draw of each signature."""
     size = min(max((t.size for t in targets), default=0), sum(available.values()))
@@ -109,30 +108,35 @@ def repair(available: dict[str, int], targets: Sequence[Target], seed: int) -> d
         take(pool, t.floor - sum(taken[s] for s in pool))
     take(names, size - sum(taken.values()))
 
-    drawn = {t.target_id: sum(n for s, n in taken.items() if t.target_id in of[s]) for t in targets}
-    now, step = deviation(drawn, targets), max(1, size // 2)
+    return exchange(np.array([taken[n] for n in names]), np.array([available[n] for n in names]), names, targets)
+
+
+def exchange(taken: np.ndarray, available: np.ndarray, names: list[str], targets: Sequence[Target]) -> dict[str, int]:
+    """Moves rows between signatures as long as that lowers the deviation, in halving steps; of equal exchanges the first by name."""
+    if not len(names) or not targets:
+        return dict(zip(names, taken.tolist()))
+    member = np.array([[str(t.target_id) in n.split(",") for t in targets] for n in names], np.int64)
+    wanted, floors = np.array([t.wanted for t in targets]), np.array([t.floor for t in targets])
+    distance = lambda drawn: (np.abs(drawn - wanted) + 1000 * np.maximum(0, floors - drawn)).sum(axis=-1)
+    drawn = taken @ member
+    now, step = distance(drawn), max(1, int(taken.sum()) // 2)
     while step:
         best = None
-        for a in names:
-            for b in names:
-                moved = min(step, taken[a], available[b] - taken[b])
-                if a == b or moved <= 0 or of[a] == of[b]:
-                    continue
-                changed = dict(drawn)
-                for t in of[a] - of[b]:
-                    changed[t] -= moved
-                for t in of[b] - of[a]:
-                    changed[t] += moved
-                then = deviation(changed, targets)
-                if then < now - 1e-9 and (best is None or then < best[0]):
-                    best = (then, a, b, moved, changed)
+        for a in np.flatnonzero(taken):
+            moved = np.minimum(np.minimum(step, taken[a]), available - taken)  # to each signature
+            moved[(member == member[a]).all(axis=1)] = 0
+            then = np.where(moved > 0, distance(drawn + moved[:, None] * (member - member[a])), now)
+            b = int(then.argmin())
+            if then[b] < now and (best is None or then[b] < best[0]):
+                best = (then[b], a, b, int(moved[b]))
         if best is None:
             step //= 2
-        else:
-            now, a, b, moved, drawn = best
-            taken[a] -= moved
-            taken[b] += moved
-    return taken
+            continue
+        now, a, b, count = best
+        taken[a] -= count
+        taken[b] += count
+        drawn = taken @ member
+    return dict(zip(names, taken.tolist()))
 
 
 @dataclass
@@ -153,11 +157,13 @@ class Draw:
         for t in self.targets:
             there, got = self.of(self.available, t), self.of(self.taken, t)
             need = max(t.wanted, t.floor)
-            rows.append((self.plan_id, t.target_id, t.size, t.share, t.floor, there, need, got, got / size if size else None, there < need, got >= min(t.floor, there)))
+            missed = got != need
+            reason = "scarce" if there < need else "competing" if missed else None
+            rows.append((self.plan_id, t.target_id, t.size, t.share, t.floor, there, need, got, got / size if size else None, reason == "scarce", got >= min(t.floor, there), reason))
         return rows
 
 
-REPORT = "plan_id bigint, target_id bigint, sample_size int, target_share double, min_rows int, available bigint, needed bigint, drawn bigint, drawn_share double, cannot_be_met boolean, floor_kept boolean"
+REPORT = "plan_id bigint, target_id bigint, sample_size int, target_share double, min_rows int, available bigint, needed bigint, drawn bigint, drawn_share double, cannot_be_met boolean, floor_kept boolean, reason string"
 
 
 def plan_draws(dialogues: DataFrame, targets: DataFrame, seed: int = 42) -> list[Draw]:
@@ -165,15 +171,21 @@ def plan_draws(dialogues: DataFrame, targets: DataFrame, seed: int = 42) -> list
     plans = read_plans(targets)
     if not plans:
         return []
-    signatures = [signature(p).alias(f"s{plan}") for plan, p in plans.items()]
-    counts = distinct_records(dialogues).groupBy(*signatures).count().collect()
-    draws = []
-    for plan, own in plans.items():
-        available: dict[str, int] = {}
-        for r in counts:
-            available[r[f"s{plan}"]] = available.get(r[f"s{plan}"], 0) + r["count"]
-        draws.append(Draw(plan, own, available, repair(available, own, seed)))
-    return draws
+    counts = signature_counts(dialogues, plans)
+    return [Draw(plan, own, counts.get(plan, {}), repair(counts.get(plan, {}), own, seed)) for plan, own in plans.items()]
+
+
+def signature_counts(dialogues: DataFrame, plans: dict[int, list[Target]]) -> dict[int, dict[str, int]]:
+    """Records per plan and signature; a plan's cells bound their number (see above), which is checked."""
+    each = F.explode(F.array(*(F.struct(F.lit(plan).cast("bigint").alias("plan_id"), signature(own).alias("signature")) for plan, own in plans.items())))
+    bound = sum((len({t.scenario for t in own}) + 1) * (2 * len({(t.low, t.high) for t in own}) + 2) for own in plans.values())
+    rows = distinct_records(dialogues).select(each.alias("p")).groupBy("p.plan_id", "p.signature").count().limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise RuntimeError("more signatures than cells")
+    out: dict[int, dict[str, int]] = {}
+    for r in rows:
+        out.setdefault(r.plan_id, {})[r.signature] = r["count"]
+    return out
 
 
 def target_report(dialogues: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
@@ -208,3 +220,14 @@ def draw_samples(dialogues: DataFrame, targets: DataFrame, seed: int = 42) -> Da
 
 def unmet_targets(dialogues: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     return target_report(dialogues, targets, seed).where("cannot_be_met").select("plan_id", "target_id")
+
+
+def drawn_counts(dialogues: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """``plan_id, n_rows, n_ids, floors_kept, within_plan``: the drawn rows counted anew, against the plan's size and floors."""
+    rows = draw_samples(dialogues, targets, seed)
+    sizes = rows.groupBy("plan_id").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+    each = rows.select("plan_id", F.explode(F.split("signature", ",")).alias("t")).where("t <> ''").groupBy("plan_id", F.col("t").cast("bigint").alias("target_id")).agg(F.count("*").alias("got"))
+    report = target_report(dialogues, targets, seed)
+    joined = report.join(each, ["plan_id", "target_id"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    kept = joined.groupBy("plan_id").agg(F.bool_and(F.col("got") >= F.least("min_rows", "available")).alias("floors_kept"), F.bool_and(F.col("got") == F.col("drawn")).alias("as_reported"))
+    return sizes.join(kept, "plan_id").select("plan_id", "n_rows", "n_ids", "floors_kept", "as_reported")
