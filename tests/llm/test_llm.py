@@ -262,7 +262,7 @@ def test_targets_that_fail_jointly_are_reported(spark):
     df = spark.createDataFrame([(i, f"d{i}", "ab"[i % 2], 3) for i in range(100)], "rec_id long, id string, scenario string, n_turns int")
     targets = plan(spark, [(1, 1, "a", 0, None, 0.5, 15, 20), (2, 1, "b", 0, None, 0.5, 15, 20), (3, 1, "c", 0, None, 0.1, 0, 20)])
     rows = {r.target_id: r for r in swap_sample.target_report(df, targets).collect()}
-    assert rows[3].reason == "scarce" and {rows[1].reason, rows[2].reason} == {None, "competing"} and rows[1].drawn + rows[2].drawn == 20
+    assert rows[3].reason == "scarce" and "competing" in {rows[1].reason, rows[2].reason} <= {None, "competing"} and rows[1].drawn + rows[2].drawn == 20
     assert {tuple(r) for r in swap_sample.unmet_targets(df, targets).collect()} == {(1, 3)}
     counted = swap_sample.drawn_counts(df, targets).first()
     assert (counted.n_rows, counted.n_ids, counted.as_reported) == (20, 20, True)
