@@ -31,7 +31,7 @@ TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer's pattern, which belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF_BYTES = 1 << 14
+LEAF_BYTES = 1 << 10
 VOCABULARY_LIMIT = 32 << 20
 
 _SPACE, _DIGIT, _LETTER, _MARK, _OTHER, _WORDISH = 0, 1, 2, 3, 4, 5

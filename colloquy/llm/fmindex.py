@@ -84,9 +84,9 @@ class FMIndex:
         self.transform = text[order - 1]
         self.wavelet = WaveletMatrix(self.transform)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text))]).astype(np.int64)
-        self.sampled = np.full(len(text), -1, np.int32)
-        keep = order % SAMPLE_EVERY == 0
-        self.sampled[keep] = order[keep]
+        # Only the sampled rows are kept, in order, each with its place in the text.
+        self.sampled = np.flatnonzero(order % SAMPLE_EVERY == 0).astype(np.int32)
+        self.places = order[self.sampled].astype(np.int32)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals [low, high) of suffixes that start with each phrase (one per row, 0 for unknown words)."""
@@ -106,9 +106,9 @@ class FMIndex:
         rows, steps, found = rows.copy(), np.zeros(len(rows), np.int64), np.full(len(rows), -1, np.int64)
         open_ = np.arange(len(rows))
         while len(open_):
-            at = self.sampled[rows[open_]]
-            known = at >= 0
-            found[open_[known]] = at[known] + steps[open_[known]]
+            at = np.minimum(np.searchsorted(self.sampled, rows[open_]), len(self.sampled) - 1)
+            known = self.sampled[at] == rows[open_]
+            found[open_[known]] = self.places[at[known]] + steps[open_[known]]
             open_ = open_[~known]
             symbol = self.transform[rows[open_]]
             rows[open_] = self.first[symbol] + self.wavelet.rank(symbol, rows[open_])

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from colloquy.llm.bpe_tree import VOCABULARY, TreeEncoder, encoder, read_vocabulary
 from colloquy.session import spread
@@ -149,3 +150,23 @@ def split_documents(documents: DataFrame, max_tokens: int = MAX_TOKENS, overlap:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(source, pa.int64())), *columns], ["key", *schema.names])
 
     return spread(documents.select(key, text)).mapInArrow(run, f"key {kind}, {PIECE_COLUMNS}").withColumnRenamed("key", key)
+
+
+def promises_kept(pieces: DataFrame, documents: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, within_limit, overlaps_kept, covered``: aggregates over the pieces of each document against its text.
+
+    A text is covered if each piece is what stands at its place, the first starts
+    at 0, each starts at or before the end of the one before, and the last ends with the text.
+    """
+    own = documents.select(F.col(key), F.col(text).alias("_text"))
+    joined = pieces.join(own, key)
+    size = F.col("end_char") - F.col("start_char")
+    stands = F.substring(F.col("_text"), (F.col("start_char") + 1).cast("int"), size.cast("int")) == F.col("piece")
+    steps = joined.select(key, "piece_idx", "n_pieces", "start_char", "end_char", "n_tokens", "overlap_tokens", stands.alias("stands"), F.length("_text").alias("chars"))
+    ends = steps.select(key, (F.col("piece_idx") + 1).alias("piece_idx"), F.col("end_char").alias("before"))
+    linked = steps.join(ends, [key, "piece_idx"], "left")
+    no_gap = F.when(F.col("piece_idx") == 0, F.col("start_char") == 0).otherwise((F.col("start_char") <= F.col("before")) & (F.col("end_char") > F.col("before")))
+    return linked.groupBy(key).agg(
+        F.bool_and(F.col("n_tokens") <= max_tokens).alias("within_limit"), F.bool_and(F.col("overlap_tokens") <= overlap).alias("overlaps_kept"),
+        (F.bool_and("stands") & F.bool_and(no_gap) & (F.max("end_char") == F.max("chars")) & (F.count("*") == F.max("n_pieces"))).alias("covered"),
+    )

@@ -40,6 +40,11 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return swap_sample.target_report(table(spark, folder, "dialogues"), table(spark, folder, "sample_targets"))
 
 
+def p3_needs(spark: SparkSession, folder: str) -> DataFrame:
+    """What each target needs and what there is, from the report."""
+    return p3_report(spark, folder).select("plan_id", "target_id", "available", "needed", "cannot_be_met", "floor_kept")
+
+
 def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return swap_sample.draw_samples(table(spark, folder, "dialogues"), table(spark, folder, "sample_targets"))
 
@@ -81,6 +86,11 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.overlap_report(table(spark, folder, "dialogues"))
 
 
+def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The report's counts."""
+    return p6_report(spark, folder).drop("mean_coverage")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return cuts.cut_results(table(spark, folder, "results")).where("cut").select("result_id")
 
@@ -101,6 +111,11 @@ def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
     return fmindex.removal_spans(fmindex.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
 
 
+def p9_word_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The removal spans by words."""
+    return p9_spans(spark, folder).select("doc_id", "first_word", "end_word")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_documents(table(spark, folder, "documents")).where("n_pieces > 1 and piece_idx = 0").select("doc_id")
 
@@ -109,5 +124,11 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_documents(table(spark, folder, "documents"))
 
 
+def p10_promises(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document whether its pieces keep the limit and the overlap and cover the text without a gap."""
+    documents = table(spark, folder, "documents")
+    return pieces.promises_kept(pieces.split_documents(documents), documents)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
