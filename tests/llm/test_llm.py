@@ -77,10 +77,15 @@ def test_tree_prunes_and_finds_all():
     rng = np.random.default_rng(1)
     high, low = rng.integers(0, 1 << 63, 500).astype(np.uint64), rng.integers(0, 1 << 63, 500).astype(np.uint64) & ~np.uint64(0xFF000000)
     high[250:], low[250:] = high[:250] ^ np.uint64(5), low[:250]
-    q, m = vptree.VantageTree(high, low).within(high, low, 6)
+    tree = vptree.VantageTree(high, low, 8)
+    q, m = tree.within(high, low, 6)
     got = set(zip(q.tolist(), m.tolist()))
     want = {(i, j) for i in range(500) for j in range(500) if vptree.distance(high[i], low[i], high[j], low[j]) <= 6}
-    assert got == want
+    assert got == want and tree.compared < 0.5 * 500 * 500
+    # At the radius that similarity 0.6 asks for, fingerprints of unrelated texts are not told apart.
+    wide = vptree.VantageTree(high, low, 8)
+    wide.within(high, low, vptree.RADIUS)
+    assert wide.compared > 0.9 * 500 * 500
 
 
 def test_near_pairs_of_empty_tables(spark):
