@@ -4,7 +4,8 @@ Lengths are computed as storage may have counted them: characters, bytes,
 UTF-16 units, after entity escaping, after JSON escaping (with and without
 ASCII only), with line ends as two characters, and in words and marks. Grouped
 by source and way of counting, a hidden limit shows as a length at which texts
-pile up and beyond which hardly any goes. Texts at such a limit, or at their
+pile up, far above the lengths on both its sides, and mostly with an open end; it
+need not be the greatest length, as a limit may have held for a while or a part. Texts at such a limit, or at their
 own token limit, whose tail is open are cut; so are the open tails that the
 endings of the corpus show to be unfinished, whatever cut them.
 
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from colloquy.llm.endings import judge_endings
 from colloquy.session import durable
 
-#: A spike has at least so many texts, so many times the mean of the lengths just below, and so few texts beyond it.
-SPIKE_TEXTS, SPIKE_TIMES, BELOW, BEYOND = 5, 5, 20, 0.2
+#: A spike has at least so many texts, so many times the mean of the lengths just below and just above, and such a share of open ends.
+SPIKE_TEXTS, SPIKE_TIMES, NEAR, OPEN_SHARE = 5, 5, 20, 0.5
+#: The end of a text that is closed, whatever it says.
+CLOSED_END = r"[.?!…。？！][\"'”’»)\]}*_]*\s*$"
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -48,22 +51,21 @@ def storage_lengths(text: Column) -> dict[str, Column]:
 
 
 def lengths_long(texts: DataFrame, text: str) -> DataFrame:
-    """One row per text and way of counting."""
+    """One row per text and way of counting, with ``open_end``: no mark closes the text."""
     ways = storage_lengths(F.col(text))
     pairs = F.array(*(F.struct(F.lit(name).alias("way"), c.cast("int").alias("length")) for name, c in ways.items()))
-    return texts.where(F.length(F.trim(text)) > 0).withColumn("_w", F.explode(pairs)).select("*", "_w.way", "_w.length").drop("_w")
+    own = texts.where(F.length(F.trim(text)) > 0).withColumn("open_end", ~F.col(text).rlike(CLOSED_END))
+    return own.withColumn("_w", F.explode(pairs)).select("*", "_w.way", "_w.length").drop("_w")
 
 
 def hidden_limits(long: DataFrame, group: list[str]) -> DataFrame:
     """``group, way, length, n_at``: the lengths at which a limit shows; works on counts per length only."""
-    counts = long.groupBy(*group, "way", "length").agg(F.count("*").alias("n_at"))
+    counts = long.groupBy(*group, "way", "length").agg(F.count("*").alias("n_at"), F.count_if("open_end").alias("n_open"))
     order = Window.partitionBy(*group, "way").orderBy("length")
-    below = F.coalesce(F.sum("n_at").over(order.rangeBetween(-BELOW, -1)), F.lit(0)) / BELOW
-    beyond = F.coalesce(F.sum("n_at").over(order.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
-    marked = counts.withColumn("below", below).withColumn("beyond", beyond)
-    return marked.where((F.col("n_at") >= SPIKE_TEXTS) & (F.col("n_at") >= SPIKE_TIMES * F.col("below")) & (F.col("beyond") <= BEYOND * F.col("n_at"))).select(
-        *group, "way", "length", "n_at"
-    )
+    near = lambda low, high: F.coalesce(F.sum("n_at").over(order.rangeBetween(low, high)), F.lit(0)) / NEAR
+    marked = counts.withColumn("beside", F.greatest(near(-NEAR, -1), near(1, NEAR)))
+    sharp = (F.col("n_at") >= SPIKE_TEXTS) & (F.col("n_at") >= SPIKE_TIMES * F.col("beside"))
+    return marked.where(sharp & (F.col("n_open") >= OPEN_SHARE * F.col("n_at"))).select(*group, "way", "length", "n_at")
 
 
 def cut_texts(rows: DataFrame, corpus: DataFrame, key: str, text: str, source: str, token_limit: str | None = None) -> DataFrame:

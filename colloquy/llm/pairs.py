@@ -54,18 +54,27 @@ for _code, _words in FUNCTION_WORDS.items():
     for _word in _words:
         _LANGUAGE_OF.setdefault(_word, []).append(_code)
 
-#: Phrases that decline, most of them a negated ability and a verb of answering.
+#: Verbs of answering and helping, as infinitives and as they stand after "of" or "comfortable".
+ANSWERING = "address advise answer assist chat comment comply continue discuss elaborate engage fulfil fulfill handle help opine participate proceed process provide reply respond speak speculate talk".split()
+_TO_ANSWER = "|".join(ANSWERING)
+_ANSWERING = "|".join((v[:-1] if v.endswith("e") else v + "t" if v == "chat" else v) + "ing" for v in ANSWERING)
+#: Phrases that decline: a negated ability, permission or wish with such a verb; rules that forbid; what lies outside of one's task; plain refusals.
 REFUSAL = re.compile(
-    r"\b(?:can ?not|can['’]t|could not|couldn['’]t|won['’]t|will not|not able to|unable to|not permitted to|not allowed to|not in a position to|not going to|(?:would|['’]d) (?:rather|prefer) not|prefer not to)"
-    r"(?: (?!(?:a|an|any|my|our|that|the|this|your)\b)\w+){0,3}? (?:address|advise|answer|assist|comment|comply|continue|discuss|engage|fulfil+|handle|help|provide|reply|respond|speak|talk)\b"
-    r"|\b(?:must|have to|need to|will|would) (?:\w+ )?(?:decline|refuse)\b|\bi (?:decline|refuse) to\b|\bno comment\b|\bnot something (?:i|we) can\b|\binstructed not to\b"
-    r"|\bas an ai\b|\blanguage model\b|\bagainst (?:my|our) (?:policy|policies|guidelines)\b|\b(?:outside|beyond) (?:of )?(?:my|our) (?:scope|remit)\b"
-    r"|\bkann (?:ich )?(?:ihnen )?(?:leider )?(?:dazu |dabei |damit |das )*(?:keine|nicht)\b|\bdarf ich nicht\b|\bne (?:peux|pouvons|puis) pas\b|\bje refuse\b|\bno (?:puedo|podemos) (?:\w+ )?(?:ayudar|responder|hablar|comentar|contestar)",
+    r"\b(?:can ?not|can['’]t|could not|couldn['’]t|won['’]t|will not|wouldn['’]t|would not|not able to|unable to|not permitted to|not allowed to|not authori[sz]ed to|not supposed to|not meant to|not at liberty to|not free to|not in a position to|not going to|not willing to|unwilling to"
+    r"|(?:would|['’]d) (?:rather|prefer) not|prefer not to|choose not to|chose not to|(?:must|have to|need to|will) (?:refrain|abstain)|hesitate to)"
+    rf"(?: (?!(?:a|an|any|my|our|that|the|this|your)\b)\w+){{0,3}}? (?:{_TO_ANSWER}|{_ANSWERING})\b"
+    rf"|(?:\bnot|n['’]t|\bun)(?: |(?=comfortable))(?:feel )?(?:comfortable|at ease|happy|right)(?: (?:with|about|in|to))? (?:{_TO_ANSWER}|{_ANSWERING})\b"
+    rf"|\b(?:not (?:feel )?(?:comfortable|at ease|happy|right)|uncomfortable|uneasy|refrain from|abstain from|keep from|prevents? me from|prohibits? me from|forbids? me from|stops? me from|keeps? me from)(?: (?:with|about|in|to))? (?:{_TO_ANSWER}|{_ANSWERING})\b"
+    r"|\b(?:guidelines?|polic(?:y|ies)|rules?|instructions?|programming|safety settings?|terms) (?:\w+ )?(?:do(?:es)? not|don['’]t|doesn['’]t|will not|won['’]t|cannot|can['’]t) (?:allow|permit|let)\b|\b(?:guidelines?|polic(?:y|ies)|rules?|instructions?|programming) (?:forbid|prohibit|prevent|rule)s?\b"
+    r"|\b(?:falls?|lies?|goes|is|sits?|well|far) (?:outside|beyond)(?: of)? (?:what (?:i|we)\b|my\b|our\b)|\b(?:outside|beyond) (?:of )?(?:my|our) (?:scope|remit|role|task|abilities|capabilities)\b|\boff[- ]limits (?:for|to) me\b"
+    r"|\b(?:must|have to|need to|will|would) (?:\w+ )?(?:decline|refuse)\b|\bi (?:respectfully |politely )?(?:decline|refuse) to\b|\bno comment\b|\bnot something (?:i|we) (?:can|may|will)\b|\b(?:instructed|told|trained|programmed|asked) not to\b"
+    r"|\bas an ai\b|\blanguage model\b|\bagainst (?:my|our) (?:policy|policies|guidelines|rules|programming|principles)\b|\bwould (?:be|not be) (?:in)?appropriate (?:for me )?to\b"
+    r"|\bkann (?:ich )?(?:ihnen )?(?:leider )?(?:dazu |dabei |damit |das )*(?:keine|nicht)\b|\bdarf ich (?:dazu |das )?nicht\b|\bmöchte ich (?:dazu )?nichts?\b|\bne (?:peux|pouvons|puis) pas\b|\bje (?:refuse|préfère ne pas)\b|\bno (?:puedo|podemos) (?:\w+ )?(?:ayudar|responder|hablar|comentar|contestar)|\bprefiero no\b",
     re.IGNORECASE,
 )
 #: What goes on to help within the same sentence, or as a sentence of its own.
 HELP = re.compile(
-    r"(?:\b(?:but|so|though|however|instead|meanwhile|yet|still)\b|;)[^.?!]*?\b(?:let (?:me|us)|(?:i|we|you|team|colleague|desk|office)\b[^.?!]*?\b(?:can(?! ?not|['’]t)|could(?! ?not|n['’]t)|will(?! not)|shall|get|would be glad|am happy|are happy))\b"
+    r"(?:\b(?:but|so|though|however|instead|meanwhile|yet|still)\b|;)[^.?!]*?\b(?:let (?:me|us)|(?:i|we|you|team|colleague|desk|office)\b[^.?!]*?\b(?:can(?! ?not|['’]t)|could(?! ?not|n['’]t)|will(?! not| leave (?:it|this|that)| stop| end| pass| close| say no more| rest)|shall|get|would be glad|am happy|are happy))\b"
     r"|\b(?:aber|stattdessen|mais|pero|sino)\b[^.?!]*?\b(?:ich|wir|je|nous|puedo|podemos)\b",
     re.IGNORECASE,
 )
@@ -201,16 +210,38 @@ def pair_corpus(pairs: DataFrame) -> DataFrame:
     return answers.unionByName(pairs.select(F.explode(spoken("context")).alias("text")))
 
 
-def defective_sides(pairs: DataFrame) -> DataFrame:
-    """``pair_id, side, defect`` of each defective side."""
-    ruled = durable(apply_rules(pair_sides(pairs)))
+def cut_sides(ruled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``key, shortened, at_limit, unfinished`` of the open-ended sides that a sign shows to be truncated.
+
+    First the neighbours in sorted order, then the spikes of lengths, then what the
+    endings of the corpus tell; each sign holds by itself, given an open end.
+    """
     open_sides = ruled.where("defect IS NULL").select(F.concat_ws("|", F.col("pair_id").cast("string"), "side").alias("key"), "answer", F.xxhash64("answer").alias("text_hash"))
-    judged = judge_endings(open_sides, pair_corpus(pairs), "key", "answer")
     longer = shortened_versions(ruled.where("defect IS NULL"), "answer").select(F.xxhash64("text").alias("text_hash"), F.lit(True).alias("shortened"))
     long = lengths_long(open_sides.withColumn("source", F.lit("answers")), "answer").drop("answer")
     at = long.join(hidden_limits(long, ["source"]).drop("n_at"), ["source", "way", "length"]).select("key").distinct().withColumn("at_limit", F.lit(True))
-    signs = open_sides.join(longer, "text_hash", "left").join(at, "key", "left").select("key", F.coalesce("shortened", "at_limit", F.lit(False)).alias("sign"))
-    cut = judged.join(signs, "key").where(F.col("cut") | (F.col("open") & F.col("sign"))).select(
-        F.split("key", r"\|")[0].cast("bigint").alias("pair_id"), F.split("key", r"\|")[1].alias("side"), F.lit("truncated").alias("defect")
-    )
+    judged = judge_endings(open_sides, pair_corpus(pairs), "key", "answer")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    signs = open_sides.select("key", "text_hash").join(longer, "text_hash", "left").join(at, "key", "left").join(judged, "key")
+    marked = signs.select("key", no("shortened"), no("at_limit"), F.coalesce("cut", F.lit(False)).alias("unfinished"), "open")
+    return marked.where("unfinished OR (open AND (shortened OR at_limit))").drop("open")
+
+
+def defective_sides(pairs: DataFrame) -> DataFrame:
+    """``pair_id, side, defect`` of each defective side."""
+    ruled = durable(apply_rules(pair_sides(pairs)))
+    part = F.split("key", r"\|")
+    cut = cut_sides(ruled, pairs).select(part[0].cast("bigint").alias("pair_id"), part[1].alias("side"), F.lit("truncated").alias("defect"))
     return ruled.where("defect IS NOT NULL").select("pair_id", "side", "defect").unionByName(cut)
+
+
+def defect_report(pairs: DataFrame) -> DataFrame:
+    """``side, defect, sign, n``: sides per defect; of truncated ones how many each sign, and each alone, brings."""
+    ruled = durable(apply_rules(pair_sides(pairs)))
+    cut = durable(cut_sides(ruled, pairs))
+    side = F.element_at(F.split("key", r"\|"), 2).alias("side")
+    names = ("shortened", "at_limit", "unfinished")
+    count = sum((F.col(n).cast("int") for n in names), F.lit(0))
+    signs = F.explode(F.concat(F.filter(F.array(*(F.when(F.col(n), F.lit(n)) for n in names)), lambda x: x.isNotNull()), F.filter(F.array(*(F.when(F.col(n) & (count == 1), F.lit(f"{n} alone")) for n in names)), lambda x: x.isNotNull()), F.array(F.lit("any"))))
+    told = cut.select(side, F.lit("truncated").alias("defect"), signs.alias("sign"))
+    return ruled.where("defect IS NOT NULL").select("side", "defect", F.lit("rule").alias("sign")).unionByName(told).groupBy("side", "defect", "sign").agg(F.count("*").alias("n"))

@@ -58,6 +58,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.defective_sides(table(spark, folder, "preference_pairs"))
 
 
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Defects per side, and which sign tells of truncated ones."""
+    return pairs.defect_report(table(spark, folder, "preference_pairs"))
+
+
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.request_percentiles(quantiles.request_sketches(table(spark, folder, "raw_1")))
 

@@ -316,6 +316,18 @@ def test_defective_sides(spark):
     got = {(r.pair_id, r.side): r.defect for r in pairs.defective_sides(small_pairs(spark)).collect()}
     assert got == {(900, "rejected"): "truncated", (901, "chosen"): "empty", (901, "rejected"): "truncated", (902, "chosen"): "truncated"}
     assert pairs.defective_sides(small_pairs(spark).limit(0)).count() == 0
+    report = {(r.side, r.defect, r.sign): r.n for r in pairs.defect_report(small_pairs(spark)).collect()}
+    assert report["rejected", "truncated", "any"] == 2 and report["chosen", "empty", "rule"] == 1 and report["rejected", "truncated", "shortened"] == 2
+
+
+def test_refusals_of_many_wordings():
+    for text in (
+        "I would rather not talk about this.", "This is beyond what I can do here.", "I don't feel at ease discussing prices, so I will stop here.", "My instructions forbid such answers.", "I am not authorised to comment on it. Anything else?", "I must refrain from speculating.",
+        "Our policy does not allow me to help with that.", "It would be inappropriate to go into this.", "I choose not to respond.", "I was told not to.",
+    ):
+        assert pairs.is_refusal(text), text
+    for text in ("I cannot say the price yet, but I can call you on Monday.", "No, the fee stays.", "We do not answer the phone on Sundays. Please write to us, and the team will help.", "You can talk to us any time.", "I will not push this on you. The visit takes an hour."):
+        assert not pairs.is_refusal(text), text
 
 
 # Problem 5
