@@ -1,7 +1,7 @@
 """Exact and near duplicates, clusters, the record kept of each, and overlaps across splits.
 
-Near duplicates are found without loss: of each set of word shingles, in the
-order of their rarity, only the first ``n - ceil(t * n) + 1`` are joined (two
+Near duplicates are found without loss: of each set of word shingles, in an
+order that puts rare ones first, only the first ``n - ceil(t * n) + 1`` are joined (two
 sets of similarity t share one of them), candidates are checked on the whole
 sets. Copies are collapsed first, so a text repeated in a third of the rows
 counts once; common shingles come last in the order and drop out of the prefix.
@@ -9,7 +9,11 @@ counts once; common shingles come last in the order and drop out of the prefix.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
@@ -17,6 +21,8 @@ from colloquy.operators.graph import components
 from colloquy.session import durable, spread
 
 SHINGLE, SIMILARITY = 5, 0.85
+#: Frequencies of shingles are counted in one of ``SAMPLE`` sets and kept of so many shingles.
+SAMPLE, FREQUENT = 8, 1 << 17
 
 
 def mark_first(df: DataFrame, content: Column, *order: str, name: str = "is_first") -> DataFrame:
@@ -39,14 +45,57 @@ def shingle_sets(df: DataFrame, key: str, text: Column, size: int = SHINGLE) ->
     return spread(df).select(F.col(key).alias("key"), X.shingle_hashes(size)(text).alias("runs")).where(F.size("runs") > 0)
 
 
+class RunOrder:
+    """An order of shingles, rare ones first: by classes of their frequency in a sample of the sets, then by hash.
+
+    Any order gives all pairs; the frequencies decide the cost only. They are kept of
+    the ``FREQUENT`` shingles that most of the sampled sets have, a table of fixed size.
+    """
+
+    def __init__(self, sets: DataFrame, sample: int = SAMPLE, frequent: int = FREQUENT) -> None:
+        chosen = sets.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0)
+        counts = chosen.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+        top = counts.orderBy(F.desc("n"), "run").limit(frequent).toArrow()
+        runs, n = top.column("run").to_numpy(), top.column("n").to_numpy()
+        order = np.argsort(runs)
+        self.runs, self.classes = runs[order], np.log2(np.maximum(n[order], 1)).astype(np.int64)
+
+    def __call__(self, runs: np.ndarray) -> np.ndarray:
+        if not len(self.runs):
+            return np.zeros(len(runs), np.int64)
+        place = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
+        return np.where(self.runs[place] == runs, self.classes[place], -1)
+
+
+def prefixes(sets: DataFrame, order: RunOrder, similarity: float) -> DataFrame:
+    """``key, n, run``: of each set of n shingles the first ``n - ceil(similarity * n) + 1`` of the order."""
+    shared = sets.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            sizes, runs = np.diff(offsets), lists.values.to_numpy()[offsets[0] : offsets[-1]]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            by = np.lexsort((runs, shared.value(runs), owner))
+            place = np.arange(len(runs)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+            shown = place <= (sizes - np.ceil(similarity * sizes - 1e-9))[owner]
+            owner, runs = owner[by][shown], runs[by][shown]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(sizes[owner].astype(np.int64)), pa.array(runs)], ["key", "n", "run"])
+
+    kind = sets.schema["key"].dataType.simpleString()
+    return sets.select("key", "runs").mapInArrow(run, f"key {kind}, n bigint, run bigint")
+
+
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b, similarity`` (a < b) of all pairs of ``key, runs`` rows at least so similar; every pair is found."""
-    items = sets.select("key", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    counts = items.groupBy("run").agg(F.count("*").alias("df"))
-    # A shingle of one set joins with nothing; it still counts for the place in the order.
-    ranked = items.join(counts, "run").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "run")))
-    short = F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
-    prefix = durable(ranked.where(short & (F.col("df") > 1)).select("key", "n", "run"))  # both sides of the join
+    """``a, b, similarity`` (a < b) of all pairs of ``key, runs`` rows at least so similar; every pair is found.
+
+    Only prefixes are shuffled. A shingle that stands in many prefixes is joined by
+    Spark, where adaptive execution splits skewed partitions.
+    """
+    prefix = durable(prefixes(sets, RunOrder(sets), similarity))  # both sides of the join
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.run") == F.col("b.run")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= similarity * F.col("b.n") - 1e-9) & (F.col("b.n") >= similarity * F.col("a.n") - 1e-9)
     pairs = a.join(b, near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
@@ -61,7 +110,7 @@ def similar_texts(df: DataFrame, key: str, text: Column, similarity: float = SIM
     sets = durable(shingle_sets(df, key, text, size).withColumn("same", F.xxhash64(F.array_sort("runs"))))
     ids = sets.groupBy("same").agg(F.min("key").alias("text_id"))
     members = sets.select("key", "same").join(ids, "same").select("key", "text_id")
-    distinct = sets.join(ids.select(F.col("text_id").alias("key")), "key").select("key", "runs")
+    distinct = durable(sets.join(ids.select(F.col("text_id").alias("key")), "key").select("key", "runs"))  # read by the order, the prefixes and the check
     return members, durable(similar_sets(distinct, similarity))
 
 
