@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.ordered import gaps
 from colloquy.operators.percentiles import with_percentiles
-from colloquy.session import durable
 
 
 def summarise_stream(start: Column, chunks: Column, tokens: Column) -> Column:
@@ -68,20 +68,7 @@ def aggregate_streams(df: DataFrame, stream: str, *group: str) -> DataFrame:
     return with_percentiles(rollup, df, group, {"ttft": (F.col(t), ps), "total": (F.col(total), ps)})
 
 
-def gaps(df: DataFrame, key: str, ts: Column, order: str) -> DataFrame:
-    """Adds ``gap``: the difference to the row before in the same key.
-
-    Rows are range-partitioned by key and time; the last time of a key in each
-    partition is handed to the next one, so no key gathers in one task.
-    """
-    parted = durable(df.withColumn("_ts", ts).repartitionByRange(key, "_ts", order).withColumn("_pid", F.spark_partition_id()))
-    local = F.lag("_ts").over(Window.partitionBy("_pid", key).orderBy("_ts", order))
-    first = F.row_number().over(Window.partitionBy("_pid", key).orderBy("_ts", order)) == 1
-    ends = parted.groupBy(F.col(key).alias("_k"), "_pid").agg(F.max("_ts").alias("_end"))  # one row per key and partition
-    before = F.last("_end").over(Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
-    seams = ends.select("_k", F.col("_pid").alias("_p"), before.alias("_before"))
-    joined = parted.withColumn("_local", local).withColumn("_first", first).join(seams, (F.col("_pid") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
-    return joined.withColumn("gap", F.col("_ts") - F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_local"))).drop("_ts", "_pid", "_local", "_first", "_k", "_p", "_before")
+__all__ = ["aggregate_streams", "drop_warmup", "gaps", "positive", "request_row", "speedup", "summarise_stream", "throughput", "tier_rollup"]
 
 
 def positive(value: Column, name: str) -> Column:

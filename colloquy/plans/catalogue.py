@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import json as J
 from colloquy.functions import messages as M
 from colloquy.functions import text as X
-from colloquy.operators import clean, dedup, judge, latency, manifest, rules, sample, tasks
+from colloquy.operators import clean, dedup, judge, latency, manifest, ordered, rules, sample, tasks
 from colloquy.session import spread, table
 from colloquy.sources import formats
 from colloquy.streaming import traces
@@ -53,13 +53,11 @@ def q02_dialogue_ids(spark: SparkSession, folder: str) -> DataFrame:
     return dialogues(spark, folder).select("rec_id", M.dialogue_id(F.coalesce("messages", M.empty())).alias("content_id"))
 
 
-def q03_merge_runs(spark: SparkSession, folder: str) -> DataFrame:
+def q03_event_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of one event type per user as gaps and islands."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     df = table(spark, folder, "events").select("user_id", "event_type", "ts", "event_id")
-    fresh = F.when(F.lag("event_type").over(w).eqNullSafe(F.col("event_type")), 0).otherwise(1)
-    df = df.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
-    return df.groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"))
+    runs = ordered.islands(df, "user_id", "event_type", "ts", "event_id")
+    return runs.groupBy("user_id", "run").agg(F.any_value("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
 def q04_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

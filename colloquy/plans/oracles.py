@@ -90,7 +90,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN coalesce(len(kept), 0) = 0 THEN 'no_assistant' WHEN rn > 1 THEN 'duplicate' WHEN len({errors('kept', 'turns', 'lang')}) > 0 THEN 'invalid' ELSE 'kept' END AS reason,
             {bucket('turns')} AS bucket, count(*) AS n FROM r GROUP BY ALL""",
         "q02_dialogue_ids": f"SELECT rec_id, 'dlg-' || substr(sha256({canonical('messages')}), 1, 12) AS content_id FROM dialogues",
-        "q03_merge_runs": """WITH f AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        "q03_event_runs": """WITH f AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
             g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM f) SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, count(*) AS n FROM g GROUP BY user_id, run""",
         "q04_exact_dedup": """WITH r AS (SELECT source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE text IS NOT NULL)
             SELECT source, count(*) AS n, count(*) FILTER (rn > 1) AS dropped FROM r GROUP BY source""",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import messages as M
 from colloquy.functions import text as X
-from colloquy.operators import dedup, gates, latency, logs, manifest, percentiles, remote, runs, sample, tasks
+from colloquy.operators import dedup, gates, latency, logs, manifest, ordered, percentiles, remote, runs, sample, tasks
 from colloquy.streaming import traces
 
 MSG = "array<struct<role:string,content:string>>"
@@ -81,6 +81,14 @@ def test_gaps_across_partitions(spark):
     assert sum(r.gap is None for r in out) == 3 and all(r.gap == 10 for r in out if r.u == "u" and r.o) and len(out) == 203
 
 
+def test_islands_across_partitions(spark):
+    rows = [("u", i, "ab"[(i // 7) % 2]) for i in range(140)] + [("v", 1, None), ("v", 2, None), (None, 1, "a"), (None, 2, "a")]
+    out = ordered.islands(spark.createDataFrame(rows, "k string, t int, v string").repartition(6), "k", "v", "t").collect()
+    assert {(r.t, r.run) for r in out if r.k == "u"} == {(i, i // 7 + 1) for i in range(140)}
+    assert sorted(r.run for r in out if r.k == "v") == [1, 2] and [r.run for r in out if r.k is None] == [1, 1]
+    assert ordered.islands(spark.createDataFrame([], "k string, t int, v string"), "k", "v", "t").count() == 0
+
+
 def test_banded_links_against_the_exact_join(spark):
     import random
 
