@@ -17,10 +17,10 @@ selected twice, over windows of different width:
 Between the two, joined pairs are compared exactly: runs of three words in common
 over runs in either. Before that, pairs are left out whose sizes exclude the
 similarity or whose fingerprints (96 bits, as in problem 1) lie more than ``RADIUS``
-apart, which a pair at 0.6 does with a probability below 2 in a million.
+apart, which a pair at 0.6 does with a probability of 3 in 100,000 (4 standard deviations).
 
-Only seeds that a text of an evaluation split has are shuffled: a bitmap of fixed size
-skips the rest. Seeds that a sample shows to be hot never meet in one task: they
+Only seeds that texts of both sides have are shuffled: two bitmaps of fixed size
+skip the rest. Seeds that a sample shows to be hot never meet in one task: they
 go to a salted join.
 
 Copies of a text are one text per side when pairs are sought and compared; only
@@ -44,7 +44,7 @@ from colloquy.llm.words import WordHashes, words
 from colloquy.session import durable, spread
 
 RUN, SIMILARITY = 3, 0.6
-BANDS, RADIUS = 96, 38
+BANDS, RADIUS = 96, 35
 GRAM, WINDOW, DROP = 9, 4, 3
 #: Seeds with more than ``HOLD`` rows are joined by Spark, in ``SALTS`` parts; a sample of one in ``SAMPLE`` texts foretells them.
 HOLD, SALTS, SAMPLE = 1 << 13, 16, 64
@@ -143,14 +143,17 @@ def group_pairs(columns: list[np.ndarray], radius: int = RADIUS, block: int = 1
         yield pa.RecordBatch.from_arrays([none, pa.array(found[:, 0]), pa.array(found[:, 1]), none, none, pa.nulls(len(found), pa.bool_())], ["hot", "held_key", "train_key", "high", "low", "held"])
 
 
-def seed_pairs(made: DataFrame, hold: int = HOLD, radius: int = RADIUS) -> DataFrame:
-    """``held_key, train_key``: the distinct pairs across splits that share a seed and may be similar."""
-    hot = made.sparkSession.sparkContext.broadcast(hot_seeds(made, hold))
+def seed_pairs(made: DataFrame, hold: int = HOLD, radius: int = RADIUS, wanted: KeyBitmap | None = None) -> DataFrame:
+    """``held_key, train_key``: the distinct pairs across splits that share a seed (that may be ``wanted``) and may be similar."""
+    hot = made.sparkSession.sparkContext.broadcast((hot_seeds(made, hold), wanted))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Marks the rows of foretold hot seeds."""
+        foretold, wanted = hot.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hot.value.may_have(batch.column(0).to_numpy()), pa.bool_())], [*batch.schema.names, "is_hot"])
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.may_have(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(foretold.may_have(batch.column(0).to_numpy()), pa.bool_())], [*batch.schema.names, "is_hot"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, is_hot in sorted_groups(batches, hold):
@@ -202,39 +205,47 @@ def reach(equal: np.ndarray, drop: int = DROP) -> int:
     return int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
 
 
-def align(a: np.ndarray, b: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[int, int]:
-    """Words of ``a`` and of ``b`` that lie in common chains.
+def gram_of(shorter: int, gram: int = GRAM) -> int:
+    """The words of a seed: of a quarter of the shorter text at most."""
+    return min(gram, max(RUN, shorter // 4), shorter)
 
-    Seeds are equal selected grams (of a quarter of the shorter text at most, all
-    of them where texts are short); the k-th copy of a gram in one text meets the k-th in the
-    other. The longest collinear chain is taken first, then the longest of what
-    is left, until no seed is uncovered; each seed of a chain is extended to both
-    sides and covers equal words not covered before, so reordered parts count too.
+
+def common_seeds(a: list[np.ndarray], b: list[np.ndarray], gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, place in a, place in b) of the equal selected grams of many pairs, in order of the place in a.
+
+    The k-th copy of a gram in one text meets the k-th in the other.
     """
-    shorter = min(len(a), len(b))
-    gram = min(gram, max(RUN, shorter // 4), shorter)
-    if gram == 0:
-        return 0, 0
-    window = window if gram == GRAM else 1
-    both = Batch.of_hashes(np.concatenate([a, b]), np.array([len(a), len(b)]))
-    text, value, place = selected_grams(both, gram, window)
-    # The number of a gram's copy within its text makes seeds one to one.
+    sides = [x for pair in zip(a, b) for x in pair]
+    text, value, place = selected_grams(Batch.of_hashes(np.concatenate(sides), np.array([len(x) for x in sides])), gram, window)
     order = np.lexsort((place, value, text))
     text, value, place = text[order], value[order], place[order]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])]) if len(text) else np.empty(0, bool)
-    copy = np.arange(len(text)) - np.maximum.accumulate(np.where(new, np.arange(len(text)), 0)) if len(text) else np.empty(0, np.int64)
-    with np.errstate(over="ignore"):
-        ident = value * np.uint64(0x9E3779B97F4A7C15) + copy.astype(np.uint64)
-    _, x, y = np.intersect1d(ident[text == 0], ident[text == 1], return_indices=True)
-    i, j = place[text == 0][x], place[text == 1][y]
-    by = np.argsort(i, kind="stable")
-    i, j = i[by], j[by]
+    if not len(text):
+        return (np.empty(0, np.int64),) * 3
+    fresh = np.concatenate([[True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])])
+    copy = np.arange(len(text)) - np.maximum.accumulate(np.where(fresh, np.arange(len(text)), 0))
+    pair, side = text >> 1, text & 1
+    by = np.lexsort((side, copy, value, pair))
+    pair, side, value, copy, place = pair[by], side[by], value[by], copy[by], place[by]
+    met = np.flatnonzero((pair[1:] == pair[:-1]) & (value[1:] == value[:-1]) & (copy[1:] == copy[:-1]) & (side[1:] != side[:-1]))
+    pair, i, j = pair[met], place[met], place[met + 1]
+    by = np.lexsort((i, pair))
+    return pair[by], i[by], j[by]
+
+
+def chained(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, gram: int) -> tuple[int, int]:
+    """Words of ``a`` and of ``b`` that lie in common chains of the seeds at ``i`` and ``j``.
+
+    The longest collinear chain is taken first, then the longest of what
+    is left, until no seed is uncovered; each seed of a chain is extended to both
+    sides and covers equal words not covered before, so reordered parts count too.
+    """
     in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     while len(i):
         chain = longest_chain(j)
+        done = (-1, -1)  # the diagonal and the end of the last extension
         for k in chain.tolist():
             x, d = int(i[k]), int(j[k] - i[k])
-            if in_a[x : x + gram].all():
+            if done[0] == d and x + gram <= done[1]:
                 continue
             low, high = max(0, -d), min(len(a), len(b) - d)
             start = x - reach((a[low:x] == b[low + d : x + d])[::-1])
@@ -242,6 +253,7 @@ def align(a: np.ndarray, b: np.ndarray, gram: int = GRAM, window: int = WINDOW)
             free = (a[start:end] == b[start + d : end + d]) & ~(in_a[start:end] | in_b[start + d : end + d])
             in_a[start:end] |= free
             in_b[start + d : end + d] |= free
+            done = (d, end)
         rest = np.ones(len(i), bool)
         rest[chain] = False
         rest &= ~in_a[i] & ~in_b[j]
@@ -249,6 +261,24 @@ def align(a: np.ndarray, b: np.ndarray, gram: int = GRAM, window: int = WINDOW)
     return int(in_a.sum()), int(in_b.sum())
 
 
+def align_all(a: list[np.ndarray], b: list[np.ndarray], gram: int = GRAM, window: int = WINDOW) -> list[tuple[int, int]]:
+    """``chained`` of many pairs; short texts have shorter seeds and show all of them."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(a)
+    sizes = np.array([gram_of(min(len(x), len(y)), gram) for x, y in zip(a, b)], np.int64)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        pair, i, j = common_seeds([a[r] for r in rows], [b[r] for r in rows], size, window if size == gram else 1)
+        edges = np.searchsorted(pair, np.arange(len(rows) + 1))
+        for k, r in enumerate(rows.tolist()):
+            out[r] = chained(a[r], b[r], i[edges[k] : edges[k + 1]], j[edges[k] : edges[k + 1]], size)
+    return out
+
+
+def align(a: np.ndarray, b: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[int, int]:
+    """Words of ``a`` and of ``b`` that lie in common chains."""
+    return align_all([a], [b], gram, window)[0]
+
+
 def word_arrays(rows: DataFrame, wanted: KeyBitmap) -> DataFrame:
     """``key, words``: hashed words of the texts that may be wanted, once each."""
     shared = rows.sparkSession.sparkContext.broadcast(wanted)
@@ -288,11 +318,8 @@ def compare(batches: Iterator[pa.RecordBatch], similarity: float = SIMILARITY) -
         union = count(a_keys) + count(b_keys) - common
         like = common / np.maximum(union, 1)
         kept = np.flatnonzero((like >= similarity) & (union > 0))
-        out = []
-        for k in kept.tolist():
-            a, b = (batch.column(c)[k].values.to_numpy().view(np.uint64) for c in (2, 3))
-            in_a, in_b = align(a, b)
-            out.append((like[k], in_a, len(a), in_b, len(b)))
+        a, b = ([batch.column(c)[k].values.to_numpy().view(np.uint64) for k in kept.tolist()] for c in (2, 3))
+        out = [(like[k], in_a, len(x), in_b, len(y)) for k, x, y, (in_a, in_b) in zip(kept.tolist(), a, b, align_all(a, b))]
         names = ["similarity", "held_covered", "held_words", "train_covered", "train_words"]
         types = [pa.float64(), *[pa.int64()] * 4]
         columns = [pa.array(x, t) for x, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
@@ -304,9 +331,10 @@ COMPARED = "held_key bigint, train_key bigint, similarity double, held_covered b
 
 def overlaps(texts: DataFrame, similarity: float = SIMILARITY, hold: int = HOLD, bitmap_bits: int = 26) -> DataFrame:
     """Overlapping pairs of ``texts`` (``key`` bigint, equal for equal texts; ``text``; ``held``: evaluation or training); similarities below 0.6 are not meant."""
-    held_seeds = text_seeds(texts.where("held")).select(F.explode("seeds").alias("seed"))
-    made = durable(text_seeds(texts, KeyBitmap(held_seeds, "seed", bitmap_bits)))
-    close = durable(seed_pairs(made, hold))
+    held = durable(text_seeds(texts.where("held")))
+    train = durable(text_seeds(texts.where("NOT held"), KeyBitmap(held.select(F.explode("seeds").alias("seed")), "seed", bitmap_bits)))
+    in_train = KeyBitmap(train.select(F.explode("seeds").alias("seed")), "seed", bitmap_bits)
+    close = durable(seed_pairs(held.unionByName(train), hold, wanted=in_train))
     keys = close.select(F.col("held_key").alias("key")).union(close.select("train_key")).distinct()
     arrays = word_arrays(texts, KeyBitmap(keys, "key", bitmap_bits))
     a = arrays.select(F.col("key").alias("held_key"), F.col("words").alias("a"))
