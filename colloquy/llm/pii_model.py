@@ -1,9 +1,9 @@
 """Character-level bidirectional LSTM with CRF transitions, in numpy.
 
 Each character is one of a few symbols (digits are one symbol, accents are
-dropped, case is kept). A lookup gives the input part of the gates, so a step
-costs one product of the hidden state with the recurrent weights, for all
-windows of a batch and both directions together. Emissions of overlapping
+dropped, case is kept) with a short vector each. A step costs one product of a
+matrix with the hidden states, the vectors and a constant, all windows of a batch
+side by side. Emissions of overlapping
 windows are reconciled by taking, for each character, the window in which it
 lies farthest from an edge; one Viterbi pass over the whole text decodes them.
 Texts in which no item can beat "outside everywhere" skip that pass, by an exact
@@ -24,7 +24,7 @@ TAGS = 1 + 2 * len(KINDS)
 #: The symbols, in order; everything else is the last one, padding is 0.
 SYMBOLS = " 0abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?'\"()[]<>@+-_/&%$#*=\n"
 PAD, OTHER = 0, len(SYMBOLS) + 1
-WINDOW, MARGIN = 640, 48
+WINDOW, MARGIN, EMBEDDED = 640, 48, 8
 
 
 def _table() -> np.ndarray:
@@ -67,27 +67,31 @@ BARRED = np.where(allowed(), 0.0, -1e4).astype(np.float32)
 
 @dataclass
 class Weights:
-    """``inputs`` (2, symbols, 4H), ``recurrent`` (2, H, 4H), ``out`` (2H, tags), ``bias``, ``transitions``, ``start``."""
+    """``embed`` (symbols, E), ``project`` (2, E, 4H), ``shift`` (2, 4H), ``recurrent`` (2, H, 4H), ``out`` (2H, tags), ``bias``, ``transitions``, ``start``."""
 
-    inputs: np.ndarray
+    embed: np.ndarray
+    project: np.ndarray
+    shift: np.ndarray
     recurrent: np.ndarray
     out: np.ndarray
     bias: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
-    scaled: tuple = field(default=(), repr=False)
+    packed: np.ndarray | None = field(default=None, repr=False)
 
-    NAMES = ("inputs", "recurrent", "out", "bias", "transitions", "start")
+    NAMES = ("embed", "project", "shift", "recurrent", "out", "bias", "transitions", "start")
 
     @classmethod
-    def fresh(cls, hidden: int, seed: int) -> Weights:
+    def fresh(cls, hidden: int, seed: int, size: int = EMBEDDED) -> Weights:
         rng = np.random.default_rng(seed)
-        inputs = rng.normal(0, 0.3, (2, OTHER + 1, 4 * hidden)).astype(np.float32)
-        inputs[:, :, hidden : 2 * hidden] += 1.0  # remember at first
+        embed = rng.normal(0, 0.5, (OTHER + 1, size)).astype(np.float32)
+        project = rng.normal(0, 0.3, (2, size, 4 * hidden)).astype(np.float32)
+        shift = np.zeros((2, 4 * hidden), np.float32)
+        shift[:, hidden : 2 * hidden] = 1.0  # remember at first
         recurrent = (rng.normal(0, 1, (2, hidden, 4 * hidden)) / np.sqrt(hidden)).astype(np.float32)
         bias = np.zeros(TAGS, np.float32)
         bias[0] = 2.0
-        return cls(inputs, recurrent, rng.normal(0, 0.2, (2 * hidden, TAGS)).astype(np.float32), bias, np.zeros((TAGS, TAGS), np.float32), np.zeros(TAGS, np.float32))
+        return cls(embed, project, shift, recurrent, rng.normal(0, 0.2, (2 * hidden, TAGS)).astype(np.float32), bias, np.zeros((TAGS, TAGS), np.float32), np.zeros(TAGS, np.float32))
 
     @classmethod
     def load(cls, file) -> Weights:
@@ -95,44 +99,52 @@ class Weights:
             return cls(*(stored[n].astype(np.float32) for n in cls.NAMES))
 
     def save(self, file) -> None:
-        np.savez_compressed(file, **{n: getattr(self, n).astype(np.float16 if n == "inputs" else np.float32) for n in self.NAMES})
+        np.savez_compressed(file, **{n: getattr(self, n).astype(np.float32) for n in self.NAMES})
 
     @property
     def hidden(self) -> int:
         return self.recurrent.shape[1]
 
-    def halved(self) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs (2, 4, symbols, H) and recurrent weights (2, 4, H, H) for sigmoids by half-angle tangents: sigmoid(x) = (1 + tanh(x / 2)) / 2."""
-        if not self.scaled:
+    @property
+    def inputs(self) -> np.ndarray:
+        """The input part of the gates of each symbol (2, symbols, 4H)."""
+        return self.embed @ self.project + self.shift[:, None]
+
+    def fused(self) -> np.ndarray:
+        """One matrix a direction (2, 4H, H + E + 1) for state, embedding and a constant.
+
+        Sigmoids are taken by half-angle tangents, sigmoid(x) = (1 + tanh(x / 2)) / 2, and
+        the hidden state is kept doubled (see emissions), which its columns take back.
+        """
+        if self.packed is None:
             factor = np.full(4 * self.hidden, 0.5, np.float32)
             factor[3 * self.hidden :] = 1.0
-            # The hidden state is kept doubled (see emissions), which the recurrent weights take back.
-            by_gate = lambda x: np.ascontiguousarray(x.reshape(2, -1, 4, self.hidden).transpose(0, 2, 1, 3))
-            self.scaled = (by_gate(self.inputs * factor), by_gate(self.recurrent * factor * 0.5))
-        return self.scaled
+            whole = np.concatenate([self.recurrent * np.float32(0.5), self.project, self.shift[:, None]], axis=1)
+            self.packed = np.ascontiguousarray((whole * factor).transpose(0, 2, 1), np.float32)
+        return self.packed
 
 
 def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Emission scores (time, windows, tags) of padded windows of symbols."""
-    inputs, recurrent = weights.halved()
+    matrix, hidden = weights.fused(), weights.hidden
     count, time = batch.shape
-    hidden = weights.hidden
     # The backward direction reads each window reversed within its length, so padding comes last in both.
     place = np.arange(time)
     backward = np.where(place < lengths[:, None], lengths[:, None] - 1 - place, place)
     flipped = np.take_along_axis(batch, backward, axis=1)
     streams = np.ascontiguousarray(np.stack([batch, flipped]).transpose(2, 0, 1), np.int64)  # time, direction, window
-    state = np.zeros((2, count, hidden), np.float32)
-    cell = np.zeros((2, count, hidden), np.float32)
-    states = np.empty((time, 2, count, hidden), np.float32)
-    # Gates lie apart, so that every operation below runs over contiguous rows.
-    gates, looked = np.empty((2, 4, count, hidden), np.float32), np.empty((2, 4, count, hidden), np.float32)
-    let, keep, show, new = (gates[:, k] for k in range(4))
+    embed = np.ascontiguousarray(weights.embed.T)
+    # Windows are columns, so that the gates of a step come from one product a direction and lie in contiguous rows.
+    joint = np.zeros((2, matrix.shape[2], count), np.float32)
+    joint[:, -1] = 1.0
+    state, looked = joint[:, :hidden], joint[:, hidden:-1].transpose(1, 0, 2)
+    cell, bent = np.zeros((2, hidden, count), np.float32), np.empty((2, hidden, count), np.float32)
+    states = np.empty((time, 2, hidden, count), np.float32)
+    gates = np.empty((2, 4 * hidden, count), np.float32)
+    let, keep, show, new = (gates[:, k * hidden : (k + 1) * hidden] for k in range(4))
     for t in range(time):
-        np.matmul(state[:, None], recurrent, out=gates)
-        for k in range(2):
-            np.take(inputs[k], streams[t, k], axis=1, out=looked[k], mode="clip")
-        gates += looked
+        looked[:] = np.take(embed, streams[t], axis=1, mode="clip")
+        np.matmul(matrix, joint, out=gates)
         np.tanh(gates, out=gates)
         # cell = sigmoid(keep) * cell + sigmoid(let) * new, with the halves taken together
         keep += 1.0
@@ -141,12 +153,13 @@ def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.nd
         let *= new
         cell += let
         cell *= 0.5
-        state = np.tanh(cell, out=states[t])
+        np.tanh(cell, out=bent)
         show += 1.0
-        state *= show  # twice the hidden state
-    half = weights.out * np.float32(0.5)
-    ahead = (states[:, 0].reshape(-1, hidden) @ half[:hidden]).reshape(time, count, TAGS)
-    behind = (states[:, 1].reshape(-1, hidden) @ half[hidden:]).reshape(time, count, TAGS)
+        np.multiply(bent, show, out=states[t])  # twice the hidden state
+        state[:] = states[t]
+    half = np.ascontiguousarray(weights.out.T * np.float32(0.5))
+    ahead = np.ascontiguousarray(np.matmul(half[:, :hidden], states[:, 0]).transpose(0, 2, 1))
+    behind = np.ascontiguousarray(np.matmul(half[:, hidden:], states[:, 1]).transpose(0, 2, 1))
     ahead += behind[backward.T, np.arange(count)]
     ahead += weights.bias
     return ahead

@@ -205,7 +205,7 @@ def test_gradients_match_differences():
     weights = pii_model.Weights.fresh(5, 1)
     data = pii_training.batch_of(maker, 4, 30)
     _, grads = pii_training.gradients(weights, *data)
-    for name, index in (("out", (3, 2)), ("bias", (1,)), ("transitions", (0, 0)), ("recurrent", (1, 2, 7))):
+    for name, index in (("out", (3, 2)), ("bias", (1,)), ("transitions", (0, 0)), ("recurrent", (1, 2, 7)), ("embed", (3, 1)), ("project", (1, 2, 5)), ("shift", (0, 4))):
         own = getattr(weights, name)
         old = own[index]
         own[index] = old + 0.01
@@ -217,17 +217,34 @@ def test_gradients_match_differences():
 
 
 def test_held_out_accuracy_of_the_fitted_model():
-    """Made messages with names, roads and values that were never drawn in training."""
-    maker = pii_training.Maker(["Could you check the reading, please. I think the bill is too high.", "We bought a heater in March. It runs at night."], seed=99)
+    """Messages made of sentences that training never uses, around names, roads and values that were never drawn."""
+    background = ["Could you check the reading, please. I think the bill is too high.", "We bought a heater in March. It runs at night.", "Fine, that helps."]
+    maker = pii_training.Maker(background, seed=99, frames=pii_training.HELD_OUT)
     weights = pii_model.Weights.load(pii.WEIGHTS)
-    texts, truth = zip(*(maker.message() for _ in range(600)))
-    hit = wrong = missed = 0
+    texts, truth = zip(*(maker.message() for _ in range(900)))
+    hit, wrong, missed = Counter(), Counter(), Counter()
     for tags, spans in zip(truth, pii_model.find_spans(weights, list(texts))):
         want, got = Counter(k for _, _, k in pii_model.spans_of(tags)), Counter(k for _, _, k in spans)
-        hit += sum((want & got).values())
-        wrong += sum((got - want).values())
-        missed += sum((want - got).values())
-    assert hit / (hit + wrong) > 0.9 and hit / (hit + missed) > 0.9
+        hit += want & got
+        wrong += got - want
+        missed += want - got
+    assert hit.total() / (hit + wrong).total() > 0.85 and hit.total() / (hit + missed).total() > 0.85
+    assert hit["email"] / (hit + missed)["email"] > 0.95
+
+
+def test_self_training_takes_what_models_agree_on():
+    first, second = pii_model.Weights.fresh(4, 1), pii_model.Weights.fresh(4, 1)
+    second.bias = second.bias + np.float32(9) * (np.arange(pii_model.TAGS) == 0)
+    found, clean = pii_training.agreed([first, first], ["some text here", "more"])
+    assert len(found) + len(clean) == 2
+    _, clean = pii_training.agreed([second, second], ["some text here", "more"])
+    assert clean == ["some text here", "more"]
+    maker = pii_training.Maker(["Plain words here."], seed=1)
+    maker.found = [("Ask Ann Lee now.", [(4, 11, "name")])]
+    for _ in range(20):
+        text, tags = maker.found_message()
+        (low, high, kind), = pii_model.spans_of(tags)
+        assert len(text) == len(tags) and text.startswith("Ask ") and text[high:] == " now." and (low, kind) == (4, "name")
 
 
 def test_redaction_keeps_the_rest(spark):
