@@ -128,41 +128,39 @@ def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.nd
     """Emission scores (time, windows, tags) of padded windows of symbols."""
     matrix, hidden = weights.fused(), weights.hidden
     count, time = batch.shape
-    # The backward direction reads each window reversed within its length, so padding comes last in both.
-    place = np.arange(time)
-    backward = np.where(place < lengths[:, None], lengths[:, None] - 1 - place, place)
-    flipped = np.take_along_axis(batch, backward, axis=1)
-    streams = np.ascontiguousarray(np.stack([batch, flipped]).transpose(2, 0, 1), np.int64)  # time, direction, window
-    embed = np.ascontiguousarray(weights.embed.T)
+    # The backward direction reads the windows from the end; its state stays zero until a window begins.
+    streams = np.stack([batch.T, batch.T[::-1]], axis=1)  # time, direction, window
+    looked = np.take(np.ascontiguousarray(weights.embed.T), streams, axis=1, mode="clip")
     # Windows are columns, so that the gates of a step come from one product a direction and lie in contiguous rows.
-    joint = np.zeros((2, matrix.shape[2], count), np.float32)
-    joint[:, -1] = 1.0
-    state, looked = joint[:, :hidden], joint[:, hidden:-1].transpose(1, 0, 2)
+    joint = np.empty((2, matrix.shape[2], count), np.float32)
+    joint[:, :hidden], joint[:, -1] = 0.0, 1.0
+    state, inputs = joint[:, :hidden], joint[:, hidden:-1]
     cell, bent = np.zeros((2, hidden, count), np.float32), np.empty((2, hidden, count), np.float32)
-    states = np.empty((time, 2, hidden, count), np.float32)
+    states = np.empty((time, 2 * hidden, count), np.float32)
     gates = np.empty((2, 4 * hidden, count), np.float32)
-    let, keep, show, new = (gates[:, k * hidden : (k + 1) * hidden] for k in range(4))
+    sigmoids, (let, keep, show, new) = gates[:, : 3 * hidden], (gates[:, k * hidden : (k + 1) * hidden] for k in range(4))
+    full = int(lengths.min())
     for t in range(time):
-        looked[:] = np.take(embed, streams[t], axis=1, mode="clip")
+        inputs[:] = looked[:, t].transpose(1, 0, 2)
         np.matmul(matrix, joint, out=gates)
         np.tanh(gates, out=gates)
         # cell = sigmoid(keep) * cell + sigmoid(let) * new, with the halves taken together
-        keep += 1.0
+        sigmoids += 1.0
         cell *= keep
-        let += 1.0
         let *= new
         cell += let
         cell *= 0.5
         np.tanh(cell, out=bent)
-        show += 1.0
-        np.multiply(bent, show, out=states[t])  # twice the hidden state
-        state[:] = states[t]
-    half = np.ascontiguousarray(weights.out.T * np.float32(0.5))
-    ahead = np.ascontiguousarray(np.matmul(half[:, :hidden], states[:, 0]).transpose(0, 2, 1))
-    behind = np.ascontiguousarray(np.matmul(half[:, hidden:], states[:, 1]).transpose(0, 2, 1))
-    ahead += behind[backward.T, np.arange(count)]
-    ahead += weights.bias
-    return ahead
+        np.multiply(bent, show, out=state)  # twice the hidden state
+        back = time - 1 - t
+        if back >= full:
+            outside = back >= lengths
+            state[1][:, outside] = 0.0
+            cell[1][:, outside] = 0.0
+        states[t, :hidden], states[back, hidden:] = state[0], state[1]
+    scores = np.matmul(np.ascontiguousarray(weights.out.T * np.float32(0.5)), states)
+    scores += weights.bias[:, None]
+    return scores.transpose(0, 2, 1)
 
 
 def viterbi(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -204,19 +202,19 @@ def may_leave(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> np.n
     leave = np.maximum(0, np.maximum(step[begin, 0], step[inside, 0]) - rest)
     first = weights.start[begin] - weights.start[0]
     bonus = enter + leave
-    ahead = np.zeros((scores.shape[1], len(begin)), scores.dtype)
-    found = np.zeros(scores.shape[1], bool)
+    rows = scores.transpose(0, 2, 1)  # tags are rows again, so that a step works on contiguous windows
+    gain = rows[:, 1:] - rows[:, :1]
+    gain.transpose(0, 2, 1)[np.arange(len(scores))[:, None] >= lengths] = -1e9
+    enters, stays = gain[:, ::2] + bonus[:, None], gain[:, 1::2] + stay[:, None]
+    enters[0] += np.maximum(0, first - enter)[:, None]
+    ahead, best, top = (np.zeros((len(begin), scores.shape[1]), gain.dtype) for _ in range(3))
+    top -= 1.0
     for t in range(len(scores) - 1, -1, -1):
-        gain = scores[t, :, 1:] - scores[t, :, :1]
-        live = (t < lengths)[:, None]
-        best = gain[:, ::2] + ahead
-        best += bonus if t else bonus + np.maximum(0, first - enter)
-        found |= ((best >= 0) & live).any(axis=1)
-        ahead += gain[:, 1::2]
-        ahead += stay
+        np.add(enters[t], ahead, out=best)
+        np.maximum(top, best, out=top)
+        ahead += stays[t]
         np.maximum(ahead, 0, out=ahead)
-        ahead *= live
-    return found
+    return (top >= 0).any(axis=0)
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
