@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from colloquy.functions import text as X
 from colloquy.plans.catalogue import KEYWORDS
 from colloquy.plans.more import TEMPLATE
-from colloquy.plans.oracles import DIALOGUE_SCORES, FLAG_COLUMNS, FLAGS, SCENARIO, SHINGLES, UNWANTED_SQL, WS, bucket, canonical, collapse, errors, n_assistant, percentile, strip
+from colloquy.plans.oracles import DIALOGUE_SCORES, FLAG_COLUMNS, FLAGS, FULL, SCENARIO, SHINGLES, UNWANTED_SQL, WS, bucket, canonical, collapse, errors, n_assistant, percentile, strip
 
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORDS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}"
@@ -37,8 +38,28 @@ TASKS = f"""g AS (SELECT n_name, scenario, row_number() OVER (ORDER BY sha256('4
     t AS (SELECT task_idx, n_name, scenario FROM (SELECT unnest(range(0, 300)) AS task_idx) JOIN g ON task_idx % a = p)"""
 
 
+def bounded(x: str, before: str, pattern: str, after: str, placeholder: str) -> str:
+    """Replaces a pattern between characters that must not be of a class; twice, as a character may end one match and start the next."""
+    once = lambda y: f"regexp_replace({y}, '(^|{before})(?:{pattern})($|{after})', '\\1{placeholder}\\2', 'g')"
+    return once(once(x))
+
+
+def redacted(x: str) -> str:
+    """E-mail, then card, then phone numbers as placeholders; what RE2 lacks is said by the characters around."""
+    mail = f"regexp_replace({x}, '{X.EMAIL}', '[EMAIL]', 'g')"
+    card = bounded(mail, "[^0-9]", r"[0-9](?:[ -]?[0-9]){12,15}", "[^0-9]", "[CARD]")
+    return bounded(card, r"[^0-9A-Za-z_-]", r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}", r"[^0-9A-Za-z_-]", "[PHONE]")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "q07_redaction": f"""WITH t AS (SELECT rec_id, {FULL} AS t FROM dialogues), r AS (SELECT rec_id, t, {redacted('t')} AS redacted FROM t)
+            SELECT rec_id, ({' + '.join(f"(length(redacted) - length(replace(redacted, '{p}', ''))) // {len(p)} - (length(t) - length(replace(t, '{p}', ''))) // {len(p)}" for p in ('[EMAIL]', '[CARD]', '[PHONE]'))})::INT AS replacements, redacted FROM r""",
+        "q05_drop_report": f"""WITH e AS (SELECT * FROM ({each('')}) WHERE coalesce(length({strip('m.content')}), 0) >= 2), g AS ({merged('e')}), x AS (SELECT rec_id, r, role, {redacted('content')} AS content, max(CASE WHEN role = 'assistant' THEN r END) OVER (PARTITION BY rec_id) AS last FROM g),
+            c AS (SELECT rec_id, list({{'role': role, 'content': content}} ORDER BY r) AS msgs, string_agg(coalesce(role, '') || ': ' || {collapse('content')}, chr(10) ORDER BY r) AS text FROM x WHERE r <= last GROUP BY rec_id),
+            d AS (SELECT rec_id, coalesce(source, '(none)') AS source, CASE WHEN messages IS NULL THEN 'conversion_failed' WHEN c.rec_id IS NULL THEN 'empty_after_filter' WHEN coalesce(substr(lower(trim(lang)), 1, 2), '') <> 'en' THEN 'not_en' END AS dropped, msgs, text FROM dialogues LEFT JOIN c USING (rec_id)),
+            w AS (SELECT *, row_number() OVER (PARTITION BY dropped IS NULL, text ORDER BY rec_id) AS rn FROM d), v AS (SELECT source, CASE WHEN dropped IS NOT NULL THEN dropped WHEN rn > 1 THEN 'duplicate' WHEN len({errors('msgs', n_assistant('msgs'), "'en'")}) > 0 THEN 'validation_failed' ELSE 'kept' END AS reason FROM w)
+            SELECT coalesce(source, 'all') AS source, coalesce(reason, 'all') AS reason, count(*) AS n FROM v GROUP BY CUBE (source, reason)""",
         "q20_merged_strata": f"""WITH c AS (SELECT {SCENARIO} AS s, {bucket('n_turns')} AS b, count(*) AS n FROM dialogues WHERE n_turns IS NOT NULL GROUP BY ALL), w AS (SELECT s, coalesce(sum(n) FILTER (b = 'short'), 0) AS x, coalesce(sum(n) FILTER (b = 'mid'), 0) AS y, coalesce(sum(n) FILTER (b = 'long'), 0) AS z FROM c GROUP BY s),
             g AS (SELECT *, CASE WHEN x >= 40 AND y >= 40 AND z >= 40 THEN [[1], [2], [3]] WHEN x >= 40 AND y >= 40 THEN [[1], [2, 3]] WHEN x >= 40 AND y + z >= 40 THEN [[1], [2, 3]] WHEN x >= 40 THEN [[1, 2, 3]]
                 WHEN x + y >= 40 AND z >= 40 THEN [[1, 2], [3]] WHEN x + y + z >= 40 THEN [[1, 2, 3]] END AS parts FROM w),
