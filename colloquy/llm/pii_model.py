@@ -260,7 +260,7 @@ def find_spans(weights: Weights, texts: list[str], batch_windows: int = 512, win
     while at < len(jobs):
         # Fewer windows at a time where they are long, so that their states stay in the cache.
         chunk = jobs[at : at + batch_windows]
-        chunk = chunk[: max(32, (1 << 17) // max(1, chunk[-1][2] - chunk[-1][1]))]
+        chunk = chunk[: max(32, (1 << 16) // max(1, chunk[-1][2] - chunk[-1][1]))]
         at += len(chunk)
         batch, lengths = padded([coded[i][low:high] for i, low, high in chunk])
         scores = emissions(weights, batch, lengths)
