@@ -238,9 +238,10 @@ def q34_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q35_edit_share(spark: SparkSession, folder: str) -> DataFrame:
-    """How far the rejected answer is from the chosen one, over all pairs."""
+    """How far the rejected answer is from the chosen one, over all pairs; characters outside ASCII count as one mark, as SQL would count their bytes."""
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", "?")
     df = spread(table(spark, folder, "preference_pairs").select("pair_id", "chosen", "rejected"))
-    return df.select("pair_id", X.edit_share(F.coalesce("chosen", F.lit("")), F.coalesce("rejected", F.lit(""))).alias("share"))
+    return df.select("pair_id", X.edit_share(plain("chosen"), plain("rejected")).alias("share"))
 
 
 def q36_task_matrix(spark: SparkSession, folder: str) -> DataFrame:

@@ -66,6 +66,8 @@ def oracle_sql() -> dict[str, str]:
             u AS (SELECT s, unnest(parts) AS part, x, y, z FROM g), l AS (SELECT s || '|' || array_to_string(list_filter(list_transform(part, lambda k: CASE WHEN [x, y, z][k] > 0 THEN ['short', 'mid', 'long'][k] END), lambda b: b IS NOT NULL), '+') AS stratum, list_sum(list_transform(part, lambda k: [x, y, z][k])) AS n FROM u),
             pool AS (SELECT coalesce(sum(x + y + z), 0) AS n FROM g WHERE parts IS NULL), best AS (SELECT stratum FROM l ORDER BY n DESC, stratum LIMIT 1)
             SELECT stratum, sum(n)::BIGINT AS n FROM (SELECT * FROM l UNION ALL SELECT CASE WHEN n >= 40 THEN 'misc|all' ELSE coalesce((SELECT stratum FROM best), 'misc|all') END, n FROM pool WHERE n > 0) GROUP BY stratum""",
+        "q35_edit_share": f"""WITH p AS (SELECT pair_id, regexp_replace(coalesce(chosen, ''), '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(coalesce(rejected, ''), '[^\\x00-\\x7F]', '?', 'g') AS b FROM preference_pairs), d AS (SELECT pair_id, {collapse('a')} AS a, {collapse('b')} AS b FROM p)
+            SELECT pair_id, CASE WHEN greatest(length(a), length(b)) = 0 THEN 0.0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END AS share FROM d""",
         "q45_format_conversion": f"""WITH e AS ({each('')}), bad AS (SELECT rec_id, count(*) FILTER (m.content IS NULL OR m.role IS NULL OR NOT m.role IN ('user', 'assistant', 'system')) > 0 OR count(*) FILTER (m.role <> 'system') = 0 AS bad FROM e GROUP BY rec_id),
             s AS (SELECT rec_id, 0 AS r, 'system' AS role, string_agg(m.content, chr(10) ORDER BY i) AS content FROM e WHERE m.role = 'system' GROUP BY rec_id), b AS (SELECT * FROM e WHERE m.role <> 'system'),
             a AS (SELECT * FROM s UNION ALL {merged('b')}), t AS (SELECT rec_id, count(*) AS n, string_agg(role || ': ' || {collapse('content')}, chr(10) ORDER BY r) AS text FROM a GROUP BY rec_id)
