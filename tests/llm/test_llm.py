@@ -572,3 +572,33 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(fmindex, "ITEM_WORDS", 100)
     assert {tuple(r) for r in fmindex.leaked_pairs(df, own).collect()} == want
     assert fmindex.leaked_pairs(df.limit(0), own).count() == 0 and fmindex.leaked_pairs(df, own.limit(0)).count() == 0
+
+
+def test_overlaps_of_empty_and_one_sided_tables(spark):
+    rows = [(1, "train", [("user", "one two three four five six")]), (2, "train", None), (3, None, [("user", "one two three four five six")])]
+    df = spark.createDataFrame(rows, f"rec_id long, split string, messages {MSG}").withColumn("scenario", F.lit("s")).withColumn("source", F.lit(None).cast("string")).withColumn("key", F.lit(1)).withColumn("text", F.lit("x"))
+    for own in (df, df.limit(0), df.withColumn("split", F.lit("val")), df.where("rec_id = 2")):
+        assert winnow.overlap_pairs(own).count() == 0 and winnow.overlap_report(own).count() == 0
+    both = df.withColumn("split", F.when(F.col("rec_id") == 3, "test").otherwise(F.col("split")))
+    assert [tuple(r) for r in winnow.overlap_pairs(both).collect()] == [(1, 3)]
+    assert [tuple(r) for r in winnow.overlap_report(both).collect()] == [("test", "s", None, 1, 1, 1.0)]
+
+
+def test_hot_seeds_foretold_by_the_sample_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "SAMPLE", 1)
+    got, want, _ = overlapping(spark, edited_group(90), hold=8)
+    assert want and got == want
+
+
+def test_hot_bands_foretold_by_the_sample_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SAMPLE", 1)
+    rows = [(i, t) for i, t, _ in edited_group(70)]
+    links = vptree.link_texts(spark.createDataFrame(rows, "rec_id long, text string").repartition(3), "rec_id", "text", hot=10)
+    got, want = {(r.rec_a, r.rec_b) for r in links.pairs().collect()}, brute_pairs(rows)
+    assert got <= want and len(got) >= 0.99 * len(want) > 100
+
+
+def test_promises_of_pieces(spark):
+    df = spark.createDataFrame([(1, "word " * 3000), (2, ""), (3, None), (4, "short"), (5, "é😀 " * 1200)], "doc_id long, text string")
+    out = {r.doc_id: (r.within_limit, r.overlaps_kept, r.covered) for r in pieces.promises_kept(pieces.split_documents(df), df).collect()}
+    assert out == {k: (True, True, True) for k in (1, 4, 5)}
