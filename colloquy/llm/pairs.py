@@ -22,7 +22,8 @@ from __future__ import annotations
 import difflib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,6 +73,11 @@ REFUSAL = re.compile(
     r"|\bkann (?:ich )?(?:ihnen )?(?:leider )?(?:dazu |dabei |damit |das )*(?:keine|nicht)\b|\bdarf ich (?:dazu |das )?nicht\b|\bmöchte ich (?:dazu )?nichts?\b|\bne (?:peux|pouvons|puis) pas\b|\bje (?:refuse|préfère ne pas)\b|\bno (?:puedo|podemos) (?:\w+ )?(?:ayudar|responder|hablar|comentar|contestar)|\bprefiero no\b",
     re.IGNORECASE,
 )
+#: One of these is in every text that the pattern matches (lower case); a text without any is not searched.
+REFUSAL_SIGNS = (
+    "not", "n't", "n’t", "unable", "unwilling", "refrain", "abstain", "hesitate", "uncomfortable", "uneasy", "keep from", "me from", "forbid", "prohibit", "prevent", "rule", "outside", "beyond", "limits", "declin", "refus", "no comment", "as an ai", "language model",
+    "against", "appropriate", "kann", "darf ich", "möchte ich", " pas", "puedo", "podemos", "prefiero",
+)
 #: What goes on to help within the same sentence, or as a sentence of its own.
 HELP = re.compile(
     r"(?:\b(?:but|so|though|however|instead|meanwhile|yet|still)\b|;)[^.?!]*?\b(?:let (?:me|us)|(?:i|we|you|team|colleague|desk|office)\b[^.?!]*?\b(?:can(?! ?not|['’]t)|could(?! ?not|n['’]t)|will(?! not| leave (?:it|this|that)| stop| end| pass| close| say no more| rest)|shall|get|would be glad|am happy|are happy))\b"
@@ -91,9 +97,9 @@ INTRODUCTION = re.compile(r"^\W*(?:customer|user|you (?:said|asked|wrote)|questi
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    plain = re.sub(r"<[^<>]*>", " ", html.unescape(answer))
+    plain = re.sub(r"<[^<>]*>", " ", html.unescape(answer)) if "<" in answer or "&" in answer else answer
     found = words(plain)
-    return not found or " ".join(found) in PLACEHOLDERS
+    return not found or len(found) < 4 and " ".join(found) in PLACEHOLDERS
 
 
 def is_copy(answer: str, question: str | None, least: float = 0.8) -> bool:
@@ -110,6 +116,9 @@ def is_copy(answer: str, question: str | None, least: float = 0.8) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
+    lowered = answer.lower()
+    if not any(sign in lowered for sign in REFUSAL_SIGNS):
+        return False
     declined = False
     for sentence in re.split(r"(?<=[.?!])\s+", answer.strip()):
         if not words(sentence):
@@ -125,25 +134,28 @@ def is_refusal(answer: str) -> bool:
 
 def language(text: str | None) -> str | None:
     """The language with most function words, if it leads clearly."""
+    found = words(text)
     score: dict[str, float] = {}
-    for word in words(text):
-        for code in _LANGUAGE_OF.get(word, ()):
-            score[code] = score.get(code, 0) + 1
+    for word in found:
+        if word in _LANGUAGE_OF:
+            for code in _LANGUAGE_OF[word]:
+                score[code] = score.get(code, 0) + 1
     ranked = sorted(score.items(), key=lambda x: (-x[1], x[0]))
     if not ranked or (len(ranked) > 1 and ranked[1][1] >= 0.85 * ranked[0][1]):
         return None
-    return ranked[0][0] if ranked[0][1] >= 2 or len(words(text)) <= 6 else None
+    return ranked[0][0] if ranked[0][1] >= 2 or len(found) <= 6 else None
 
 
-def rule_defect(answer: str | None, question: str | None) -> str | None:
+def rule_defect(answer: str | None, question: str | None, asked: Callable[[str | None], str | None] = language) -> str | None:
+    """The defect by the rules; ``asked`` gives the question's language."""
     if is_empty(answer):
         return "empty"
     if is_copy(answer, question):
         return "copy"
     if is_refusal(answer):
         return "refusal"
-    own, asked = language(answer), language(question)
-    if own and asked and own != asked:
+    own, wanted = language(answer), asked(question)
+    if own and wanted and own != wanted:
         return "other_language"
     return None
 
@@ -159,8 +171,9 @@ def pair_sides(pairs: DataFrame) -> DataFrame:
 def apply_rules(sides: DataFrame) -> DataFrame:
     """Adds ``defect`` by the rules."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = lru_cache(4096)(language)  # both sides of a pair, and its copies, have one question
         for batch in batches_of(batches, 2048):
-            defects = [rule_defect(a, q) for a, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            defects = [rule_defect(a, q, asked) for a, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(defects, pa.string())], ["pair_id", "side", "answer", "defect"])
 
     return spread(sides.select("pair_id", "side", "answer", "question")).mapInArrow(run, "pair_id bigint, side string, answer string, defect string")
