@@ -46,10 +46,7 @@ FLUSH = 1_000_000
 
 def tokens(sentence: str) -> list[str]:
     """Words and marks, lower case; numbers count as one and the same, links as well."""
-    out = []
-    for token in TOKEN.findall(sentence):
-        out.append("0" if token[0].isdigit() else "@" if token.startswith("http") else token.lower())
-    return out
+    return ["0" if t[0].isdigit() else "@" if t[:4] == "http" else t for t in TOKEN.findall(sentence.lower())]
 
 
 def sentences(text: str) -> Iterator[tuple[str, bool]]:
@@ -73,17 +70,7 @@ def sentences(text: str) -> Iterator[tuple[str, bool]]:
 
 
 CONTEXTS, PAIR, ALONE = 7, 5, 6
-_CLAUSE_MARKS = {",", ";", ":", "–", "—"}
-
-
-def clause_starts(words: list[str]) -> list[int]:
-    """For each word the place of the first word of its clause."""
-    starts, start = [], 0
-    for at, word in enumerate(words):
-        starts.append(start)
-        if word in _CLAUSE_MARKS and at + 1 < len(words):
-            start = at + 1
-    return starts
+_CLAUSE_MARKS = np.array(sorted(xxhash.xxh3_64_intdigest(m) for m in (",", ";", ":", "–", "—")), np.uint64)
 
 
 #: Seeds of the kinds of context, one for sentences and one for list items each; what stands for a word that is not there.
@@ -108,7 +95,11 @@ class Sentences:
         self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.own = np.repeat(np.arange(len(sizes)), sizes)
         self.words = np.concatenate([hashes(x) for x in sentences]) if len(sizes) else np.empty(0, np.uint64)
-        self.clause = np.array([k for x in sentences for k in clause_starts(x)], np.int64) + self.start[self.own]
+        # For each word the place of the first word of its clause: a mark that isn't the last word starts one behind it.
+        self.clause = self.start[self.own].copy()
+        marks = np.flatnonzero(np.isin(self.words[:-1], _CLAUSE_MARKS) & (self.own[1:] == self.own[:-1])) if len(self.words) else np.empty(0, np.int64)
+        self.clause[marks + 1] = marks + 1
+        self.clause = np.maximum.accumulate(self.clause)
         self.items = np.array([x[0] in "-*•" for x in sentences], bool)
 
     def at(self, place: np.ndarray, sentence: np.ndarray, missing: np.uint64) -> np.ndarray:

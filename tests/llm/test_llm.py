@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe_tree, cuts, endings, fmindex, pairs, pieces, pii, pii_model, pii_training, quantiles, swap_sample, vptree, winnow
-from colloquy.llm.words import words
+from colloquy.llm.words import WordHashes, words
 
 MSG = "array<struct<role:string,content:string>>"
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -441,7 +441,8 @@ def test_endings():
         ("Febr�", True), ("Send:\n1. the letter\n2. the plan\n3.", True), ("Order: (1) the letter (2)", True), ("we can look", None), (None, None), ("  ", None), ("...", None),
     ):
         assert endings.sure(text) is want, text
-    assert endings.clause_starts(["a", ",", "b", "c"]) == [0, 0, 2, 2]
+    own = endings.Sentences([["a", ",", "b", "c"], ["d", ";"], [",", "e"]], WordHashes())
+    assert own.clause.tolist() == [0, 0, 2, 2, 4, 4, 6, 7]
 
 
 def test_cut_results_and_limits(spark):
