@@ -459,7 +459,16 @@ def agreed(models: list[Weights], messages: list[str], signs: Signs | None = Non
             at = end
         if all(o == spans for o in others) and not signs("it".join([*left, message[at:]])):
             found.append((message, spans)) if spans else clean.append(message)
-    return found, clean
+    return plausible(found, messages), clean
+
+
+def plausible(found: list[tuple[str, list[tuple[int, int, str]]]], messages: list[str], least: float = 0.2) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Without messages in which a name consists of words that stand outside of names nearly everywhere in the table."""
+    names = [[re.findall(r"\w+", message[a:b].lower()) for a, b, kind in spans if kind == "name"] for message, spans in found]
+    inside = Counter(w for own in names for words in own for w in words)
+    whole = Counter(w for m in messages for w in re.findall(r"\w+", m.lower()) if w in inside)
+    common = {w for w, n in inside.items() if n < least * whole[w]}
+    return [one for one, own in zip(found, names) if not any(words and common.issuperset(words) for words in own)]
 
 
 def fit(messages: list[str], minutes: float, seed: int = 7, hidden: int = HIDDEN, rate: float = 0.006, start: Weights | None = None, models: list[Weights] | None = None, say=print) -> Weights:
@@ -510,12 +519,13 @@ def table_messages(path: str) -> list[str]:
 
 
 def train(messages: list[str], minutes: float) -> Weights:
-    """Two models, then rounds of self-training: by what both agree on, then by what the better one finds, then by both again."""
+    """Two models, then rounds of self-training: by what both agree on, then by what the better one finds, then by both again, at last by its own."""
     copied = lambda w: Weights(*(getattr(w, n).copy() for n in Weights.NAMES))
     first, second = (fit(messages, minutes, h, h) for h in (HIDDEN, HIDDEN + 4))
     first = fit(messages, minutes / 2, 3, rate=0.004, start=copied(first), models=[first, second])
     again = [fit(messages, minutes / 4, 4 + k, rate=0.003, start=copied(w), models=[first]) for k, w in enumerate((first, second))]
-    return fit(messages, minutes / 4, 6, rate=0.003, start=copied(again[0]), models=again)
+    first = fit(messages, minutes / 4, 6, rate=0.003, start=copied(again[0]), models=again)
+    return fit(messages, minutes / 4, 7, rate=0.002, start=copied(first), models=[first])
 
 
 if __name__ == "__main__":
