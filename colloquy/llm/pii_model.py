@@ -251,7 +251,8 @@ def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def find_spans(weights: Weights, texts: list[str], batch_windows: int = 512, window: int = WINDOW, margin: int = MARGIN) -> list[list[tuple[int, int, str]]]:
     """The personal items of each text as character spans; blank texts have none."""
-    coded = [symbols(t) if t and not t.isspace() else np.empty(0, np.uint8) for t in texts]
+    live = [t if t and not t.isspace() else "" for t in texts]
+    coded = np.split(symbols("".join(live)), np.cumsum([len(t) for t in live])[:-1]) if live else []
     jobs = [(i, low, high) for i, own in enumerate(coded) if len(own) for low, high in windows_of(len(own), window, margin)]
     jobs.sort(key=lambda j: j[2] - j[1])
     parts: dict[int, list[tuple[int, int, np.ndarray]]] = {}

@@ -26,9 +26,9 @@ from collections import Counter
 
 import numpy as np
 
-from colloquy.llm.pii_model import BARRED, KINDS, OTHER, TAGS, Weights, find_spans, symbols
+from colloquy.llm.pii_model import BARRED, KINDS, OTHER, TAGS, Weights, find_spans, padded, symbols
 
-BACKGROUND, WINDOW, BATCH, HIDDEN = 16_000, 176, 128, 20
+BACKGROUND, WINDOW, BATCH, HIDDEN, KEPT = 16_000, 176, 128, 20, 16
 
 #: Generic signs of an item: at-signs, spelled or long numbers, titles, house numbers before or after a road.
 SIGNS = re.compile(
@@ -518,14 +518,45 @@ def table_messages(path: str) -> list[str]:
     return sorted({m["content"] for r in rows for m in r or [] if m and m["content"]})
 
 
+def activity(weights: Weights, messages: list[str]) -> np.ndarray:
+    """Spread of each hidden unit (2, H) over messages."""
+    data, lengths = padded([symbols(m) for m in messages if m])
+    place = np.arange(data.shape[1])
+    backward = np.where(place < lengths[:, None], lengths[:, None] - 1 - place, place)
+    streams = np.stack([data, np.take_along_axis(data, backward, 1)]).transpose(2, 0, 1)
+    inputs, hidden = weights.inputs, weights.hidden
+    state, cell = (np.zeros((2, len(data), hidden), np.float32) for _ in range(2))
+    seen = []
+    for t in range(int(np.median(lengths))):
+        raw = state @ weights.recurrent + np.stack([inputs[k][streams[t, k]] for k in range(2)])
+        let, keep, show = (sigmoid(raw[..., k * hidden : (k + 1) * hidden]) for k in range(3))
+        cell = keep * cell + let * np.tanh(raw[..., 3 * hidden :])
+        state = show * np.tanh(cell)
+        seen.append(state.std(axis=1))
+    return np.mean(seen, axis=0)
+
+
+def pruned(weights: Weights, messages: list[str], hidden: int) -> Weights:
+    """The model with the ``hidden`` units of each direction that move most of what they feed; to be fitted on afterwards."""
+    moved = activity(weights, messages) * np.stack([np.linalg.norm(weights.recurrent[d], axis=1) + 3 * np.linalg.norm(weights.out[d * weights.hidden : (d + 1) * weights.hidden], axis=1) for d in range(2)])
+    keep = [np.sort(np.argsort(-moved[d])[:hidden]) for d in range(2)]
+    gates = [np.concatenate([own + k * weights.hidden for k in range(4)]) for own in keep]
+    both = lambda x, at: np.stack([x[d][..., at[d]] for d in range(2)])
+    return Weights(
+        weights.embed.copy(), both(weights.project, gates), both(weights.shift, gates), np.stack([weights.recurrent[d][keep[d]][:, gates[d]] for d in range(2)]),
+        np.concatenate([weights.out[d * weights.hidden + keep[d]] for d in range(2)]), weights.bias.copy(), weights.transitions.copy(), weights.start.copy(),
+    )
+
+
 def train(messages: list[str], minutes: float) -> Weights:
-    """Two models, then rounds of self-training: by what both agree on, then by what the better one finds, then by both again, at last by its own."""
+    """Two models, then rounds of self-training: by what both agree on, then by what the better one finds, then by both again;
+    at last the model is pruned to ``KEPT`` units a direction and fitted on."""
     copied = lambda w: Weights(*(getattr(w, n).copy() for n in Weights.NAMES))
     first, second = (fit(messages, minutes, h, h) for h in (HIDDEN, HIDDEN + 4))
     first = fit(messages, minutes / 2, 3, rate=0.004, start=copied(first), models=[first, second])
     again = [fit(messages, minutes / 4, 4 + k, rate=0.003, start=copied(w), models=[first]) for k, w in enumerate((first, second))]
     first = fit(messages, minutes / 4, 6, rate=0.003, start=copied(again[0]), models=again)
-    return fit(messages, minutes / 4, 7, rate=0.002, start=copied(first), models=[first])
+    return fit(messages, minutes / 3, 8, rate=0.003, start=pruned(first, messages[:2000], KEPT), models=[first])
 
 
 if __name__ == "__main__":
