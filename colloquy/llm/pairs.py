@@ -11,7 +11,8 @@ Each side gets at most one defect, in this order:
   spike of lengths, or endings that go on elsewhere in the corpus.
 
 The answers are sorted by range partitioning of the distinct texts, so copies do
-not pile up; only the first and last text of each partition reaches the driver.
+not pile up; of each partition its first and last text and the open beginnings of
+the last one reach the driver.
 A NULL or empty context has no last user message: copy and other_language do not
 apply. Repeated rows are judged each. Languages without any function word of the
 lists are not compared.
@@ -189,33 +190,56 @@ def is_shortened(text: str, neighbour: str | None, least: int = 8) -> bool:
 
 
 def shortened_versions(texts: DataFrame, text: str) -> DataFrame:
-    """The distinct texts of which a longer version exists, from neighbours in sorted order."""
+    """The distinct texts of which a longer version exists, from neighbours in sorted order.
+
+    While a partition is read, the texts that the current one starts with (their loose ends
+    aside) are kept, so that variants of one cut don't hide the longer version; of
+    each partition its first text and the kept ones reach the driver, all of them beginnings of its last text.
+    """
     distinct = texts.select(F.col(text).alias("text")).where(F.length("text") > 0).distinct()
     ordered = distinct.repartitionByRange("text").sortWithinPartitions("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, last, first, found = TaskContext.get().partitionId(), None, None, None, []
+        part, before, first, found = TaskContext.get().partitionId(), None, None, []
+        kept: list[tuple[str, str]] = []  # texts without a longer version yet, with their stems
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 if first is None:
                     first = value
-                if last is not None and (is_shortened(last, value) or is_shortened(last, before)):
-                    found.append(last)
-                before, last = last, value
-        if last is not None and is_shortened(last, before):
-            found.append(last)
-        rows = [(None, "found", x) for x in found] + ([(part, "first", first), (part, "last", last)] if first is not None else [])
+                while kept and not value.startswith(kept[-1][1]):
+                    kept.pop()
+                longer = [is_shortened(one, value) for one, _ in kept]
+                found += [one for (one, _), yes in zip(kept, longer) if yes]
+                kept = [k for k, yes in zip(kept, longer) if not yes]
+                if is_shortened(value, before):
+                    found.append(value)
+                else:
+                    kept.append((value, _LOOSE_END.sub("", value)))
+                before = value
+        rows = [(None, "found", x) for x in found]
+        if first is not None:
+            rows += [(part, "first", first), *((part, "kept", one) for one, _ in kept), (part, "last", before)]
         columns = zip(*rows) if rows else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string()))], ["part", "kind", "text"])
 
     marked = durable(ordered.mapInArrow(run, "part int, kind string, text string"))
-    seams = sorted((r.part, r.kind == "last", r.text) for r in marked.where("part IS NOT NULL").toLocalIterator())  # two texts a partition
-    across = []
-    for (_, _, last), (_, _, first) in zip(seams[1::2], seams[2::2]):
-        across += [(last,)] * is_shortened(last, first) + [(first,)] * is_shortened(first, last)
-    return marked.where("kind = 'found'").select("text").unionByName(texts.sparkSession.createDataFrame(across, "text string")).distinct()
+    seams: dict[int, dict[str, list[str]]] = {}
+    for r in marked.where("part IS NOT NULL").toLocalIterator():
+        seams.setdefault(r.part, {}).setdefault(r.kind, []).append(r.text)
+    across: set[str] = set()
+    waiting: list[str] = []  # kept texts of earlier partitions
+    last = None
+    for part in sorted(seams):
+        head = seams[part]["first"][0]
+        across |= {one for one in waiting if is_shortened(one, head)}
+        if is_shortened(head, last):
+            across.add(head)
+        waiting = [one for one in waiting if head.startswith(_LOOSE_END.sub("", one)) and one not in across] + seams[part].get("kept", [])
+        last = seams[part]["last"][0]
+    missed = texts.sparkSession.createDataFrame([(one,) for one in sorted(across)], "text string")
+    return marked.where("kind = 'found'").select("text").unionByName(missed).distinct()
 
 
 def pair_corpus(pairs: DataFrame) -> DataFrame:

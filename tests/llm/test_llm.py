@@ -320,6 +320,17 @@ def test_shortened_versions_across_partitions(spark):
     assert got == {t[:25] for t in texts[::3]} | {texts[2][:27] + "�"}
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_variants_of_one_cut_are_all_found(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        texts = ["we can send", "we can send ", "we can send...", "we can send -", "we can send the letter on Monday", "we can", "other text here", "we can send the"]
+        got = {r.text for r in pairs.shortened_versions(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got >= {"we can send", "we can send ", "we can send the"} and not got & {"we can send the letter on Monday", "other text here", "we can"}
+
+
 def small_pairs(spark):
     rng = random.Random(1)
     ends = ["by post", "on the phone", "in the app"]
