@@ -171,10 +171,19 @@ def viterbi(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> list[n
     best = scores[:, 0] + weights.start + BARRED[0]
     last = best.copy()
     back = np.empty((time, count, TAGS), np.int8)
+    # An inside tag follows two tags only; the others may follow any.
+    free, begin, inside = np.array([0, *range(1, TAGS, 2)]), np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+    from_any, from_begin, from_inside = step[:, free], step[begin, inside], step[inside, inside]
     for t in range(1, time):
-        through = best[:, :, None] + step
-        back[t] = through.argmax(axis=1)
-        best = through.max(axis=1) + scores[:, t]
+        through = best[:, :, None] + from_any
+        came = through.argmax(axis=1)
+        opened, went_on = best[:, begin] + from_begin, best[:, inside] + from_inside
+        back[t][:, free] = came
+        back[t][:, inside] = np.where(went_on > opened, inside, begin)
+        best = np.empty_like(last)
+        best[:, free] = np.take_along_axis(through, came[:, None], axis=1)[:, 0]
+        best[:, inside] = np.maximum(opened, went_on)
+        best += scores[:, t]
         last = np.where((t < lengths)[:, None], best, last)
     tags = np.zeros((count, time), np.int8)
     now = last.argmax(axis=1)
