@@ -119,20 +119,21 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(a != b, (F.array_position(differs, True) - 1).cast("int"))
 
 
+def word_runs(text: str | None, size: int = 5) -> list[int]:
+    """Sorted hashes of the distinct runs of ``size`` words, split at white space; a shorter text is one run, an empty or NULL one has none."""
+    words = text.split() if text else []
+    runs = {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else ()
+    return sorted(xxhash.xxh3_64_intdigest(run) - (1 << 63) for run in runs)
+
+
 def shingle_hashes(size: int = 5):
-    """A function of a text column: hashes of the distinct runs of ``size`` words, split at white space.
+    """A function of a text column: its ``word_runs``.
 
-    A shorter text is one run, an empty or NULL one has none. Arrow batches are
-    used, as a higher-order function would split the text anew for every run.
+    Arrow batches are used, as a higher-order function would split the text anew for every run.
     """
     @F.pandas_udf("array<bigint>")
     def hashed(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            words = text.split() if text else []
-            runs = {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else ()
-            out.append(sorted(xxhash.xxh3_64_intdigest(run) - (1 << 63) for run in runs))
-        return pd.Series(out, dtype=object)
+        return pd.Series([word_runs(text, size) for text in texts], dtype=object)
 
     # Else a filter on the result would be pushed below it, with a second run of the function.
     return hashed.asNondeterministic()

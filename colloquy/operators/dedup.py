@@ -1,10 +1,12 @@
 """Exact and near duplicates, clusters, the record kept of each, and overlaps across splits.
 
 Near duplicates are found without loss: of each set of word shingles, in an
-order that puts rare ones first, only the first ``n - ceil(t * n) + 1`` are joined (two
-sets of similarity t share one of them), candidates are checked on the whole
-sets. Copies are collapsed first, so a text repeated in a third of the rows
-counts once; common shingles come last in the order and drop out of the prefix.
+order that puts rare ones first, two sets of n and m that share o or more (o from n, m
+and the similarity) share k of their first ``n - o + k`` and ``m - o + k``, for any k up to o.
+Only these beginnings are stored and joined; pairs that meet so often are compared by
+parity sketches, which bound the difference from below, and the rest on the whole sets,
+made anew from the texts of these pairs. Copies are collapsed, so a text repeated in a
+third of the rows counts once; common shingles come last in the order and drop out.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +26,10 @@ from colloquy.session import durable, spread
 
 SHINGLE, SIMILARITY = 5, 0.85
 #: Frequencies of shingles are counted in one of ``SAMPLE`` sets and kept of so many shingles.
-SAMPLE, FREQUENT = 8, 1 << 17
+SAMPLE, FREQUENT = 8, 1 << 20
+#: Shingles that two beginnings have to share, and one more for so many shingles of the smaller set; 64-bit words of a
+#: sketch; bits of the table of wanted keys, a power of 2; texts of a block. They decide the cost only.
+MET, MORE, WORDS, WANTED, BLOCK = 4, 64, 8, 1 << 23, 1000
 
 
 def mark_first(df: DataFrame, content: Column, *order: str, name: str = "is_first") -> DataFrame:
@@ -45,73 +52,148 @@ def shingle_sets(df: DataFrame, key: str, text: Column, size: int = SHINGLE) ->
     return spread(df).select(F.col(key).alias("key"), X.shingle_hashes(size)(text).alias("runs")).where(F.size("runs") > 0)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK):
+            yield batch.slice(start, BLOCK)
+
+
+def short(runs: np.ndarray) -> np.ndarray:
+    """Half of each hash: enough to meet by, as pairs are checked on whole hashes."""
+    return runs.astype(np.int32)
+
+
 class RunOrder:
-    """An order of shingles, rare ones first: by classes of their frequency in a sample of the sets, then by hash.
+    """An order of shingles, rare ones first: by classes of their frequency in a sample of the texts, then by hash.
 
     Any order gives all pairs; the frequencies decide the cost only. They are kept of
-    the ``FREQUENT`` shingles that most of the sampled sets have, a table of fixed size.
+    the ``FREQUENT`` shingles that most of the sampled texts have, a table of fixed size.
     """
 
-    def __init__(self, sets: DataFrame, sample: int = SAMPLE, frequent: int = FREQUENT) -> None:
-        chosen = sets.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0)
-        counts = chosen.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
-        top = counts.orderBy(F.desc("n"), "run").limit(frequent).toArrow()
+    def __init__(self, texts: DataFrame, size: int, sample: int = SAMPLE, frequent: int = FREQUENT) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches):
+                lists = {tuple(X.word_runs(text, size)) for text in block.column(0).to_pylist()}
+                yield pa.RecordBatch.from_arrays([pa.array(short(np.array([r for own in lists for r in own], np.int64)))], ["run"])
+
+        chosen = texts.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0).select("text")
+        top = chosen.mapInArrow(run, "run int").groupBy("run").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "run").limit(frequent).toArrow()
         runs, n = top.column("run").to_numpy(), top.column("n").to_numpy()
         order = np.argsort(runs)
-        self.runs, self.classes = runs[order], np.log2(np.maximum(n[order], 1)).astype(np.int64)
+        self.runs, self.classes = runs[order], np.minimum(4 * np.log2(np.maximum(n[order], 1)), 127).astype(np.int8)
 
     def __call__(self, runs: np.ndarray) -> np.ndarray:
         if not len(self.runs):
-            return np.zeros(len(runs), np.int64)
-        place = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
-        return np.where(self.runs[place] == runs, self.classes[place], -1)
+            return np.zeros(len(runs), np.int8)
+        own = short(runs)
+        place = np.minimum(np.searchsorted(self.runs, own), len(self.runs) - 1)
+        return np.where(self.runs[place] == own, self.classes[place], -1)
+
 
+def sketches(owner: np.ndarray, runs: np.ndarray, count: int) -> np.ndarray:
+    """Per set the parities of its numbers of shingles in ``64 * WORDS`` cells: two sets differ in as many shingles as parities, or more."""
+    cells = 64 * WORDS
+    with np.errstate(over="ignore"):
+        cell = ((runs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % cells
+    odd = np.bincount(owner * cells + cell, minlength=count * cells).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
-def prefixes(sets: DataFrame, order: RunOrder, similarity: float) -> DataFrame:
-    """``key, n, run``: of each set of n shingles the first ``n - ceil(similarity * n) + 1`` of the order."""
-    shared = sets.sparkSession.sparkContext.broadcast(order)
+
+def beginnings(texts: DataFrame, order: RunOrder, similarity: float, size: int) -> DataFrame:
+    """``key, same, n, runs, sketch`` of each text with a word: a hash of its set of shingles, their number, the first of the order, and the sketch.
+
+    Of copies that a task meets, only the first has ``runs`` and a sketch; those of further tasks do no harm.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        seen: set[int] = set()
+        for block in blocks(batches):
+            lists = [X.word_runs(text, size) for text in block.column(1).to_pylist()]
+            keys = block.column(0).filter(pa.array([bool(own) for own in lists], pa.bool_()))
+            sets = [np.array(own, np.int64) for own in lists if own]
+            if not sets:
                 continue
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
-            sizes, runs = np.diff(offsets), lists.values.to_numpy()[offsets[0] : offsets[-1]]
-            owner = np.repeat(np.arange(len(sizes)), sizes)
+            same = [xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) for own in sets]
+            sizes = np.array([len(own) for own in sets])
+            first = np.zeros(len(sets), bool)
+            for i, x in enumerate(same):
+                if x not in seen:
+                    first[i] = True
+                    if len(seen) < 1 << 20:
+                        seen.add(x)
+            own_sizes = np.where(first, sizes, 0)
+            runs = np.concatenate([own for own, f in zip(sets, first) if f] or [np.empty(0, np.int64)])
+            owner = np.repeat(np.arange(len(sets)), own_sizes)
             by = np.lexsort((runs, shared.value(runs), owner))
-            place = np.arange(len(runs)) - np.repeat(offsets[:-1] - offsets[0], sizes)
-            shown = place <= (sizes - np.ceil(similarity * sizes - 1e-9))[owner]
-            owner, runs = owner[by][shown], runs[by][shown]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(sizes[owner].astype(np.int64)), pa.array(runs)], ["key", "n", "run"])
+            place = np.arange(len(runs)) - np.repeat(np.cumsum(own_sizes) - own_sizes, own_sizes)
+            shown = np.where(first, np.minimum(sizes, sizes - np.ceil(similarity * sizes - 1e-8).astype(np.int64) + MET + sizes // MORE), 0)
+            starts = pa.array(np.concatenate(([0], np.cumsum(shown))).astype(np.int32))
+            began = pa.ListArray.from_arrays(starts, pa.array(short(runs[by][place < shown[owner]])))
+            words = sketches(np.cumsum(first)[owner] - 1, runs, int(first.sum()))
+            sketch = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(WORDS * first))).astype(np.int32)), pa.array(words))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(same, pa.int64()), pa.array(sizes.astype(np.int32)), began, sketch], ["key", "same", "n", "runs", "sketch"])
 
-    kind = sets.schema["key"].dataType.simpleString()
-    return sets.select("key", "runs").mapInArrow(run, f"key {kind}, n bigint, run bigint")
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.mapInArrow(run, f"key {kind}, same bigint, n int, runs array<int>, sketch array<bigint>")
 
 
-def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b, similarity`` (a < b) of all pairs of ``key, runs`` rows at least so similar; every pair is found.
+def met(began: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` (hashes of sets, a < b): all pairs at least so similar, and few others.
 
-    Only prefixes are shuffled. A shingle that stands in many prefixes is joined by
-    Spark, where adaptive execution splits skewed partitions.
+    A shingle that stands in many beginnings is joined by Spark, where adaptive
+    execution splits skewed partitions; both sides are one shuffle.
     """
-    prefix = durable(prefixes(sets, RunOrder(sets), similarity))  # both sides of the join
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.run") == F.col("b.run")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= similarity * F.col("b.n") - 1e-9) & (F.col("b.n") >= similarity * F.col("a.n") - 1e-9)
-    pairs = a.join(b, near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    left, right = sets.select(F.col("key").alias("a"), F.col("runs").alias("x")), sets.select(F.col("key").alias("b"), F.col("runs").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    checked = pairs.join(left, "a").join(right, "b").withColumn("similarity", common / (F.size("x") + F.size("y") - common))
-    return checked.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
+    firsts = began.select("same", "n", F.posexplode("runs").alias("place", "run"))
+    a, b = firsts.alias("a"), firsts.alias("b")
+    shared = lambda n, m: F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    least = shared(F.col("a.n"), F.col("b.n"))
+    enough = F.least(MET + F.floor(F.least("a.n", "b.n") / MORE), least)
+    fits = (F.col("a.n") >= similarity * F.col("b.n") - 1e-9) & (F.col("b.n") >= similarity * F.col("a.n") - 1e-9)
+    early = (F.col("a.place") < F.col("a.n") - least + enough) & (F.col("b.place") < F.col("b.n") - least + enough)
+    joined = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.same") < F.col("b.same")) & fits & early)
+    often = joined.groupBy(F.col("a.same").alias("a"), F.col("b.same").alias("b"), enough.cast("int").alias("enough")).agg(F.count("*").alias("c")).where("c >= enough").select("a", "b")
+    one = began.where(F.size("runs") > 0).select("same", "n", "sketch").dropDuplicates(["same"])
+    side = lambda s: one.select(F.col("same").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(WORDS)), F.lit(0))
+    both = often.join(side("a"), "a").join(side("b"), "b")
+    return both.where(apart <= F.col("n_a") + F.col("n_b") - 2 * shared(F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def wanted(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys``, and few others: by a bitmap of fixed size, so rows are not shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED))
+    value = slot(keys.columns[0]) + 1  # buckets of Spark's bitmaps begin with 1
+    parts = keys.groupBy(F.bitmap_bucket_number(value).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits")).collect()
+    table = np.zeros(WANTED // 8, np.uint8)
+    for part in parts:
+        table[(part.bucket - 1) * 4096 :][: len(part.bits)] = np.frombuffer(part.bits, np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def known(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return df.where(known(slot(key)))
 
 
 def similar_texts(df: DataFrame, key: str, text: Column, similarity: float = SIMILARITY, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """``members`` (``key, text_id``: the smallest key of the same set of shingles) and ``links`` (``a, b, similarity`` of text ids)."""
-    sets = durable(shingle_sets(df, key, text, size).withColumn("same", F.xxhash64(F.array_sort("runs"))))
-    ids = sets.groupBy("same").agg(F.min("key").alias("text_id"))
-    members = sets.select("key", "same").join(ids, "same").select("key", "text_id")
-    distinct = durable(sets.join(ids.select(F.col("text_id").alias("key")), "key").select("key", "runs"))  # read by the order, the prefixes and the check
-    return members, durable(similar_sets(distinct, similarity))
+    """``members`` (``key, text_id``: the smallest key of the same set of shingles) and ``links`` (``a, b, similarity`` of text ids).
+
+    The texts are read again for what is compared in the end, so ``df`` has to give the same rows each time.
+    """
+    texts = spread(df).select(F.col(key).alias("key"), text.alias("text"))
+    began = durable(beginnings(texts, RunOrder(texts, size), similarity, size))
+    ids = began.groupBy("same").agg(F.min("key").alias("text_id"))
+    members = durable(began.select("key", "same").join(ids, "same").select("key", "text_id"))
+    side = lambda s: ids.select(F.col("same").alias(s), F.col("text_id").alias(f"id_{s}"))
+    pairs = durable(met(began, similarity).join(side("a"), "a").join(side("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
+    sets = shingle_sets(wanted(df, key, pairs.select(F.explode(F.array("a", "b")))), key, text, size)
+    left, right = sets.select(F.col("key").alias("a"), F.col("runs").alias("x")), sets.select(F.col("key").alias("b"), F.col("runs").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    checked = pairs.join(left, "a").join(right, "b").withColumn("similarity", common / (F.size("x") + F.size("y") - common))
+    return members, durable(checked.where(F.col("similarity") >= similarity).select("a", "b", "similarity"))
 
 
 def near_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

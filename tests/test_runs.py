@@ -103,6 +103,47 @@ def test_banded_links_against_the_exact_join(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 50
 
 
+def edited_texts(rng, groups: int, length: int) -> list[str]:
+    """Groups of a text, copies of it and texts with one to four words changed, lost or added; all share some sentences."""
+    common, texts = [[f"c{i}_{j}" for j in range(12)] for i in range(6)], []
+    for g in range(groups):
+        words = [w for _ in range(max(1, length // 30)) for w in [*rng.choice(common), *(f"w{rng.randrange(4000)}" for _ in range(18))]][: 3 + rng.randrange(length)]
+        for edits in (0, 0, 1, 2, 4):
+            own = list(words)
+            for e in range(edits):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = [f"x{g}_{e}"] * rng.randrange(2)
+                own = own or ["left"]
+            texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.85])
+def test_near_duplicates_against_all_pairs(spark, similarity):
+    import random
+
+    texts = edited_texts(random.Random(5), 60, 120) + edited_texts(random.Random(6), 20, 900)
+    sets = [set(dedup.X.word_runs(t)) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity}
+    members, links = dedup.similar_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5), "id", F.col("text"), similarity)
+    pairs = [(r.a, r.b) for r in dedup.near_pairs(members, links).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 150
+
+
+def test_near_duplicates_store_no_whole_sets(spark):
+    import random
+    from pathlib import Path
+
+    from colloquy.session import shared_folder
+
+    texts = [" ".join(f"w{random.Random(i).randrange(99)}_{j}" for j in range(300)) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    stored = lambda: sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("part-*"))
+    before = stored()
+    dedup.similar_texts(df, "id", F.col("text"), 0.85)
+    assert stored() - before < 8 * 296 * len(texts)
+
+
 def test_leakage_counts_copies_without_expanding_them(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(i, text, "train") for i in range(50)] + [(100, text, "val"), (101, text, None), (102, "other words here entirely now", "val"), (103, None, "train")]
