@@ -130,18 +130,35 @@ def test_near_duplicates_against_all_pairs(spark, similarity):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 150
 
 
-def test_near_duplicates_store_no_whole_sets(spark):
-    import random
+def stored(spark) -> int:
     from pathlib import Path
 
     from colloquy.session import shared_folder
 
-    texts = [" ".join(f"w{random.Random(i).randrange(99)}_{j}" for j in range(300)) for i in range(200)]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    stored = lambda: sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("part-*"))
-    before = stored()
+    return sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("part-*"))
+
+
+def long_texts(spark):
+    """200 texts of 296 shingles."""
+    import random
+
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(99)}_{j}" for j in range(300)) for _ in range(200)]
+    return spark.createDataFrame([(i, t, "train" if i % 2 else "val") for i, t in enumerate(texts)], "id long, text string, split string")
+
+
+def test_near_duplicates_store_no_whole_sets(spark):
+    df, before = long_texts(spark), stored(spark)
     dedup.similar_texts(df, "id", F.col("text"), 0.85)
-    assert stored() - before < 8 * 296 * len(texts)
+    assert stored(spark) - before < 8 * 296 * 200
+
+
+def test_leakage_stores_no_whole_sets(spark):
+    df, before = long_texts(spark), stored(spark)
+    df = df.union(df.where("id < 3").select(F.col("id") + 1000, F.concat("text", F.lit(" x")), F.lit("test")))
+    out = dedup.leakage(df, "id", F.col("text"), "split", 0.8).collect()
+    assert {(r.text_a, r.text_b, r.split_a, r.split_b, r.n_pairs) for r in out} == {(i, i + 1000, "train" if i % 2 else "val", "test", 1) for i in range(3)}
+    assert stored(spark) - before < 8 * 296 * 200
 
 
 def test_leakage_counts_copies_without_expanding_them(spark):
