@@ -161,6 +161,14 @@ def test_leakage_stores_no_whole_sets(spark):
     assert stored(spark) - before < 8 * 296 * 200
 
 
+def test_clusters_store_no_whole_sets(spark):
+    df, before = long_texts(spark), stored(spark)
+    df = df.select("id", "text").union(df.where("id < 3").select(F.col("id") + 1000, F.concat("text", F.lit(" x")))).union(df.where("id < 2").select(F.col("id") + 2000, "text"))
+    out = {r.key: r.cluster_id for r in dedup.clusters(*dedup.similar_texts(df, "id", F.col("text"), 0.85)).collect()}
+    assert out == {**{i: i for i in range(200)}, **{1000 + i: i for i in range(3)}, 2000: 0, 2001: 1}
+    assert stored(spark) - before < 8 * 296 * 200
+
+
 def test_leakage_counts_copies_without_expanding_them(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(i, text, "train") for i in range(50)] + [(100, text, "val"), (101, text, None), (102, "other words here entirely now", "val"), (103, None, "train")]
