@@ -152,7 +152,8 @@ def met(began: DataFrame, similarity: float) -> DataFrame:
     fits = (F.col("a.n") >= similarity * F.col("b.n") - 1e-9) & (F.col("b.n") >= similarity * F.col("a.n") - 1e-9)
     early = (F.col("a.place") < F.col("a.n") - least + enough) & (F.col("b.place") < F.col("b.n") - least + enough)
     joined = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.same") < F.col("b.same")) & fits & early)
-    often = joined.groupBy(F.col("a.same").alias("a"), F.col("b.same").alias("b"), enough.cast("int").alias("enough")).agg(F.count("*").alias("c")).where("c >= enough").select("a", "b")
+    # Durable, so that the shuffles of the join are gone before the sketches are sent.
+    often = durable(joined.groupBy(F.col("a.same").alias("a"), F.col("b.same").alias("b"), enough.cast("int").alias("enough")).agg(F.count("*").alias("c")).where("c >= enough").select("a", "b"))
     one = began.where(F.size("runs") > 0).select("same", "n", "sketch").dropDuplicates(["same"])
     side = lambda s: one.select(F.col("same").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(WORDS)), F.lit(0))

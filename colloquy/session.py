@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Fixed value: Spark's setting by which an action removes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "colloquy", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above; ``extra`` keys use ``__`` for dots."""
@@ -51,9 +54,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Its shuffle files are removed at once, as nothing reads them any more; else
+    they stay on disk until the driver happens to collect its garbage.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    settings = df.sparkSession.conf
+    before = settings.get(CLEANUP, "false")
+    settings.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, which takes the setting
+    finally:
+        settings.set(CLEANUP, before)
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:

@@ -138,6 +138,31 @@ def stored(spark) -> int:
     return sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("part-*"))
 
 
+def shuffled(spark) -> int:
+    """Bytes of shuffle files on disk."""
+    from pathlib import Path
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(p.stat().st_size for folder in folders for p in Path(folder).rglob("shuffle_*.data"))
+
+
+def test_durable_tables_leave_no_shuffle_files(spark):
+    from colloquy.session import CLEANUP, durable
+
+    df = spark.range(200_000).groupBy((F.col("id") % 70_000).alias("k")).agg(F.count("*").alias("n"))
+    before = shuffled(spark)
+    out = durable(df)
+    assert shuffled(spark) <= before and spark.conf.get(CLEANUP) == "false"
+    # The table and the plan it came from can still be read.
+    assert out.agg(F.sum("n")).first()[0] == df.agg(F.sum("n")).first()[0] == 200_000 and out.count() == 70_000
+
+
+def test_leakage_keeps_no_shuffles_of_its_search(spark):
+    df, before = long_texts(spark), shuffled(spark)
+    links = dedup.similar_texts(df, "id", F.col("text"), 0.8)[1]
+    assert shuffled(spark) - before < 8 * 200 * 60 and links.count() == 0
+
+
 def long_texts(spark):
     """200 texts of 296 shingles."""
     import random
