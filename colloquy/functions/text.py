@@ -119,11 +119,45 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(a != b, (F.array_position(differs, True) - 1).cast("int"))
 
 
+class WordHashes(dict):
+    """Hashes of words, made once each."""
+
+    def __missing__(self, word: str) -> int:
+        own = self[word] = xxhash.xxh3_64_intdigest(word)
+        return own
+
+
+def run_hashes(texts: list[str | None], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the number of its distinct runs of ``size`` words, split at white space, and the hashes of all, sorted within a text.
+
+    A shorter text is one run, an empty or NULL one has none.
+    """
+    words = [text.split() if text else [] for text in texts]
+    # No word is empty, so a filled-up text equals no run of a longer one.
+    words = [own + [""] * (size - len(own)) if 0 < len(own) < size else own for own in words]
+    counts = np.array([len(own) for own in words], np.int64)
+    known = WordHashes()
+    flat = np.fromiter((known[word] for own in words for word in own), np.uint64, int(counts.sum()))
+    hashes = np.zeros(max(0, len(flat) - size + 1), np.uint64)
+    odd = np.random.default_rng(5).integers(0, 1 << 63, size + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+    for i in range(size):
+        hashes += flat[i : i + len(hashes)] * odd[i]
+        hashes ^= hashes >> np.uint64(29)
+    hashes *= odd[size]
+    hashes ^= hashes >> np.uint64(32)
+    owner = np.repeat(np.arange(len(counts)), counts)[: len(hashes)]
+    inside = np.arange(len(hashes)) + size <= np.cumsum(counts)[owner]
+    owner, runs = owner[inside], hashes[inside].view(np.int64)
+    by = np.lexsort((runs, owner))
+    owner, runs = owner[by], runs[by]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
+    return np.bincount(owner[new], minlength=len(counts)), runs[new]
+
+
 def word_runs(text: str | None, size: int = 5) -> list[int]:
-    """Sorted hashes of the distinct runs of ``size`` words, split at white space; a shorter text is one run, an empty or NULL one has none."""
-    words = text.split() if text else []
-    runs = {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else ()
-    return sorted(xxhash.xxh3_64_intdigest(run) - (1 << 63) for run in runs)
+    """Sorted hashes of the distinct runs of words of one text, as in ``run_hashes``."""
+    return run_hashes([text], size)[1].tolist()
 
 
 def shingle_hashes(size: int = 5):
@@ -133,7 +167,8 @@ def shingle_hashes(size: int = 5):
     """
     @F.pandas_udf("array<bigint>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_runs(text, size) for text in texts], dtype=object)
+        sizes, runs = run_hashes(texts.tolist(), size)
+        return pd.Series(np.split(runs, np.cumsum(sizes)[:-1]) if len(sizes) else [], dtype=object)
 
     # Else a filter on the result would be pushed below it, with a second run of the function.
     return hashed.asNondeterministic()

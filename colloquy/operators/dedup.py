@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.operators.graph import components
-from colloquy.session import durable, spread
+from colloquy.session import durable, freeing, spread
 
 SHINGLE, SIMILARITY = 5, 0.85
 #: Frequencies of shingles are counted in one of ``SAMPLE`` sets and kept of so many shingles.
@@ -73,11 +73,13 @@ class RunOrder:
     def __init__(self, texts: DataFrame, size: int, sample: int = SAMPLE, frequent: int = FREQUENT) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches):
-                lists = {tuple(X.word_runs(text, size)) for text in block.column(0).to_pylist()}
-                yield pa.RecordBatch.from_arrays([pa.array(short(np.array([r for own in lists for r in own], np.int64)))], ["run"])
+                sizes, runs = X.run_hashes(block.column(0).to_pylist(), size)
+                distinct = dict.fromkeys(own.tobytes() for own in np.split(runs, np.cumsum(sizes)[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(short(np.frombuffer(b"".join(distinct), np.int64)))], ["run"])
 
         chosen = texts.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0).select("text")
-        top = chosen.mapInArrow(run, "run int").groupBy("run").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "run").limit(frequent).toArrow()
+        with freeing(texts.sparkSession):
+            top = chosen.mapInArrow(run, "run int").groupBy("run").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "run").limit(frequent).toArrow()
         runs, n = top.column("run").to_numpy(), top.column("n").to_numpy()
         order = np.argsort(runs)
         self.runs, self.classes = runs[order], np.minimum(4 * np.log2(np.maximum(n[order], 1)), 127).astype(np.int8)
@@ -109,13 +111,12 @@ def beginnings(texts: DataFrame, order: RunOrder, similarity: float, size: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for block in blocks(batches):
-            lists = [X.word_runs(text, size) for text in block.column(1).to_pylist()]
-            keys = block.column(0).filter(pa.array([bool(own) for own in lists], pa.bool_()))
-            sets = [np.array(own, np.int64) for own in lists if own]
-            if not sets:
+            counts, every = X.run_hashes(block.column(1).to_pylist(), size)
+            keys, sizes = block.column(0).filter(pa.array(counts > 0)), counts[counts > 0]
+            if not len(sizes):
                 continue
+            sets = np.split(every, np.cumsum(sizes)[:-1])
             same = [xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) for own in sets]
-            sizes = np.array([len(own) for own in sets])
             first = np.zeros(len(sets), bool)
             for i, x in enumerate(same):
                 if x not in seen:
@@ -123,9 +124,9 @@ def beginnings(texts: DataFrame, order: RunOrder, similarity: float, size: int)
                     if len(seen) < 1 << 20:
                         seen.add(x)
             own_sizes = np.where(first, sizes, 0)
-            runs = np.concatenate([own for own, f in zip(sets, first) if f] or [np.empty(0, np.int64)])
+            runs = every[np.repeat(first, sizes)]
             owner = np.repeat(np.arange(len(sets)), own_sizes)
-            by = np.lexsort((runs, shared.value(runs), owner))
+            by = np.argsort(256 * owner + shared.value(runs) + 1, kind="stable")  # by hash already
             place = np.arange(len(runs)) - np.repeat(np.cumsum(own_sizes) - own_sizes, own_sizes)
             shown = np.where(first, np.minimum(sizes, sizes - np.ceil(similarity * sizes - 1e-8).astype(np.int64) + MET + sizes // MORE), 0)
             starts = pa.array(np.concatenate(([0], np.cumsum(shown))).astype(np.int32))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Actions on plans made inside remove their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
@@ -60,13 +73,8 @@ def durable(df: DataFrame) -> DataFrame:
     they stay on disk until the driver happens to collect its garbage.
     """
     shared_folder(df.sparkSession)
-    settings = df.sparkSession.conf
-    before = settings.get(CLEANUP, "false")
-    settings.set(CLEANUP, "true")
-    try:
+    with freeing(df.sparkSession):
         return df.select("*").checkpoint(eager=True)  # a plan of its own, which takes the setting
-    finally:
-        settings.set(CLEANUP, before)
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:

@@ -138,6 +138,24 @@ def stored(spark) -> int:
     return sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("part-*"))
 
 
+def test_hashes_of_runs_are_those_of_the_words():
+    import random
+
+    rng = random.Random(3)
+    texts = [None, "", " \n", "a", "a b c d", "d c b a", "a b c d e", "a  b c\td e"] + [" ".join(rng.choice("abcd") for _ in range(rng.randrange(60))) for _ in range(300)]
+    words = [(text or "").split() for text in texts]
+    runs = [{tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set() for own in words]
+    sizes, hashes = dedup.X.run_hashes(texts)
+    assert sizes.tolist() == [len(own) for own in runs]
+    own, at = {}, 0
+    for want, n in zip(runs, sizes):
+        got = tuple(hashes[at : at + n].tolist())
+        assert list(got) == sorted(set(got)) and own.setdefault(frozenset(want), got) == got
+        at += n
+    # As many hashes as runs: no two runs share one, and each has the same in every text.
+    assert at == len(hashes) and len(set(hashes.tolist())) == len(set().union(*runs)) and len(set(own.values())) == len(own)
+
+
 def shuffled(spark) -> int:
     """Bytes of shuffle files on disk."""
     from pathlib import Path
@@ -163,6 +181,15 @@ def test_leakage_keeps_no_shuffles_of_its_search(spark):
     assert shuffled(spark) - before < 8 * 200 * 60 and links.count() == 0
 
 
+def test_clusters_keep_no_shuffles_of_their_rounds(spark):
+    from colloquy.operators.graph import components
+
+    links, before = spark.range(30_000).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 10).alias("b")), shuffled(spark)
+    found = components(links)
+    assert shuffled(spark) - before < 30_000
+    assert found.where("component = node - node % 10").count() == found.count() == 30_000
+
+
 def long_texts(spark):
     """200 texts of 296 shingles."""
     import random
