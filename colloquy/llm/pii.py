@@ -37,7 +37,7 @@ def find_items(texts: DataFrame, text: str, *keep: str, weights: str = WEIGHTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Weights.load(BytesIO(stored)), {}
-        for batch in batches_of(batches, 4096):
+        for batch in batches_of(batches, 16384):
             values = batch.column(0).to_pylist()
             fresh = list(dict.fromkeys(v for v in values if v and v not in seen))
             if len(seen) + len(fresh) > SEEN:

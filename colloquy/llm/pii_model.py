@@ -12,6 +12,7 @@ bound, without any change of the result.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,6 +26,11 @@ TAGS = 1 + 2 * len(KINDS)
 SYMBOLS = " 0abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?'\"()[]<>@+-_/&%$#*=\n"
 PAD, OTHER = 0, len(SYMBOLS) + 1
 WINDOW, MARGIN, EMBEDDED = 640, 48, 8
+#: The tags but outside: the begin tags of all kinds, then their inside tags.
+BEGIN, INSIDE = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+MARKED, KEPT = np.concatenate([BEGIN, INSIDE]), len(KINDS)
+#: Windows in a product at most (small products are faster), in a batch, and characters in a batch and at a time.
+COLUMNS, WINDOWS, CELLS, AT_ONCE = 256, 512, 1 << 17, 1 << 22
 
 
 def _table() -> np.ndarray:
@@ -111,56 +117,116 @@ class Weights:
         return self.embed @ self.project + self.shift[:, None]
 
     def fused(self) -> np.ndarray:
-        """One matrix a direction (2, 4H, H + E + 1) for state, embedding and a constant.
+        """One matrix a direction (2, 1, 4H + gains, H + E + 1) for state, embedding and a constant.
 
-        Sigmoids are taken by half-angle tangents, sigmoid(x) = (1 + tanh(x / 2)) / 2, and
-        the hidden state is kept doubled (see emissions), which its columns take back.
+        Its last rows give the gains of the state that goes in, so those of a step come
+        with the gates of the next. Sigmoids are taken by half-angle tangents,
+        sigmoid(x) = (1 + tanh(x / 2)) / 2, and the hidden state is kept doubled, which
+        its columns take back.
         """
         if self.packed is None:
-            factor = np.full(4 * self.hidden, 0.5, np.float32)
-            factor[3 * self.hidden :] = 1.0
-            whole = np.concatenate([self.recurrent * np.float32(0.5), self.project, self.shift[:, None]], axis=1)
-            self.packed = np.ascontiguousarray((whole * factor).transpose(0, 2, 1), np.float32)
+            hidden = self.hidden
+            factor = np.full(4 * hidden, 0.5, np.float32)
+            factor[3 * hidden :] = 1.0
+            whole = np.concatenate([self.recurrent * np.float32(0.5), self.project, self.shift[:, None]], axis=1) * factor
+            told = np.zeros((2, whole.shape[1], len(MARKED)), np.float32)
+            told[:, :hidden] = (self.out[:, MARKED] - self.out[:, :1]).reshape(2, hidden, -1) * np.float32(0.5)
+            told[0, -1] = self.bias[MARKED] - self.bias[0]
+            told[0, -1, KEPT:] += self.stay
+            self.packed = np.ascontiguousarray(np.concatenate([whole, told], axis=2).transpose(0, 2, 1), np.float32)[:, None]
         return self.packed
 
+    @property
+    def stay(self) -> np.ndarray:
+        """The most that a step to an inside tag gains over one from outside to outside."""
+        step = self.transitions + BARRED
+        return np.maximum(step[BEGIN, INSIDE], step[INSIDE, INSIDE]) - step[0, 0]
 
-def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Emission scores (time, windows, tags) of padded windows of symbols."""
+
+class Room:
+    """Memory for the arrays of one batch after the other; a new array under a name takes the place of the last."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+def gains(weights: Weights, streams: np.ndarray, lengths: np.ndarray, room: Room) -> np.ndarray:
+    """What the tags MARKED gain over the outside tag in windows of symbols (time, windows): (time, groups, tags, windows of a group).
+
+    Inside tags have ``stay`` added. Only the states of one step are held. Columns past
+    the last window repeat it; places past a window's end have -1e9. The result stays
+    until ``room`` is used again.
+    """
     matrix, hidden = weights.fused(), weights.hidden
-    count, time = batch.shape
-    # The backward direction reads the windows from the end; its state stays zero until a window begins.
-    streams = np.stack([batch.T, batch.T[::-1]], axis=1)  # time, direction, window
-    looked = np.take(np.ascontiguousarray(weights.embed.T), streams, axis=1, mode="clip")
-    # Windows are columns, so that the gates of a step come from one product a direction and lie in contiguous rows.
-    joint = np.empty((2, matrix.shape[2], count), np.float32)
-    joint[:, :hidden], joint[:, -1] = 0.0, 1.0
-    state, inputs = joint[:, :hidden], joint[:, hidden:-1]
-    cell, bent = np.zeros((2, hidden, count), np.float32), np.empty((2, hidden, count), np.float32)
-    states = np.empty((time, 2 * hidden, count), np.float32)
-    gates = np.empty((2, 4 * hidden, count), np.float32)
-    sigmoids, (let, keep, show, new) = gates[:, : 3 * hidden], (gates[:, k * hidden : (k + 1) * hidden] for k in range(4))
+    time, count = streams.shape
+    groups = -(-count // COLUMNS)
+    each = -(-count // groups)
+    fill = np.minimum(np.arange(groups * each), count - 1)
+    looked = room("looked", weights.embed.shape[1], time, groups, each)
+    np.take(np.ascontiguousarray(weights.embed.T), streams[:, fill].reshape(time, groups, each), axis=1, mode="clip", out=looked)
     full = int(lengths.min())
-    for t in range(time):
-        inputs[:] = looked[:, t].transpose(1, 0, 2)
-        np.matmul(matrix, joint, out=gates)
+    outside = (np.arange(full, time)[:, None] >= lengths[fill]).reshape(-1, groups, 1, each)
+    # Windows are columns, so that the gates of a step come from one product a direction and group and lie in contiguous rows.
+    joint = room("joint", 2, groups, matrix.shape[3], each)
+    joint[:, :, :hidden], joint[:, :, -1] = 0.0, 1.0
+    state, inputs = joint[:, :, :hidden], joint[:, :, hidden:-1]
+    forward, backward = inputs.transpose(0, 2, 1, 3)
+    cell, bent = room("cell", 2, groups, hidden, each), room("bent", 2, groups, hidden, each)
+    cell[:] = 0.0
+    products = room("products", 2, groups, matrix.shape[2], each)
+    gates, (ahead, behind) = products[:, :, : 4 * hidden], products[:, :, 4 * hidden :]
+    sigmoids, (let, keep, show, new) = gates[:, :, : 3 * hidden], (gates[:, :, k * hidden : (k + 1) * hidden] for k in range(4))
+    out = room("out", time, groups, len(MARKED), each)
+    one, half = np.float32(1.0), np.float32(0.5)
+    for t in range(time + 1):
+        # The backward direction reads the windows from the end; its state stays zero until a window begins.
+        back = time - 1 - t
+        if t < time:
+            forward[:], backward[:] = looked[:, t], looked[:, back]
+        np.matmul(matrix, joint, out=products)
+        if t:
+            early = t - 1 <= back
+            for place, told, new_there in ((out[t - 1], ahead, early or t - 1 == back + 1), (out[back + 1], behind, early)):
+                if new_there:
+                    place[:] = told
+                else:
+                    np.add(place, told, out=place)
+        if t == time:
+            break
         np.tanh(gates, out=gates)
         # cell = sigmoid(keep) * cell + sigmoid(let) * new, with the halves taken together
-        sigmoids += 1.0
-        cell *= keep
-        let *= new
-        cell += let
-        cell *= 0.5
+        np.add(sigmoids, one, out=sigmoids)
+        np.multiply(cell, keep, out=cell)
+        np.multiply(let, new, out=let)
+        np.add(cell, let, out=cell)
+        np.multiply(cell, half, out=cell)
         np.tanh(cell, out=bent)
         np.multiply(bent, show, out=state)  # twice the hidden state
-        back = time - 1 - t
         if back >= full:
-            outside = back >= lengths
-            state[1][:, outside] = 0.0
-            cell[1][:, outside] = 0.0
-        states[t, :hidden], states[back, hidden:] = state[0], state[1]
-    scores = np.matmul(np.ascontiguousarray(weights.out.T * np.float32(0.5)), states)
-    scores += weights.bias[:, None]
-    return scores.transpose(0, 2, 1)
+            np.copyto(state[1], 0.0, where=outside[back - full])
+            np.copyto(cell[1], 0.0, where=outside[back - full])
+    np.copyto(out[full:], -1e9, where=outside)
+    return out
+
+
+def scores_of(weights: Weights, own: np.ndarray) -> np.ndarray:
+    """Emission scores (..., tags) from gains (..., tags MARKED); the outside tag has 0."""
+    scores = np.zeros((*own.shape[:-1], TAGS), np.float32)
+    scores[..., MARKED] = own
+    scores[..., INSIDE] -= weights.stay
+    return scores
+
+
+def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Emission scores (time, windows, tags) of padded windows of symbols, over those of the outside tag."""
+    own = gains(weights, batch.T, lengths, Room()).transpose(0, 1, 3, 2)
+    return scores_of(weights, own.reshape(len(own), -1, len(MARKED))[:, : len(batch)])
 
 
 def viterbi(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -172,17 +238,17 @@ def viterbi(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> list[n
     last = best.copy()
     back = np.empty((time, count, TAGS), np.int8)
     # An inside tag follows two tags only; the others may follow any.
-    free, begin, inside = np.array([0, *range(1, TAGS, 2)]), np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
-    from_any, from_begin, from_inside = step[:, free], step[begin, inside], step[inside, inside]
+    free = np.array([0, *BEGIN])
+    from_any, from_begin, from_inside = step[:, free], step[BEGIN, INSIDE], step[INSIDE, INSIDE]
     for t in range(1, time):
         through = best[:, :, None] + from_any
         came = through.argmax(axis=1)
-        opened, went_on = best[:, begin] + from_begin, best[:, inside] + from_inside
+        opened, went_on = best[:, BEGIN] + from_begin, best[:, INSIDE] + from_inside
         back[t][:, free] = came
-        back[t][:, inside] = np.where(went_on > opened, inside, begin)
+        back[t][:, INSIDE] = np.where(went_on > opened, INSIDE, BEGIN)
         best = np.empty_like(last)
         best[:, free] = np.take_along_axis(through, came[:, None], axis=1)[:, 0]
-        best[:, inside] = np.maximum(opened, went_on)
+        best[:, INSIDE] = np.maximum(opened, went_on)
         best += scores[:, t]
         last = np.where((t < lengths)[:, None], best, last)
     tags = np.zeros((count, time), np.int8)
@@ -195,35 +261,28 @@ def viterbi(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> list[n
     return [tags[i, :n] for i, n in enumerate(lengths.tolist())]
 
 
-def may_leave(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Which texts, from emissions (time, texts, tags), have a stretch that may beat staying outside; for the others the best path is outside everywhere.
+def may_leave(weights: Weights, own: np.ndarray) -> np.ndarray:
+    """Which windows, from gains (time, groups, tags, windows), have a stretch that may beat staying outside; for the others the best path is outside everywhere.
 
     Every item is one begin tag and a run of inside tags of its kind. The most a
     stretch can gain over the outside tag, with the best transitions anywhere, is
-    found backwards for all texts and kinds together; a path gains at most the
+    found backwards for all windows and kinds together; a path gains at most the
     sum over its items, so if no single item can gain none can.
     """
     step = weights.transitions + BARRED
-    begin, inside = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
-    rest = step[0, 0]
-    enter = step[:, begin].max(axis=0) - rest
-    stay = np.maximum(step[begin, inside], step[inside, inside]) - rest
-    leave = np.maximum(0, np.maximum(step[begin, 0], step[inside, 0]) - rest)
-    first = weights.start[begin] - weights.start[0]
-    bonus = enter + leave
-    rows = scores.transpose(0, 2, 1)  # tags are rows again, so that a step works on contiguous windows
-    gain = rows[:, 1:] - rows[:, :1]
-    gain.transpose(0, 2, 1)[np.arange(len(scores))[:, None] >= lengths] = -1e9
-    enters, stays = gain[:, ::2] + bonus[:, None], gain[:, 1::2] + stay[:, None]
-    enters[0] += np.maximum(0, first - enter)[:, None]
-    ahead, best, top = (np.zeros((len(begin), scores.shape[1]), gain.dtype) for _ in range(3))
-    top -= 1.0
-    for t in range(len(scores) - 1, -1, -1):
-        np.add(enters[t], ahead, out=best)
+    enter = step[:, BEGIN].max(axis=0) - step[0, 0]
+    leave = np.maximum(0, np.maximum(step[BEGIN, 0], step[INSIDE, 0]) - step[0, 0])
+    first = np.maximum(0, weights.start[BEGIN] - weights.start[0] - enter)
+    begins, stays = own[:, :, :KEPT], own[:, :, KEPT:]
+    ahead, best = np.zeros_like(begins[0]), np.empty_like(begins[0])
+    top = np.full_like(best, -np.inf)
+    for t in range(len(own) - 1, 0, -1):
+        np.add(begins[t], ahead, out=best)
         np.maximum(top, best, out=top)
-        ahead += stays[t]
+        np.add(ahead, stays[t], out=ahead)
         np.maximum(ahead, 0, out=ahead)
-    return (top >= 0).any(axis=0)
+    np.maximum(top, begins[0] + ahead + first[:, None], out=top)
+    return (top + (enter + leave)[:, None] >= 0).any(axis=1).ravel()
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
@@ -249,63 +308,84 @@ def windows_of(length: int, window: int = WINDOW, margin: int = MARGIN) -> list[
     return [(s, s + window) for s in starts]
 
 
-def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(parts: list[np.ndarray], rest: float = 0) -> tuple[np.ndarray, np.ndarray]:
     """Arrays of different lengths as one, with the lengths."""
     lengths = np.array([len(x) for x in parts])
-    out = np.zeros((len(parts), int(lengths.max()), *parts[0].shape[1:]), parts[0].dtype)
+    out = np.full((len(parts), int(lengths.max()), *parts[0].shape[1:]), rest, parts[0].dtype)
     for row, part in enumerate(parts):
         out[row, : len(part)] = part
     return out, lengths
 
 
-def find_spans(weights: Weights, texts: list[str], batch_windows: int = 512, window: int = WINDOW, margin: int = MARGIN) -> list[list[tuple[int, int, str]]]:
+def find_spans(weights: Weights, texts: list[str], batch_windows: int = WINDOWS, window: int = WINDOW, margin: int = MARGIN) -> list[list[tuple[int, int, str]]]:
     """The personal items of each text as character spans; blank texts have none."""
+    found: list[list[tuple[int, int, str]]] = []
+    room, at = Room(), 0
+    while at < len(texts):
+        start, size = at, 0
+        while at < len(texts) and (at == start or size + len(texts[at] or "") <= AT_ONCE):
+            size += len(texts[at] or "")
+            at += 1
+        found += _find(weights, texts[start:at], batch_windows, window, margin, room)
+    return found
+
+
+def _find(weights: Weights, texts: list[str], batch_windows: int, window: int, margin: int, room: Room) -> list[list[tuple[int, int, str]]]:
     live = [t if t and not t.isspace() else "" for t in texts]
-    coded = np.split(symbols("".join(live)), np.cumsum([len(t) for t in live])[:-1]) if live else []
-    jobs = [(i, low, high) for i, own in enumerate(coded) if len(own) for low, high in windows_of(len(own), window, margin)]
-    jobs.sort(key=lambda j: j[2] - j[1])
+    coded = symbols("".join(live))
+    sizes = np.array([len(t) for t in live], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    short, long_ = np.flatnonzero((sizes > 0) & (sizes <= window)), np.flatnonzero(sizes > window)
+    cut = np.array([(i, low, high - low) for i in long_.tolist() for low, high in windows_of(int(sizes[i]), window, margin)], np.int64).reshape(-1, 3)
+    owner, low, length = (np.concatenate(x) for x in ((short, cut[:, 0]), (np.zeros_like(short), cut[:, 1]), (sizes[short], cut[:, 2])))
+    order = np.argsort(length, kind="stable")
     parts: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     open_: dict[int, np.ndarray] = {}
     at = 0
-    while at < len(jobs):
-        # Fewer windows at a time where they are long, so that their states stay in the cache.
-        chunk = jobs[at : at + batch_windows]
-        chunk = chunk[: max(32, (1 << 16) // max(1, chunk[-1][2] - chunk[-1][1]))]
+    while at < len(order):
+        # Fewer windows at a time where they are long, so that their gains stay in the cache.
+        chunk = order[at : at + batch_windows]
+        chunk = chunk[: max(32, CELLS // int(length[chunk[-1]]))]
         at += len(chunk)
-        batch, lengths = padded([coded[i][low:high] for i, low, high in chunk])
-        scores = emissions(weights, batch, lengths)
-        whole = [high - low == len(coded[i]) for i, low, high in chunk]
-        leaves = may_leave(weights, scores, lengths) if any(whole) else np.zeros(len(chunk), bool)
-        for row, (i, low, high) in enumerate(chunk):
-            if not whole[row]:
-                parts.setdefault(i, []).append((low, high, scores[: high - low, row].copy()))
-            elif leaves[row]:
-                open_[i] = scores[:high, row].copy()
-    for chunk in batches_by_length(parts, coded, batch_windows):
-        joined = [stitched(sorted(parts[i], key=lambda p: p[0])) for i in chunk]
-        scores, lengths = padded(joined)
-        for row in np.flatnonzero(may_leave(weights, scores.transpose(1, 0, 2), lengths)):
+        own_length = length[chunk]
+        places = np.arange(int(own_length[-1]))[:, None]
+        streams = np.where(places < own_length, coded.take((starts[owner[chunk]] + low[chunk]) + places, mode="clip"), np.uint8(PAD))
+        own = gains(weights, streams, own_length, room)
+        each = own.shape[3]
+        leaves, whole = may_leave(weights, own)[: len(chunk)], own_length == sizes[owner[chunk]]
+        for row in np.flatnonzero(leaves | ~whole).tolist():
+            i, first, size = int(owner[chunk[row]]), int(low[chunk[row]]), int(own_length[row])
+            taken = own[:size, row // each, :, row % each].copy()
+            if whole[row]:
+                open_[i] = taken
+            else:
+                parts.setdefault(i, []).append((first, first + size, taken))
+    for chunk in batches_by_length(parts, sizes, batch_windows):
+        joined = [stitched(sorted(parts.pop(i), key=lambda p: p[0])) for i in chunk]
+        own = padded(joined, -1e9)[0].transpose(1, 2, 0)[:, None]
+        for row in np.flatnonzero(may_leave(weights, np.ascontiguousarray(own))):
             open_[chunk[row]] = joined[row]
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for chunk in batches_by_length(open_, coded, batch_windows):
-        for i, tags in zip(chunk, viterbi(weights, *padded([open_[i] for i in chunk]))):
+    for chunk in batches_by_length(open_, sizes, batch_windows):
+        own, lengths = padded([open_[i] for i in chunk])
+        for i, tags in zip(chunk, viterbi(weights, scores_of(weights, own), lengths)):
             found[i] = spans_of(tags)
     return found
 
 
-def batches_by_length(which, coded: list[np.ndarray], most: int) -> Iterator[list[int]]:
+def batches_by_length(which, sizes: np.ndarray, most: int) -> Iterator[list[int]]:
     """Texts of like length together; few at a time where they are long."""
-    order = sorted(which, key=lambda i: len(coded[i]))
+    order = sorted(which, key=lambda i: sizes[i])
     at = 0
     while at < len(order):
-        size = max(1, min(most, (1 << 18) // len(coded[order[min(at + most, len(order)) - 1]])))
+        size = max(1, min(most, (1 << 18) // int(sizes[order[min(at + most, len(order)) - 1]])))
         yield order[at : at + size]
         at += size
 
 
 def stitched(parts: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
-    """The emissions of a text from those of its windows; the seam of two lies in the middle of what they share."""
-    whole = np.empty((parts[-1][1], TAGS), np.float32)
+    """The gains of a text from those of its windows; the seam of two lies in the middle of what they share."""
+    whole = np.empty((parts[-1][1], len(MARKED)), np.float32)
     for k, (low, high, scores) in enumerate(parts):
         start = low if k == 0 else (low + parts[k - 1][1]) // 2
         whole[start:high] = scores[start - low :]

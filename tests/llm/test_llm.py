@@ -187,6 +187,58 @@ def test_bound_and_windows_agree_with_whole_decoding():
     assert all(covered)
 
 
+def plain_emissions(weights, codes):
+    """One text, one character after the other, in double precision."""
+    sigmoid, told = lambda x: 1 / (1 + np.exp(-x)), np.zeros((len(codes), pii_model.TAGS))
+    for d, places in enumerate((range(len(codes)), reversed(range(len(codes))))):
+        state, cell, hidden = np.zeros(weights.hidden), np.zeros(weights.hidden), weights.hidden
+        for t in places:
+            let, keep, show, new = np.split(state @ weights.recurrent[d].astype(float) + weights.embed[codes[t]].astype(float) @ weights.project[d] + weights.shift[d], 4)
+            cell = sigmoid(keep) * cell + sigmoid(let) * np.tanh(new)
+            state = sigmoid(show) * np.tanh(cell)
+            told[t] += state @ weights.out[d * hidden : (d + 1) * hidden]
+    told += weights.bias
+    return told - told[:, :1]
+
+
+def test_emissions_are_those_of_the_plain_recurrence(monkeypatch):
+    monkeypatch.setattr(pii_model, "COLUMNS", 3)  # several groups, the last with a column to spare
+    text = "Call +1 202 555 0100 or Ada Byron, 12 Mill Road."
+    coded = [pii_model.symbols(t) for t in (text, "x", text[9:30], text[3:], "No.")]
+    for weights in (pii_model.Weights.fresh(5, 3), pii_model.Weights.load(pii.WEIGHTS)):
+        weights.transitions += np.random.default_rng(2).normal(0, 1, weights.transitions.shape).astype(np.float32)
+        got = pii_model.emissions(weights, *pii_model.padded(coded))
+        assert got.shape == (len(text), 5, pii_model.TAGS)
+        for row, codes in enumerate(coded):
+            assert got[: len(codes), row] == pytest.approx(plain_emissions(weights, codes), abs=2e-3)
+
+
+def test_finding_holds_few_bytes_a_character():
+    """The states of all steps are more than a cache holds; the model took most of its time to write and read them."""
+    import tracemalloc
+
+    weights, texts = pii_model.Weights.load(pii.WEIGHTS), ["Nothing is said here. " * 11 + "Fine. " * (k % 2) for k in range(512)]
+    pii_model.find_spans(weights, texts[:9])
+    tracemalloc.start()
+    try:
+        found = pii_model.find_spans(weights, texts)
+        assert tracemalloc.get_traced_memory()[1] < 120 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 512
+
+
+def test_parts_of_a_batch_change_no_item(monkeypatch):
+    weights = pii_model.Weights.load(pii.WEIGHTS)
+    text = "You can write to ada.byron@example.com or call Ada Byron at +44 20 7946 0018. "
+    texts = [text * 30, None, text, "", text[:50] * 20, "\n", "Fine.", text * 2]
+    want = [pii_model.find_spans(weights, [t])[0] for t in texts]
+    assert len(want[0]) >= 60 and [k for _, _, k in want[2]] == ["email", "name", "phone"] and want[1] == want[3] == want[5] == []
+    assert pii_model.find_spans(weights, texts) == want
+    monkeypatch.setattr(pii_model, "AT_ONCE", 300)
+    assert pii_model.find_spans(weights, texts) == want and pii_model.find_spans(weights, []) == []
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
