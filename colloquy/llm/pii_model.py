@@ -29,8 +29,8 @@ WINDOW, MARGIN, EMBEDDED = 640, 48, 8
 #: The tags but outside: the begin tags of all kinds, then their inside tags.
 BEGIN, INSIDE = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
 MARKED, KEPT = np.concatenate([BEGIN, INSIDE]), len(KINDS)
-#: Windows in a product at most (small products are faster), in a batch, and characters in a batch and at a time.
-COLUMNS, WINDOWS, CELLS, AT_ONCE = 256, 512, 1 << 17, 1 << 22
+#: Windows in a product at most (products of up to a million steps are faster), in a batch, and characters in a batch and at a time.
+COLUMNS, WINDOWS, CELLS, AT_ONCE = 304, 496, 1 << 17, 1 << 22
 
 
 def _table() -> np.ndarray:
@@ -157,7 +157,7 @@ class Room:
 
 
 def gains(weights: Weights, streams: np.ndarray, lengths: np.ndarray, room: Room) -> np.ndarray:
-    """What the tags MARKED gain over the outside tag in windows of symbols (time, windows): (time, groups, tags, windows of a group).
+    """What the tags MARKED gain over the outside tag in windows of symbols (time, windows): (time, tags, columns).
 
     Inside tags have ``stay`` added. Only the states of one step are held. Columns past
     the last window repeat it; places past a window's end have -1e9. The result stays
@@ -167,33 +167,33 @@ def gains(weights: Weights, streams: np.ndarray, lengths: np.ndarray, room: Room
     time, count = streams.shape
     groups = -(-count // COLUMNS)
     each = -(-count // groups)
-    fill = np.minimum(np.arange(groups * each), count - 1)
-    looked = room("looked", weights.embed.shape[1], time, groups, each)
-    np.take(np.ascontiguousarray(weights.embed.T), streams[:, fill].reshape(time, groups, each), axis=1, mode="clip", out=looked)
+    columns = groups * each
+    fill = np.minimum(np.arange(columns), count - 1)
+    looked = room("looked", weights.embed.shape[1], time, columns)
+    np.take(np.ascontiguousarray(weights.embed.T), streams[:, fill], axis=1, mode="clip", out=looked)
     full = int(lengths.min())
-    outside = (np.arange(full, time)[:, None] >= lengths[fill]).reshape(-1, groups, 1, each)
-    # Windows are columns, so that the gates of a step come from one product a direction and group and lie in contiguous rows.
-    joint = room("joint", 2, groups, matrix.shape[3], each)
-    joint[:, :, :hidden], joint[:, :, -1] = 0.0, 1.0
-    state, inputs = joint[:, :, :hidden], joint[:, :, hidden:-1]
-    forward, backward = inputs.transpose(0, 2, 1, 3)
-    cell, bent = room("cell", 2, groups, hidden, each), room("bent", 2, groups, hidden, each)
+    inside = (np.arange(full, time)[:, None] < lengths[fill]).astype(np.float32)
+    # Windows are columns and rows hold both directions, so that each gate is one stretch of memory; the products are taken a direction and group.
+    joint, products = room("joint", matrix.shape[3], 2, columns), room("products", matrix.shape[2], 2, columns)
+    given, made = (x.reshape(-1, 2, groups, each).transpose(1, 2, 0, 3) for x in (joint, products))
+    joint[:hidden], joint[-1] = 0.0, 1.0
+    state, forward, backward = joint[:hidden], joint[hidden:-1, 0], joint[hidden:-1, 1]
+    cell, bent = room("cell", hidden, 2, columns), room("bent", hidden, 2, columns)
     cell[:] = 0.0
-    products = room("products", 2, groups, matrix.shape[2], each)
-    gates, (ahead, behind) = products[:, :, : 4 * hidden], products[:, :, 4 * hidden :]
-    sigmoids, (let, keep, show, new) = gates[:, :, : 3 * hidden], (gates[:, :, k * hidden : (k + 1) * hidden] for k in range(4))
-    out = room("out", time, groups, len(MARKED), each)
+    gates, ahead, behind = products[: 4 * hidden], products[4 * hidden :, 0], products[4 * hidden :, 1]
+    sigmoids, (let, keep, show, new) = gates[: 3 * hidden], (gates[k * hidden : (k + 1) * hidden] for k in range(4))
+    out = room("out", time, len(MARKED), columns)
     one, half = np.float32(1.0), np.float32(0.5)
     for t in range(time + 1):
         # The backward direction reads the windows from the end; its state stays zero until a window begins.
         back = time - 1 - t
         if t < time:
             forward[:], backward[:] = looked[:, t], looked[:, back]
-        np.matmul(matrix, joint, out=products)
+        np.matmul(matrix, given, out=made)
         if t:
             early = t - 1 <= back
-            for place, told, new_there in ((out[t - 1], ahead, early or t - 1 == back + 1), (out[back + 1], behind, early)):
-                if new_there:
+            for place, told, fresh in ((out[t - 1], ahead, early or t - 1 == back + 1), (out[back + 1], behind, early)):
+                if fresh:
                     place[:] = told
                 else:
                     np.add(place, told, out=place)
@@ -209,9 +209,9 @@ def gains(weights: Weights, streams: np.ndarray, lengths: np.ndarray, room: Room
         np.tanh(cell, out=bent)
         np.multiply(bent, show, out=state)  # twice the hidden state
         if back >= full:
-            np.copyto(state[1], 0.0, where=outside[back - full])
-            np.copyto(cell[1], 0.0, where=outside[back - full])
-    np.copyto(out[full:], -1e9, where=outside)
+            np.multiply(state[:, 1], inside[back - full], out=state[:, 1])
+            np.multiply(cell[:, 1], inside[back - full], out=cell[:, 1])
+    np.copyto(out[full:], -1e9, where=inside[:, None] == 0)
     return out
 
 
@@ -225,44 +225,43 @@ def scores_of(weights: Weights, own: np.ndarray) -> np.ndarray:
 
 def emissions(weights: Weights, batch: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Emission scores (time, windows, tags) of padded windows of symbols, over those of the outside tag."""
-    own = gains(weights, batch.T, lengths, Room()).transpose(0, 1, 3, 2)
-    return scores_of(weights, own.reshape(len(own), -1, len(MARKED))[:, : len(batch)])
+    return scores_of(weights, gains(weights, batch.T, lengths, Room()).transpose(0, 2, 1)[:, : len(batch)])
 
 
 def viterbi(weights: Weights, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """Best tags of each text from padded emissions (texts, time, tags)."""
     step = weights.transitions + BARRED
-    count, time, _ = scores.shape
-    rows = np.arange(count)
-    best = scores[:, 0] + weights.start + BARRED[0]
-    last = best.copy()
-    back = np.empty((time, count, TAGS), np.int8)
+    order = np.argsort(lengths, kind="stable")
+    ends = lengths[order]
+    rows = np.ascontiguousarray(scores[order].transpose(1, 2, 0))  # texts are columns, the longest last
+    time, _, count = rows.shape
+    best = np.empty_like(rows)
+    best[0] = rows[0] + (weights.start + BARRED[0])[:, None]
     # An inside tag follows two tags only; the others may follow any.
     free = np.array([0, *BEGIN])
-    from_any, from_begin, from_inside = step[:, free], step[BEGIN, INSIDE], step[INSIDE, INSIDE]
+    from_any = np.ascontiguousarray(step[:, free])[:, :, None]
+    from_begin, from_inside = step[BEGIN, INSIDE][:, None], step[INSIDE, INSIDE][:, None]
     for t in range(1, time):
-        through = best[:, :, None] + from_any
-        came = through.argmax(axis=1)
-        opened, went_on = best[:, BEGIN] + from_begin, best[:, INSIDE] + from_inside
-        back[t][:, free] = came
-        back[t][:, INSIDE] = np.where(went_on > opened, INSIDE, BEGIN)
-        best = np.empty_like(last)
-        best[:, free] = np.take_along_axis(through, came[:, None], axis=1)[:, 0]
-        best[:, INSIDE] = np.maximum(opened, went_on)
-        best += scores[:, t]
-        last = np.where((t < lengths)[:, None], best, last)
-    tags = np.zeros((count, time), np.int8)
-    now = last.argmax(axis=1)
+        live = np.searchsorted(ends, t, side="right")
+        last, now = best[t - 1, :, live:], best[t, :, live:]
+        now[free] = (last[:, None] + from_any).max(axis=0)
+        now[INSIDE] = np.maximum(last[BEGIN] + from_begin, last[INSIDE] + from_inside)
+        now += rows[t, :, live:]
+    tags = np.zeros((time, count), np.int8)
+    into = step.T
     for t in range(time - 1, -1, -1):
-        inside = t < lengths
-        tags[inside, t] = now[inside]
-        if t:
-            now = np.where(inside, back[t, rows, now], now)
-    return [tags[i, :n] for i, n in enumerate(lengths.tolist())]
+        live, longer = np.searchsorted(ends, (t, t + 1), side="right")
+        tags[t, live:longer] = best[t, :, live:longer].argmax(axis=0)
+        if longer < count:  # what led to the tag of the next place
+            tags[t, longer:] = (best[t, :, longer:].T + into[tags[t + 1, longer:]]).argmax(axis=1)
+    out: list = [None] * count
+    for column, row in enumerate(order.tolist()):
+        out[row] = tags[: ends[column], column]
+    return out
 
 
 def may_leave(weights: Weights, own: np.ndarray) -> np.ndarray:
-    """Which windows, from gains (time, groups, tags, windows), have a stretch that may beat staying outside; for the others the best path is outside everywhere.
+    """Which windows, from gains (time, tags, windows), have a stretch that may beat staying outside; for the others the best path is outside everywhere.
 
     Every item is one begin tag and a run of inside tags of its kind. The most a
     stretch can gain over the outside tag, with the best transitions anywhere, is
@@ -273,16 +272,16 @@ def may_leave(weights: Weights, own: np.ndarray) -> np.ndarray:
     enter = step[:, BEGIN].max(axis=0) - step[0, 0]
     leave = np.maximum(0, np.maximum(step[BEGIN, 0], step[INSIDE, 0]) - step[0, 0])
     first = np.maximum(0, weights.start[BEGIN] - weights.start[0] - enter)
-    begins, stays = own[:, :, :KEPT], own[:, :, KEPT:]
+    begins, stays, none = own[:, :KEPT], own[:, KEPT:], np.float32(0.0)
     ahead, best = np.zeros_like(begins[0]), np.empty_like(begins[0])
     top = np.full_like(best, -np.inf)
     for t in range(len(own) - 1, 0, -1):
         np.add(begins[t], ahead, out=best)
         np.maximum(top, best, out=top)
         np.add(ahead, stays[t], out=ahead)
-        np.maximum(ahead, 0, out=ahead)
+        np.maximum(ahead, none, out=ahead)
     np.maximum(top, begins[0] + ahead + first[:, None], out=top)
-    return (top + (enter + leave)[:, None] >= 0).any(axis=1).ravel()
+    return (top + (enter + leave)[:, None] >= 0).any(axis=0)
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
@@ -343,26 +342,25 @@ def _find(weights: Weights, texts: list[str], batch_windows: int, window: int, m
     open_: dict[int, np.ndarray] = {}
     at = 0
     while at < len(order):
-        # Fewer windows at a time where they are long, so that their gains stay in the cache.
+        # Fewer windows at a time where they are long; their number is no multiple of a power of two, at which rows would take each other's place in the cache.
         chunk = order[at : at + batch_windows]
-        chunk = chunk[: max(32, CELLS // int(length[chunk[-1]]))]
+        chunk = chunk[: max(16, CELLS // int(length[chunk[-1]]) // 32 * 32 - 16)]
         at += len(chunk)
         own_length = length[chunk]
         places = np.arange(int(own_length[-1]))[:, None]
         streams = np.where(places < own_length, coded.take((starts[owner[chunk]] + low[chunk]) + places, mode="clip"), np.uint8(PAD))
         own = gains(weights, streams, own_length, room)
-        each = own.shape[3]
         leaves, whole = may_leave(weights, own)[: len(chunk)], own_length == sizes[owner[chunk]]
         for row in np.flatnonzero(leaves | ~whole).tolist():
             i, first, size = int(owner[chunk[row]]), int(low[chunk[row]]), int(own_length[row])
-            taken = own[:size, row // each, :, row % each].copy()
+            taken = own[:size, :, row].copy()
             if whole[row]:
                 open_[i] = taken
             else:
                 parts.setdefault(i, []).append((first, first + size, taken))
     for chunk in batches_by_length(parts, sizes, batch_windows):
         joined = [stitched(sorted(parts.pop(i), key=lambda p: p[0])) for i in chunk]
-        own = padded(joined, -1e9)[0].transpose(1, 2, 0)[:, None]
+        own = padded(joined, -1e9)[0].transpose(1, 2, 0)
         for row in np.flatnonzero(may_leave(weights, np.ascontiguousarray(own))):
             open_[chunk[row]] = joined[row]
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
