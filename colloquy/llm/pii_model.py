@@ -1,13 +1,13 @@
-"""Character-level bidirectional LSTM with CRF transitions, in numpy.
+"""Character-level bidirectional LSTM with CRF transitions.
 
 Each character is one of a few symbols (digits are one symbol, accents are
 dropped, case is kept) with a short vector each. A step costs one product of a
 matrix with the hidden states, the vectors and a constant, all windows of a batch
-side by side. Emissions of overlapping
-windows are reconciled by taking, for each character, the window in which it
-lies farthest from an edge; one Viterbi pass over the whole text decodes them.
-Texts in which no item can beat "outside everywhere" skip that pass, by an exact
-bound, without any change of the result.
+side by side; onnxruntime takes the steps where it is installed (``pii_graph``), else
+numpy does. Emissions of overlapping windows are reconciled by taking, for each
+character, the window in which it lies farthest from an edge; one Viterbi pass over
+the whole text decodes them. Texts in which no item can beat "outside everywhere"
+skip that pass, by an exact bound, without any change of the result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from colloquy.llm import pii_graph
+
 KINDS = ["email", "phone", "id_number", "address", "name"]
 #: Tag 0 is outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
@@ -30,7 +32,7 @@ WINDOW, MARGIN, EMBEDDED = 640, 48, 8
 BEGIN, INSIDE = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
 MARKED, KEPT = np.concatenate([BEGIN, INSIDE]), len(KINDS)
 #: Windows in a product at most (products of up to a million steps are faster), in a batch, and characters in a batch and at a time.
-COLUMNS, WINDOWS, CELLS, AT_ONCE = 304, 496, 1 << 17, 1 << 22
+COLUMNS, WINDOWS, CELLS, AT_ONCE = 304, 752, 1 << 18, 1 << 22
 
 
 def _table() -> np.ndarray:
@@ -84,6 +86,7 @@ class Weights:
     transitions: np.ndarray
     start: np.ndarray
     packed: np.ndarray | None = field(default=None, repr=False)
+    stepper: pii_graph.Stepper | None = field(default=None, repr=False)
 
     NAMES = ("embed", "project", "shift", "recurrent", "out", "bias", "transitions", "start")
 
@@ -136,6 +139,13 @@ class Weights:
             self.packed = np.ascontiguousarray(np.concatenate([whole, told], axis=2).transpose(0, 2, 1), np.float32)[:, None]
         return self.packed
 
+    def steps(self) -> pii_graph.Stepper | None:
+        """The steps as graphs; None where their runtime isn't installed."""
+        if self.stepper is None and pii_graph.runtime():
+            told = (self.out[:, MARKED] - self.out[:, :1]).reshape(2, self.hidden, -1).transpose(0, 2, 1)
+            self.stepper = pii_graph.Stepper(self.embed, self.project, self.shift, self.recurrent, told, PAD)
+        return self.stepper
+
     @property
     def stay(self) -> np.ndarray:
         """The most that a step to an inside tag gains over one from outside to outside."""
@@ -159,10 +169,41 @@ class Room:
 def gains(weights: Weights, streams: np.ndarray, lengths: np.ndarray, room: Room) -> np.ndarray:
     """What the tags MARKED gain over the outside tag in windows of symbols (time, windows): (time, tags, columns).
 
-    Inside tags have ``stay`` added. Only the states of one step are held. Columns past
+    Inside tags have ``stay`` added. Only the states of a few steps are held. Columns past
     the last window repeat it; places past a window's end have -1e9. The result stays
     until ``room`` is used again.
     """
+    out = (gains_by_graph if weights.steps() else gains_by_numpy)(weights, streams, lengths, room)
+    full, fill = int(lengths.min()), np.minimum(np.arange(out.shape[2]), len(lengths) - 1)
+    np.copyto(out[full:], -1e9, where=(np.arange(full, len(out))[:, None] >= lengths[fill])[:, None])
+    return out
+
+
+def gains_by_graph(weights: Weights, streams: np.ndarray, lengths: np.ndarray, room: Room) -> np.ndarray:
+    """Gains as the graphs of ``pii_graph`` make them, one direction after the other; places past a window's end have any value."""
+    steps, (time, count) = weights.steps(), streams.shape
+    whole = -(-time // pii_graph.STEPS) * pii_graph.STEPS
+    places = np.full((whole, count), PAD, np.intp)
+    places[:time] = streams
+    looked, row = room("looked", whole, len(steps.table), count), room("row", whole, count)
+    for k, values in enumerate(steps.table):
+        np.take(values, places, mode="clip", out=row)
+        looked[:, k] = row
+    out = room("out", whole, len(MARKED), count)
+    bias = weights.bias[MARKED] - weights.bias[0]
+    bias[KEPT:] += weights.stay
+    starts = range(0, whole, pii_graph.STEPS)
+    for backward in (False, True):
+        state = cell = np.zeros((weights.hidden, count), np.float32)
+        for low in reversed(starts) if backward else starts:
+            told, state, cell = steps.run(backward, looked[low : low + pii_graph.STEPS], state, cell)
+            place = out[low : low + pii_graph.STEPS]
+            np.add(told, place if backward else bias[:, None], out=place)
+    return out[:time]
+
+
+def gains_by_numpy(weights: Weights, streams: np.ndarray, lengths: np.ndarray, room: Room) -> np.ndarray:
+    """Gains by products and tangents of numpy, both directions side by side; places past a window's end have any value."""
     matrix, hidden = weights.fused(), weights.hidden
     time, count = streams.shape
     groups = -(-count // COLUMNS)
@@ -211,7 +252,6 @@ def gains(weights: Weights, streams: np.ndarray, lengths: np.ndarray, room: Room
         if back >= full:
             np.multiply(state[:, 1], inside[back - full], out=state[:, 1])
             np.multiply(cell[:, 1], inside[back - full], out=cell[:, 1])
-    np.copyto(out[full:], -1e9, where=inside[:, None] == 0)
     return out
 
 

@@ -444,7 +444,7 @@ def gradients(weights: Weights, data: np.ndarray, truth: np.ndarray, lengths: np
 
 def without_items(weights: Weights, messages: list[str]) -> list[str]:
     """The messages in which the model finds nothing."""
-    weights.packed = None
+    weights.packed = weights.stepper = None
     return [m for m, spans in zip(messages, find_spans(weights, messages)) if not spans]
 
 
@@ -507,7 +507,7 @@ def fit(messages: list[str], minutes: float, seed: int = 7, hidden: int = HIDDEN
         mean = loss if steps == 1 else 0.98 * mean + 0.02 * loss
         if steps % 50 == 0:
             say(f"{steps} steps, {time.time() - began:.0f} s, loss {mean:.5f}", flush=True)
-    weights.packed = None
+    weights.packed = weights.stepper = None
     return weights
 
 

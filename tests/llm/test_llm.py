@@ -213,6 +213,27 @@ def test_emissions_are_those_of_the_plain_recurrence(monkeypatch):
             assert got[: len(codes), row] == pytest.approx(plain_emissions(weights, codes), abs=2e-3)
 
 
+def test_steps_of_the_runtime_are_those_of_numpy(monkeypatch):
+    """numpy's tangents took most of the time where there is no AVX-512, so none is taken where the runtime is installed."""
+    pytest.importorskip("onnxruntime")
+    rng, room = np.random.default_rng(3), pii_model.Room()
+    for weights in (pii_model.Weights.fresh(5, 3), pii_model.Weights.load(pii.WEIGHTS)):
+        for lengths in (np.array([1]), np.array([3, 8, 9]), np.array([40, 100, 113, 113])):  # also no whole number of graphs
+            streams = rng.integers(1, pii_model.OTHER + 1, (lengths[-1], len(lengths))).astype(np.uint8)
+            own = np.arange(lengths[-1])[:, None] < lengths
+            streams[~own] = pii_model.PAD
+            want = pii_model.gains_by_numpy(weights, streams, lengths, pii_model.Room())[:, :, : len(lengths)]
+            got = pii_model.gains_by_graph(weights, streams, lengths, room)
+            assert got.transpose(0, 2, 1)[own] == pytest.approx(want.transpose(0, 2, 1)[own], abs=1e-3)
+    texts = ["Write to ada.byron@example.com or call Ada Byron at +44 20 7946 0018.", "Fine.", None, "No one is named here. " * 60]
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "tanh", None)
+        found = pii_model.find_spans(weights, texts)
+    assert [k for _, _, k in found[0]] == ["email", "name", "phone"] and found[1:] == [[], [], []]
+    monkeypatch.setattr(pii_model.pii_graph, "runtime", lambda: None)
+    assert pii_model.find_spans(pii_model.Weights.load(pii.WEIGHTS), texts) == found
+
+
 def test_finding_holds_few_bytes_a_character():
     """The states of all steps are more than a cache holds; the model took most of its time to write and read them."""
     import tracemalloc
