@@ -24,12 +24,26 @@ from colloquy.session import spread
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
 #: Placeholders of the kinds.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
-SEEN = 50_000
+SEEN = 100_000
+#: Rows decoded together (texts of like length share the steps of the model), or bytes where they are long.
+TOGETHER, BYTES = 32_768, 1 << 24
 
 SPAN = "array<struct<first:int,end:int,kind:string>>"
 _SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that make TOGETHER rows or BYTES; the last may be fewer."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches_of(batches, 16384):
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER or sum(b.nbytes for b in held) >= BYTES:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def find_items(texts: DataFrame, text: str, *keep: str, weights: str = WEIGHTS) -> DataFrame:
     """Adds ``spans`` (characters) to the rows; a NULL text has none."""
     with open(weights, "rb") as file:
@@ -37,16 +51,17 @@ def find_items(texts: DataFrame, text: str, *keep: str, weights: str = WEIGHTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Weights.load(BytesIO(stored)), {}
-        for batch in batches_of(batches, 16384):
-            values = batch.column(0).to_pylist()
-            fresh = list(dict.fromkeys(v for v in values if v and v not in seen))
+        for held in gathered(batches):
+            columns = [batch.column(0).to_pylist() for batch in held]
+            fresh = list(dict.fromkeys(v for values in columns for v in values if v and v not in seen))
             if len(seen) + len(fresh) > SEEN:
                 seen.clear()
-                fresh = list(dict.fromkeys(v for v in values if v))
+                fresh = list(dict.fromkeys(v for values in columns for v in values if v))
             for value, spans in zip(fresh, find_spans(own, fresh)):
                 seen[value] = [{"first": a, "end": b, "kind": k} for a, b, k in spans]
-            spans = pa.array([seen[v] if v else [] for v in values], _SPAN_TYPE)
-            yield pa.RecordBatch.from_arrays([*batch.columns, spans], ["_text", *keep, "spans"])
+            for batch, values in zip(held, columns):
+                spans = pa.array([seen[v] if v else [] for v in values], _SPAN_TYPE)
+                yield pa.RecordBatch.from_arrays([*batch.columns, spans], ["_text", *keep, "spans"])
 
     rows = spread(texts.select(F.col(text).alias("_text"), *keep))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

@@ -175,7 +175,8 @@ def gains(weights: Weights, streams: np.ndarray, lengths: np.ndarray, room: Room
     """
     out = (gains_by_graph if weights.steps() else gains_by_numpy)(weights, streams, lengths, room)
     full, fill = int(lengths.min()), np.minimum(np.arange(out.shape[2]), len(lengths) - 1)
-    np.copyto(out[full:], -1e9, where=(np.arange(full, len(out))[:, None] >= lengths[fill])[:, None])
+    most = np.where(np.arange(full, len(out))[:, None] < lengths[fill], np.float32(np.inf), np.float32(-1e9))
+    np.minimum(out[full:], most[:, None], out=out[full:])
     return out
 
 
@@ -186,9 +187,10 @@ def gains_by_graph(weights: Weights, streams: np.ndarray, lengths: np.ndarray, r
     places = np.full((whole, count), PAD, np.intp)
     places[:time] = streams
     looked, row = room("looked", whole, len(steps.table), count), room("row", whole, count)
-    for k, values in enumerate(steps.table):
+    for k, values in enumerate(steps.table[:-1]):
         np.take(values, places, mode="clip", out=row)
         looked[:, k] = row
+    looked[:, -1] = 1.0
     out = room("out", whole, len(MARKED), count)
     bias = weights.bias[MARKED] - weights.bias[0]
     bias[KEPT:] += weights.stay

@@ -234,6 +234,18 @@ def test_steps_of_the_runtime_are_those_of_numpy(monkeypatch):
     assert pii_model.find_spans(pii_model.Weights.load(pii.WEIGHTS), texts) == found
 
 
+def test_batches_are_decoded_together_up_to_a_size(monkeypatch):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"text": ["some text"] * n}) for n in (3, 4, 9, 2, 0, 1)]
+    monkeypatch.setattr(pii, "TOGETHER", 7)
+    assert [[b.num_rows for b in held] for held in pii.gathered(iter(batches))] == [[3, 4], [9], [2, 1]]
+    monkeypatch.setattr(pii, "BYTES", 60)
+    assert [[b.num_rows for b in held] for held in pii.gathered(iter(batches))] == [[3, 4], [9], [2, 1]]
+    monkeypatch.setattr(pii, "BYTES", 30)
+    assert [[b.num_rows for b in held] for held in pii.gathered(iter(batches))] == [[3], [4], [9], [2, 1]]
+
+
 def test_finding_holds_few_bytes_a_character():
     """The states of all steps are more than a cache holds; the model took most of its time to write and read them."""
     import tracemalloc
